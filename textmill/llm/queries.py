@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from textmill.llm.mixing import OP7_SQL, op7_mixing
 from textmill.llm.ngram_join import OP1_SQL, op1_ngram_jaccard_join
 from textmill.llm.substring_dedup import OP4_SQL, op4_substring_dedup
 
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op4_substring_dedup": op4_substring_dedup,
+    "op7_mixing": op7_mixing,
 }
 SQL = {
     "op1_ngram_jaccard_join": OP1_SQL,
     "op4_substring_dedup": OP4_SQL,
+    "op7_mixing": OP7_SQL,
 }
