@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from textmill.llm.mixing import OP7_SQL, op7_mixing
 from textmill.llm.ngram_join import OP1_SQL, op1_ngram_jaccard_join
+from textmill.llm.quality import op6_quality_rules
+from textmill.llm.secrets import op8_secret_scans
 from textmill.llm.substring_dedup import OP4_SQL, op4_substring_dedup
 
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op4_substring_dedup": op4_substring_dedup,
+    "op6_quality_rules": op6_quality_rules,
     "op7_mixing": op7_mixing,
+    "op8_secret_scans": op8_secret_scans,
 }
 SQL = {
     "op1_ngram_jaccard_join": OP1_SQL,
