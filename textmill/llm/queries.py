@@ -4,19 +4,26 @@ from __future__ import annotations
 
 from textmill.llm.mixing import OP7_SQL, op7_mixing
 from textmill.llm.ngram_join import OP1_SQL, op1_ngram_jaccard_join
+from textmill.llm.pii import op10_pii
 from textmill.llm.quality import op6_quality_rules
 from textmill.llm.secrets import op8_secret_scans
 from textmill.llm.substring_dedup import OP4_SQL, op4_substring_dedup
+from textmill.llm.token_counts import op2_token_counts
+from textmill.llm.url_filter import OP9_SQL, op9_url_filters
 
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op2_token_counts": op2_token_counts,
     "op4_substring_dedup": op4_substring_dedup,
     "op6_quality_rules": op6_quality_rules,
     "op7_mixing": op7_mixing,
     "op8_secret_scans": op8_secret_scans,
+    "op9_url_filters": op9_url_filters,
+    "op10_pii": op10_pii,
 }
 SQL = {
     "op1_ngram_jaccard_join": OP1_SQL,
     "op4_substring_dedup": OP4_SQL,
     "op7_mixing": OP7_SQL,
+    "op9_url_filters": OP9_SQL,
 }
