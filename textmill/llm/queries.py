@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from textmill.llm.decontamination import op5_benchmark_decontamination
+from textmill.llm.html_extract import op3_html_extraction
 from textmill.llm.mixing import OP7_SQL, op7_mixing
 from textmill.llm.ngram_join import OP1_SQL, op1_ngram_jaccard_join
 from textmill.llm.pii import op10_pii
@@ -15,6 +16,7 @@ from textmill.llm.url_filter import OP9_SQL, op9_url_filters
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_token_counts": op2_token_counts,
+    "op3_html_extraction": op3_html_extraction,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
     "op6_quality_rules": op6_quality_rules,
