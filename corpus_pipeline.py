@@ -1,13 +1,94 @@
-"""A training-data pipeline: documents through the operators, stage by stage."""
+"""A training-data pipeline: documents through five operators, each stage written and read again.
+
+Every stage takes ``(spark, docs, sf_dir)`` and works on all that its predecessor
+kept; the first four return the columns of ``documents``.
+
+* quality rules: documents that the rules reject go.
+* n-gram join: of each group of linked documents the one with the least id stays.
+* decontamination: documents that hold a benchmark item go.
+* PII: personal data are replaced by their kind in brackets; ``n_chars`` follows.
+* mixing: the documents that the mix takes, with the number of their copies.
+"""
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from textmill.llm.common import shared_folder
+from textmill.llm.decontamination import decontaminate
+from textmill.llm.mixing import mix_sources
+from textmill.llm.ngram_join import ngram_jaccard_join
+from textmill.llm.pii import personal_data, redact
+from textmill.llm.quality import quality_rules
+
+#: No SQL: cutoffs with exact binomial bounds and bootstrapped patterns are beyond it. Tested against brute force.
 ORACLE_SQL = None
-STAGES: list = []
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _keyed(docs: DataFrame, *more: str) -> DataFrame:
+    """A key that is never null and tells apart whatever the operators can tell apart: rows of one key are treated alike."""
+    return docs.withColumn("_key", F.concat_ws("/", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.xxhash64("text", *more).cast("string")))
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep what the quality rules keep."""
+    keyed = _keyed(docs, "lang")
+    lost = quality_rules(keyed, _table(spark, sf_dir, "labels"), carry=("_key",)).where("not kept").select("_key").distinct()
+    return keyed.join(lost, "_key", "left_anti").select(*docs.columns)
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the document with the least id of each group; documents with a null id stay."""
+    groups = ngram_jaccard_join(docs)
+    lost = groups.where("component_id <> doc_id").select("doc_id").distinct()
+    return docs.join(lost, "doc_id", "left_anti").select(*docs.columns)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents with a passage of the benchmark."""
+    return decontaminate(docs, _table(spark, sf_dir, "benchmark"))
+
+
+def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replace personal data in the texts."""
+    keyed = _keyed(docs)
+    found = personal_data(keyed, id_col="_key").where("size(found) > 0").select(F.col("doc_id").alias("_key"), F.col("found").alias("_found")).dropDuplicates(["_key"])
+    none = F.expr("cast(array() AS array<struct<s:int,k:int,e:int,kind:string>>)")
+    joined = keyed.join(found, "_key", "left").withColumn("_found", F.coalesce("_found", none))
+    masked = joined.withColumn("text", redact(F.col("text"), "_found"))
+    if "n_chars" in docs.columns:
+        masked = masked.withColumn("n_chars", F.when(F.size("_found") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return masked.select(*docs.columns)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents of the mix: their columns, and ``copies``, how often each is taken."""
+    keyed = _keyed(docs, "source")
+    plan = mix_sources(keyed, carry=("_key",)).where("copies > 0").groupBy("_key").agg(F.max("copies").alias("copies"))
+    return keyed.join(plan, "_key").select(*docs.columns, "copies")
+
+
+STAGES = [
+    ("quality rules", quality_stage),
+    ("near duplicates", near_duplicate_stage),
+    ("decontamination", decontamination_stage),
+    ("personal data", pii_stage),
+    ("mixing", mixing_stage),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each written as Parquet to the shared folder and read again."""
+    docs = _table(spark, sf_dir, "documents")
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    for k, (_, stage) in enumerate(STAGES):
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
+        docs = spark.read.parquet(f"{folder}/{k}")
     return docs

@@ -48,7 +48,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], cap: int) -> Data
 
 
 def mix_sources(
-    docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weight: Column | None = None
+    docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weight: Column | None = None, carry: tuple[str, ...] = ()
 ) -> DataFrame:
     """How often each document goes into the mix.
 
@@ -59,10 +59,12 @@ def mix_sources(
     its target by half a document at most. Null and empty texts have size 0, a null
     source is a source of its own, null ids draw one key; repeated rows count each.
     An empty table gives an empty result. The draw depends on seed and id only.
+    Columns named in ``carry`` come along, others are ignored.
     """
     weight = quality_weight(F.col(text_col)) if weight is None else weight
     draw = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("null")))), 1, 13), 16, 10).cast("double")
     base = docs.select(
+        *carry,
         F.col(id_col).alias("doc_id"),
         F.col(source_col).alias("source"),
         F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
@@ -80,7 +82,7 @@ def mix_sources(
     rest = F.col("target") - F.col("epochs") * F.col("source_size")
     rows = rows.withColumn("epochs", epochs)
     more = F.when((rest > 0) & (F.col("upto") - F.col("size") / 2 <= rest), 1).otherwise(0)
-    return rows.withColumn("copies", (F.col("epochs") + more).cast("long")).select("doc_id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return rows.withColumn("copies", (F.col("epochs") + more).cast("long")).select(*carry, "doc_id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def op7_mixing(spark, sf_dir: str) -> DataFrame:

@@ -142,7 +142,7 @@ def fit_cutoffs(measured: DataFrame, labels: DataFrame, rules: tuple[Rule, ...]
 
 
 def quality_rules(
-    docs: DataFrame, labels: DataFrame, rules: tuple[Rule, ...] = RULES, alpha: float = 0.03, delta: float = 0.05, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang"
+    docs: DataFrame, labels: DataFrame, rules: tuple[Rule, ...] = RULES, alpha: float = 0.03, delta: float = 0.05, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", carry: tuple[str, ...] = ()
 ) -> DataFrame:
     """Base measures and the verdict of the rules for each document.
 
@@ -151,15 +151,16 @@ def quality_rules(
     Null and empty texts have no words and fail the base rules; a null stratum counts
     as the stratum ''; documents with a null id are judged but lend no label;
     repeated labels count once. Without labels nothing but the base rules rejects.
-    Texts are measured whole. Other columns are ignored.
+    Texts are measured whole. Columns named in ``carry`` come along, others are
+    ignored.
     """
-    measured = measures(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"), F.coalesce(F.col(stratum_col).cast("string"), F.lit("")).alias("stratum")), "_text")
+    measured = measures(docs.select(*carry, F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"), F.coalesce(F.col(stratum_col).cast("string"), F.lit("")).alias("stratum")), "_text")
     measured = settle(measured)
     cutoffs = fit_cutoffs(measured, labels.select(F.col("doc_id"), F.col("quality")), rules, "stratum", alpha, delta)
     wide = cutoffs.groupBy("stratum").agg(*[F.max(F.when(F.col("rule") == r.name, F.col("cutoff"))).alias(f"cut_{r.name}") for r in rules])
     failed = F.filter(F.array(*[F.when(F.expr(r.measure) >= F.col(f"cut_{r.name}"), F.lit(r.name)) for r in rules]), lambda x: x.isNotNull())
     judged = measured.join(wide, "stratum", "left").withColumn("failed_rules", failed)
-    return judged.select("doc_id", *BASE, "base_failed", (~F.col("base_failed") & (F.size("failed_rules") == 0)).alias("kept"), "failed_rules")
+    return judged.select(*carry, "doc_id", *BASE, "base_failed", (~F.col("base_failed") & (F.size("failed_rules") == 0)).alias("kept"), "failed_rules")
 
 
 def op6_quality_rules(spark, sf_dir: str) -> DataFrame:
