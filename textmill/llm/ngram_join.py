@@ -17,7 +17,8 @@
    left cannot reach the overlap that is needed. Sets that are connected already
    are not compared again, so a large group of near copies costs about one
    comparison a member. Neighbourhoods over ``block`` classes are dealt into
-   blocks, and each pair of blocks is a task of its own.
+   blocks: the first block meets each block in a task of its own, and then only
+   what is not in the largest component so far meets all blocks.
 """
 
 from __future__ import annotations
@@ -241,26 +242,43 @@ def _overlap(a: int, b: int, percent: int) -> int:
 _LINKS = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
 
-def _walk(percent: int):
+def _walk(percent: int, two_sided: bool = False):
     def run(got: pa.Table) -> pa.Table:
         links: list[tuple[int, int]] = []
         got = got.sort_by("area").combine_chunks()
-        area = got.column("area").to_numpy()
-        edge = runs(area)
+        edge = runs(got.column("area").to_numpy())
         for a, b in zip(edge[:-1], edge[1:], strict=True):
             if b - a < 2:
                 continue
             part = got.slice(a, b - a)
             ids, sizes = part.column("id").to_pylist(), part.column("n").to_pylist()
             sets = [np.frombuffer(x, ">u8").astype(np.uint64) for x in part.column("keys").to_pylist()]
-            i, j, own = part.column("i")[0].as_py(), part.column("j")[0].as_py(), part.column("own").to_pylist()
-            links += [(ids[x], ids[y]) for x, y in trie_links(sets, sizes, percent, own if i != j else None)]
+            apart = two_sided or part.column("j")[0].as_py() > 0
+            links += [(ids[x], ids[y]) for x, y in trie_links(sets, sizes, percent, part.column("side").to_pylist() if apart else None)]
         return pa.Table.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], schema=_LINKS)
 
     return run
 
 
-def ngram_jaccard_join(docs: DataFrame, n: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text", lower: bool = True, block: int = 2048) -> DataFrame:
+def _rest_of_wide(full: DataFrame, areas: DataFrame, found: DataFrame, percent: int, block: int) -> DataFrame:
+    """Links of wide neighbourhoods that the comparison with their first block has not settled.
+
+    Members of the largest component of a neighbourhood are connected, so no pair
+    of them needs to be compared. Each of the others is compared with all members.
+    """
+    state = areas.join(found, areas.id == found.vertex, "left").select("area", "id", "blocks", "own", F.coalesce("label", "id").alias("label"))
+    largest = state.groupBy("area", "label").agg(F.count("*").alias("size")).groupBy("area").agg(F.max_by("label", F.struct("size", "label")).alias("main"))
+    state = settle(state.join(largest, "area"))
+    open_ = state.where("label <> main").groupBy("area").agg(F.ceil(F.count("*") / block).cast("int").alias("rests"))
+    state = state.join(open_, "area")
+    asking = state.where("label <> main").withColumn("i", F.pmod(F.xxhash64("id", F.lit(11)), F.col("rests")).cast("int"))
+    asking = asking.select("area", "id", F.lit(0).alias("side"), F.array("i").alias("i"), F.sequence(F.lit(0), F.col("blocks") - 1).alias("j"))
+    asked = state.select("area", "id", F.lit(1).alias("side"), F.sequence(F.lit(0), F.col("rests") - 1).alias("i"), F.array("own").alias("j"))
+    dealt = asking.union(asked).withColumn("i", F.explode("i")).withColumn("j", F.explode("j"))
+    return full.join(dealt, "id").select("area", "id", "n", "keys", "side", "i", "j").groupBy("area", "i", "j").applyInArrow(_walk(percent, two_sided=True), "u long, v long")
+
+
+def ngram_jaccard_join(docs: DataFrame, n: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text", lower: bool = True, block: int = 1024) -> DataFrame:
     """Components of documents whose n-gram sets have a Jaccard similarity of ``percent`` or more.
 
     Returns ``doc_id, n_shingles, component_id``, a row for each input row:
@@ -280,23 +298,24 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, percent: int = 75, id_col: s
     sets = settle(shared.groupBy("batch").applyInArrow(_gather(percent), "id long, n long, mark binary, keys binary"))
 
     classes = sets.where("id is not null and n > 0").groupBy("mark").agg(F.min("id").alias("rep"))
-    kept = sets.where("keys is not null").join(classes, "mark").where("id = rep").select("id", "n", "keys").dropDuplicates(["id"])
-    grams = kept.mapInArrow(_prefixes(percent), "gram long, id long")
+    full = sets.where("keys is not null")
+    grams = full.mapInArrow(_prefixes(percent), "gram long, id long").join(classes.select(F.col("rep").alias("id")), "id", "left_semi")
     least = grams.groupBy("gram").agg(F.min("id").alias("u"), F.max("id").alias("last")).where("u < last").select("gram", "u")
     areas = connected_components(grams.join(least, "gram").select("u", F.col("id").alias("v")).where("u <> v").distinct())
 
-    areas = settle(areas.union(areas.select("label", "label").distinct()).toDF("id", "area"))
+    areas = areas.union(areas.select("label", "label").distinct()).toDF("id", "area")
     wide = areas.groupBy("area").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    # For one block: tasks hold several neighbourhoods. Else: a task for each pair of blocks.
     own = F.when(F.col("blocks") == 1, 0).otherwise(F.pmod(F.xxhash64("id", F.lit(7)), F.col("blocks"))).cast("int")
-    dealt = (
-        kept.join(areas, "id").join(wide, "area").withColumn("own", own)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("area", "id", "n", "keys", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
-                F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("area"), F.lit(2 * parts))).alias("pack"), F.when(F.col("blocks") > 1, F.col("area")).alias("wide"))
-    )
-    links = dealt.groupBy("pack", "wide", "i", "j").applyInArrow(_walk(percent), "u long, v long")
+    areas = settle(areas.join(wide, "area").withColumn("own", own))
+    # Small neighbourhoods: several in a task. Wide ones: the first block against each block.
+    pack = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("area"), F.lit(2 * parts)))
+    first = F.when(F.col("own") == 0, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("own"))
+    dealt = full.join(areas, "id").withColumn("j", F.explode(first)).select("area", "id", "n", "keys", F.col("own").alias("side"), F.lit(0).alias("i"), "j", pack.alias("pack"), F.when(F.col("blocks") > 1, F.col("area")).alias("wide"))
+    links = settle(dealt.groupBy("pack", "wide", "i", "j").applyInArrow(_walk(percent), "u long, v long"))
     found = connected_components(links)
+    if not areas.where("blocks > 1").isEmpty():
+        more = _rest_of_wide(full, areas.where("blocks > 1"), found, percent, block)
+        found = connected_components(links.union(more))
 
     label = classes.join(found, classes.rep == found.vertex, "left").select("mark", F.coalesce("label", "rep").alias("component"))
     return (
