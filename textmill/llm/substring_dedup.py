@@ -200,12 +200,10 @@ def _judge_windows(sent: pa.Table) -> pa.Table:
     return pa.Table.from_batches([_out(out)], _SCHEMA)
 
 
-_RESULT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.large_string())])
+_RESULT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())])
 
 
 def _remove(window: int, digest: bool):
-    schema = _RESULT.set(3, pa.field("kept", pa.string())) if digest else _RESULT
-
     def run(got: pa.Table) -> pa.Table:
         _, batch, back = _load(got, window)
         start, key = batch.full()
@@ -227,7 +225,7 @@ def _remove(window: int, digest: bool):
                 words = [w for w, x in zip(words, lost.tolist(), strict=True) if not x]
             text = b" ".join(words)
             rows.append((int(batch.id[i]) if batch.known[i] else None, len(lost), int(lost.sum()), hashlib.sha256(text).hexdigest() if digest else text.decode()))
-        return pa.Table.from_batches([_out(rows, schema)], schema)
+        return pa.Table.from_batches([_out(rows, _RESULT)], _RESULT)
 
     return run
 
