@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
+
+from textmill.session import settle, shared_folder, table
+
+__all__ = ["SPACE", "WORD", "Words", "mix", "pack", "runs", "settle", "shared_folder", "shuffle_partitions", "slices", "small_batches", "table", "text_buffers", "unpack"]
 
 #: A word, wherever a contract speaks of words; in Java, RE2 and Python alike.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -17,27 +20,6 @@ SPACE = r"[\x20\x09-\x0D]+"
 MASK = (1 << 64) - 1
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: the session's ``spark.checkpoint.dir``.
-
-    Only where that is unset (tests, a laptop) a temporary folder is made, once a session.
-    """
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
-    return sc.getCheckpointDir()
-
-
-def settle(df: DataFrame) -> DataFrame:
-    """Cut the lineage through a reliable checkpoint in the shared folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
