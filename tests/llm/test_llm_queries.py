@@ -331,7 +331,8 @@ def base_measures(text):
 
 
 def tail(k, n, p):
-    return sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1))
+    lg = math.lgamma
+    return sum(math.exp(lg(n + 1) - lg(i + 1) - lg(n - i + 1) + i * math.log(p) + (n - i) * math.log(1 - p)) for i in range(k + 1))
 
 
 def test_quality_measures(spark, sf, texts):
@@ -486,6 +487,8 @@ def test_window_entropy(spark):
         ("key ghp_16C7e42F292c6912E7710c838347Ae178B4a end", True),
         ("an identifier 123e4567-e89b-12d3-a456-426614174000 here", False),
         ("sha512-Zm9vYmFyYmF6cXV4Zm9vYmFyYmF6cXV4Zm9vYmFy12", False),
+        ("see the-quick-brown-fox-jumps-2024-over-lazy-dogs", False),
+        ("Key-aB3dE6gH9jK2-mN5pQ8sT1vW4-xY7zC0", True),
         ("thereationhaingthtionthenandtherefore and so on", False),
         ("aaaaaaaaaaaaaaaaaaaa1aaaaaaaaaaaaaaa", False),
         ("wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", False),

@@ -3,8 +3,9 @@
 Candidates are runs of key-like characters with letters and digits. A window slides
 over the candidate; when it moves, only the counts of the character that leaves and
 of the one that enters change, and with them the sum of n*log2(n) over the counts,
-which gives Shannon's entropy. A candidate is a secret if some window reaches the
-threshold of its character class and no allow-list pattern speaks for it.
+which gives Shannon's entropy. A candidate is a secret if some window of one of its
+parts between separators, or of the whole if its characters are mixed, reaches the
+threshold of its character class, and no allow-list pattern speaks for it.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ CANDIDATE = rf"(?<!{_KEY})(?={_KEY}{{20}})(?=[A-Za-z+/_=-]*+[0-9])(?=[0-9+/_=-]*
 WINDOW = 20
 #: Class of a candidate's characters, and the bits a window must reach; random strings of the class lie above.
 THRESHOLDS = (("hex", "[0-9a-fA-F]+", 3.0), ("alnum", "[A-Za-z0-9]+", 3.6), ("key", ".+", 3.8))
+#: What a candidate with separators needs besides, so that hyphenated words are none.
+MIXED = "^(?=.*[a-z])(?=.*[A-Z]).*[0-9]"
 #: What looks random and is no secret: identifiers of records, digests that are named as such, placeholders, alphabets.
 ALLOW = (
     "[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}",
@@ -62,8 +65,14 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     scanned whole, other columns are ignored.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    bits = " ".join(f"WHEN x.m RLIKE {quoted(f'^(?:{pattern})$')} THEN {bound}D" for _, pattern, bound in thresholds)
-    rule = f"NOT (x.m RLIKE {quoted('^(?:' + '|'.join(allow) + ')$')}) AND {window_entropy('x.m', window)} >= CASE {bits} END" if allow else f"{window_entropy('x.m', window)} >= CASE {bits} END"
+    def over(x: str) -> str:
+        bits = " ".join(f"WHEN {x} RLIKE {quoted(f'^(?:{pattern})$')} THEN {bound}D" for _, pattern, bound in thresholds)
+        return f"{window_entropy(x, window)} >= CASE {bits} END"
+
+    parts = f"filter(split(x.m, '[_-]'), z -> length(z) >= {window})"
+    rule = f"(exists({parts}, z -> {over('z')}) OR (x.m RLIKE '[_-]' AND x.m RLIKE {quoted(MIXED)} AND {over('x.m')}))"
+    if allow:
+        rule = f"NOT (x.m RLIKE {quoted('^(?:' + '|'.join(allow) + ')$')}) AND {rule}"
     rows = rows.withColumns(
         {
             "assign": F.expr(matches("_text", ASSIGN, 2, "length(x.v) >= 8")),
