@@ -32,16 +32,20 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Names for columns that exist within a stage only.
+KEY, FOUND = "_pipeline_key", "_pipeline_found"
+
+
 def _keyed(docs: DataFrame, *more: str) -> DataFrame:
     """A key that is never null and tells apart whatever the operators can tell apart: rows of one key are treated alike."""
-    return docs.withColumn("_key", F.concat_ws("/", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.xxhash64("text", *more).cast("string")))
+    return docs.withColumn(KEY, F.concat_ws("/", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.xxhash64("text", *more).cast("string")))
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep what the quality rules keep."""
     keyed = _keyed(docs, "lang")
-    lost = quality_rules(keyed, _table(spark, sf_dir, "labels"), carry=("_key",)).where("not kept").select("_key").distinct()
-    return keyed.join(lost, "_key", "left_anti").select(*docs.columns)
+    lost = quality_rules(keyed, _table(spark, sf_dir, "labels"), carry=(KEY,)).where("not kept").select(KEY).distinct()
+    return keyed.join(lost, KEY, "left_anti").select(*docs.columns)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,20 +63,21 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replace personal data in the texts."""
     keyed = _keyed(docs)
-    found = personal_data(keyed, id_col="_key").where("size(found) > 0").select(F.col("doc_id").alias("_key"), F.col("found").alias("_found")).dropDuplicates(["_key"])
+    found = personal_data(keyed, id_col=KEY).where("size(found) > 0").select(F.col("doc_id").alias(KEY), F.col("found").alias(FOUND)).dropDuplicates([KEY])
     none = F.expr("cast(array() AS array<struct<s:int,k:int,e:int,kind:string>>)")
-    joined = keyed.join(found, "_key", "left").withColumn("_found", F.coalesce("_found", none))
-    masked = joined.withColumn("text", redact(F.col("text"), "_found"))
+    joined = keyed.join(found, KEY, "left").withColumn(FOUND, F.coalesce(FOUND, none))
+    masked = joined.withColumn("text", redact(F.col("text"), FOUND))
     if "n_chars" in docs.columns:
-        masked = masked.withColumn("n_chars", F.when(F.size("_found") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+        masked = masked.withColumn("n_chars", F.when(F.size(FOUND) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return masked.select(*docs.columns)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents of the mix: their columns, and ``copies``, how often each is taken."""
-    keyed = _keyed(docs, "source")
-    plan = mix_sources(keyed, carry=("_key",)).where("copies > 0").groupBy("_key").agg(F.max("copies").alias("copies"))
-    return keyed.join(plan, "_key").select(*docs.columns, "copies")
+    """The documents of the mix: their columns, and ``copies``, how often each is taken; it takes the place of a column of that name."""
+    own = [c for c in docs.columns if c.lower() != "copies"]
+    keyed = _keyed(docs.select(own), "source")
+    plan = mix_sources(keyed, carry=(KEY,)).where("copies > 0").groupBy(KEY).agg(F.max("copies").alias("copies"))
+    return keyed.join(plan, KEY).select(*own, "copies")
 
 
 STAGES = [
