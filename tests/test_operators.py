@@ -173,6 +173,17 @@ def test_files(spark, tmp_path):
     assert tuple(row) == ("b.wet", "/a/b.txt")
 
 
+def test_token_files(spark, tmp_path):
+    import numpy as np
+
+    ids = np.arange(70_000, dtype="<u2")
+    np.save(tmp_path / "a.npy", ids)
+    (tmp_path / "b.bin").write_bytes(ids.tobytes())
+    for name in ("a.npy", "b.bin"):
+        rows = files.read_token_files(spark, str(tmp_path / name), chunk=30_000).orderBy("start").collect()
+        assert [x for r in rows for x in r.ids] == ids.tolist() and [r.start for r in rows] == [0, 30_000, 60_000]
+
+
 def test_streams(spark, tmp_path):
     good = "the quick brown fox jumps over lazy dogs " * 10
     rows = [(1, good, "2024-01-01 00:00:00"), (2, good, "2024-01-01 00:01:00"), (3, "too short", "2024-01-01 00:02:00")]

@@ -96,5 +96,5 @@ def test_html(spark):
 
 def test_decode(spark):
     df = spark.createDataFrame([(bytearray(b"ok \xc3\xa9"),), (bytearray(b"bad \xff"),)], "b binary")
-    rows = df.select(T.decode_bytes(F.col("b")).alias("r"), T.decode_bytes(F.col("b"), "strict").alias("s")).collect()
-    assert [(r.r, r.s) for r in rows] == [("ok é", "ok é"), ("bad �", None)]
+    rows = df.select(T.decode_bytes(F.col("b")).alias("r"), T.decode_bytes(F.col("b"), "strict").alias("s"), T.decode_bytes(F.col("b"), "ignore").alias("i")).collect()
+    assert [(r.r, r.s, r.i) for r in rows] == [("ok é", "ok é", "ok é"), ("bad �", None, "bad ")]

@@ -112,8 +112,14 @@ def html_to_text(page: Column) -> Column:
 
 
 def decode_bytes(payload: Column, errors: str = "replace") -> Column:
-    """UTF-8 text of a binary column: bad bytes replaced, or null with ``strict``."""
-    return F.make_valid_utf8(payload.cast("string")) if errors == "replace" else F.try_validate_utf8(payload.cast("string"))
+    """UTF-8 text of a binary column: bad bytes replaced, dropped with ``ignore``, or the whole null with ``strict``.
+
+    Dropping also drops replacement characters that the text itself holds.
+    """
+    if errors == "strict":
+        return F.try_validate_utf8(payload.cast("string"))
+    text = F.make_valid_utf8(payload.cast("string"))
+    return F.replace(text, F.lit("\ufffd"), F.lit("")) if errors == "ignore" else text
 
 
 def heuristics(text: Column) -> dict[str, Column]:

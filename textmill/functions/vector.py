@@ -38,6 +38,19 @@ def log_sum_exp(x: Column) -> Column:
     return let(F.array_max(x), lambda m: m + F.ln(_sum(F.transform(x, lambda v: F.exp(v - m)))))
 
 
+def online_lse(x: Column, tile: int = 16) -> Column:
+    """Log-sum-exp in one pass over tiles: a running maximum and a running sum that is rescaled when the maximum grows."""
+    start = F.struct(F.lit(float("-inf")).alias("m"), F.lit(0.0).alias("l"))
+
+    def step(a: Column, k: Column) -> Column:
+        part = F.slice(x, k * tile + 1, F.lit(tile))
+        top = F.greatest(a["m"], F.array_max(part))
+        return let(top, lambda m: F.struct(m.alias("m"), (a["l"] * F.exp(a["m"] - m) + _sum(F.transform(part, lambda v: F.exp(v - m)))).alias("l")))
+
+    tiles = F.sequence(F.lit(0), F.ceil(F.size(x) / tile).cast("int") - 1)
+    return F.aggregate(tiles, start, step, lambda a: a["m"] + F.ln(a["l"]))
+
+
 def cross_entropy(logits: Column, target: Column) -> Column:
     """Negative log-probability of the target, which counts from 0; null if it is out of range."""
     return log_sum_exp(logits) - F.get(logits, target)

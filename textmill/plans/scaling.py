@@ -134,3 +134,13 @@ SQL["budget_gate"] = f"""WITH c AS (SELECT (stratum * 100 + k)::INTEGER AS seq,
   b AS (SELECT *, coalesce(sum(CASE WHEN final_loss IS NOT NULL THEN cost ELSE 0 END) OVER (ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM c),
   s AS (SELECT *, max((before + cost > 0.95 * 4e17)::INTEGER) OVER (ORDER BY seq) AS shut FROM b)
   SELECT seq, cost, final_loss, before + CASE WHEN final_loss IS NOT NULL THEN cost ELSE 0 END AS spent FROM s WHERE shut = 0"""
+
+
+def power_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted sizes along a logarithmic range of budgets (CP18)."""
+    laws = S.power_laws(S.isoflop_optima(runs(spark)))
+    return S.extrapolate(laws, tuple(10.0 ** (17 + k / 2) for k in range(15))).select("law", F.round(F.log10("compute_budget"), 3).alias("log_budget"), F.round(F.ln("value"), 6).alias("log_value"))
+
+
+QUERIES["power_curve"] = power_curve
+SQL["power_curve"] = f"SELECT law, round(17 + k / 2, 3) AS log_budget, round(ln(factor * pow(pow(10.0::DOUBLE, 17 + k / 2), exponent)), 6) AS log_value FROM ({_LAWS}), (SELECT unnest(range(0, 15)) AS k)"

@@ -187,3 +187,36 @@ def parameter_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["parameter_count"] = parameter_count
 SQL["parameter_count"] = "SELECT layers, 12 * layers * d * d AS without, 12 * layers * d * d + 2 * 10000 * d AS with_embeddings FROM (SELECT l AS layers, l * 64 AS d FROM (SELECT unnest(range(1, 13)) AS l))"
+
+
+def online_softmax(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-sum-exp of each vector by tiles (WN9)."""
+    return vectors(spark, sf_dir).select("vec_id", F.round(V.online_lse(F.col("x")), 6).alias("lse"))
+
+
+QUERIES["online_softmax"] = online_softmax
+SQL["online_softmax"] = f"SELECT vec_id, round({_LSE}, 6) AS lse FROM {_X}"
+
+HEADS = 4
+
+
+def multi_head_attention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Causal attention of four heads with rotary queries and keys; heads are rows until they are joined again (NN8)."""
+    size = 64 // HEADS
+    rows = vectors(spark, sf_dir).select(F.floor(F.col("vec_id") / LENGTH).alias("seq"), (F.col("vec_id") % LENGTH).alias("pos"), "vec_id", F.posexplode(F.array(*[F.slice("x", h * size + 1, size) for h in range(HEADS)])).alias("head", "v"))
+    rows = rows.withColumn("r", V.rope(F.col("v"), F.col("pos")))
+    q, k = rows.select("seq", "head", "vec_id", F.col("pos").alias("at"), F.col("r").alias("q")), rows.select("seq", "head", "pos", F.col("r").alias("k"), "v")
+    scored = q.join(k, ["seq", "head"]).where("pos <= at").select("vec_id", "head", "v", (V.dot(F.col("q"), F.col("k")) / F.sqrt(F.lit(float(size)))).alias("s"))
+    by = Window.partitionBy("vec_id", "head")
+    weight = scored.withColumn("e", F.exp(F.col("s") - F.max("s").over(by))).withColumn("a", F.col("e") / F.sum("e").over(by))
+    total = F.aggregate("v", F.lit(0.0), lambda a, x: a + x)
+    return weight.groupBy("vec_id").agg(F.round(F.sum(F.col("a") * total), 5).alias("total"), F.round(F.sum(F.col("a") * total * (F.col("head") + 1)), 5).alias("by_head"))
+
+
+_HEAD_ANGLE = "(pos / pow(10000.0::DOUBLE, 2.0::DOUBLE * k / 16))"
+QUERIES["multi_head_attention"] = multi_head_attention
+SQL["multi_head_attention"] = f"""WITH h AS (SELECT vec_id // 16 AS seq, vec_id % 16 AS pos, vec_id, head, x[head * 16 + 1 : head * 16 + 16] AS v FROM {_X}, (SELECT unnest(range(0, 4)) AS head)),
+  r AS (SELECT *, flatten(list_transform(range(0, 8), lambda k: [v[2 * k + 1] * cos({_HEAD_ANGLE}) - v[2 * k + 2] * sin({_HEAD_ANGLE}), v[2 * k + 1] * sin({_HEAD_ANGLE}) + v[2 * k + 2] * cos({_HEAD_ANGLE})])) AS r FROM h),
+  s AS (SELECT q.vec_id, q.head, k.v, list_sum(list_transform(range(1, 17), lambda i: q.r[i] * k.r[i])) / 4 AS s FROM r q JOIN r k ON q.seq = k.seq AND q.head = k.head AND k.pos <= q.pos),
+  e AS (SELECT *, exp(s - max(s) OVER (PARTITION BY vec_id, head)) AS e FROM s), a AS (SELECT *, e / sum(e) OVER (PARTITION BY vec_id, head) AS a FROM e)
+  SELECT vec_id, round(sum(a * list_sum(v)), 5) AS total, round(sum(a * list_sum(v) * (head + 1)), 5) AS by_head FROM a GROUP BY vec_id"""

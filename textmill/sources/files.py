@@ -30,6 +30,24 @@ def read_runs(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("parameters long, compute_budget double, final_loss double").option("multiLine", True).json(path)
 
 
+def read_token_files(spark: SparkSession, path: str, chunk: int = 1 << 16) -> DataFrame:
+    """``file, start, ids``: flat files of unsigned 16-bit little-endian ids, raw or as one-dimensional ``.npy``, in chunks."""
+    import io
+
+    import numpy as np
+    import pandas as pd
+
+    def run(batches):
+        for batch in batches:
+            for file, content in zip(batch["path"], batch["content"], strict=True):
+                data = bytes(content)
+                ids = np.load(io.BytesIO(data)) if data[:6] == b"\x93NUMPY" else np.frombuffer(data, "<u2", len(data) // 2)
+                for k in range(0, len(ids), chunk):
+                    yield pd.DataFrame({"file": [file], "start": [k], "ids": [ids[k : k + chunk].astype("int32")]})
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "file string, start long, ids array<int>")
+
+
 def base_name(path: Column) -> Column:
     return F.element_at(F.split(path, "/"), -1)
 
