@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from textmill.session import settle
 
 
-def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, rounds: int = 60, share: int = 50_000) -> DataFrame:
     """Label each vertex of an undirected graph with the least vertex it reaches.
 
     ``edges`` has columns ``u`` and ``v`` (long). Returns ``vertex, label`` for
@@ -16,19 +16,22 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     ignored, repeated edges count once, no edge gives an empty result. Each round
     rewires every vertex to the least vertex it knows; the number of rounds grows
     with the logarithm of the longest path. Nothing but two numbers a round comes
-    to the driver.
+    to the driver. The tasks of a round follow the number of edges, ``share`` each,
+    so that a small graph does not pay for all shuffle partitions in every round.
     """
     now = settle(
         edges.where("u is not null and v is not null and u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     )
+    parts = now.count() // share + 1
     seen = None
     for _ in range(rounds):
+        now = now.coalesce(parts)
         both = now.union(now.select("v", "u"))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        now = settle(small.union(least.select("u", F.col("m"))).where("u <> v").distinct())
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")).coalesce(parts)
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).coalesce(parts).distinct().coalesce(parts)
+        least = large.groupBy("u").agg(F.min("v").alias("m")).coalesce(parts)
+        small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).coalesce(parts)
+        now = settle(small.union(least.select("u", F.col("m"))).where("u <> v").distinct().coalesce(parts))
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == seen:
             break
