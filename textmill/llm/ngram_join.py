@@ -16,9 +16,10 @@
    overlap of the shared path, and leaves a subtree as soon as the members it has
    left cannot reach the overlap that is needed. Sets that are connected already
    are not compared again, so a large group of near copies costs about one
-   comparison a member. Neighbourhoods over ``block`` classes are dealt into
-   blocks: the first block meets each block in a task of its own, and then only
-   what is not in the largest component so far meets all blocks.
+   comparison a member. Neighbourhoods over ``block`` classes, or with as many
+   members as so many classes of 300, are dealt into blocks: the first block meets
+   each block in a task of its own, and then only what is not in the largest
+   component so far meets all blocks.
 """
 
 from __future__ import annotations
@@ -35,6 +36,8 @@ from textmill.operators.components import connected_components
 
 #: Bytes of text that are worked on at a time, and the count from which an n-gram's places stay with its batch.
 SLICE, HOT = 2 << 20, 32
+#: Mean members of a class in a block, from which a block holds fewer classes.
+BLOCK_MEMBERS = 300
 _NONE = np.zeros(0, np.uint64)
 
 
@@ -304,7 +307,9 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, percent: int = 75, id_col: s
     areas = connected_components(grams.join(least, "gram").select("u", F.col("id").alias("v")).where("u <> v").distinct())
 
     areas = areas.union(areas.select("label", "label").distinct()).toDF("id", "area")
-    wide = areas.groupBy("area").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    # A block is bounded in classes and in members, so that large sets do not make large tasks.
+    size = F.greatest(F.count("*") / block, F.sum("n") / (BLOCK_MEMBERS * block))
+    wide = areas.join(full.select("id", "n").dropDuplicates(["id"]), "id").groupBy("area").agg(F.ceil(size).cast("int").alias("blocks"))
     own = F.when(F.col("blocks") == 1, 0).otherwise(F.pmod(F.xxhash64("id", F.lit(7)), F.col("blocks"))).cast("int")
     areas = settle(areas.join(wide, "area").withColumn("own", own))
     # Small neighbourhoods: several in a task. Wide ones: the first block against each block.
