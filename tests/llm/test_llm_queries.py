@@ -506,6 +506,15 @@ def test_bootstrapped_identifiers(spark):
     assert got == {i: (["12-3456-789"] if i == 4 else []) for i in range(len(rows))}
 
 
+def test_context_words_count_in_all_documents(spark):
+    cards = ["4111111111111111", "5500000000000004", "6011000000000004"]
+    rows = [f"invoice {c} paid" for c in cards] + ["invoice 12-3456-789 open"]
+    for plain, found in (([None, "", "no number"], ["12-3456-789"]), (["the Invoice and an invoice"] * 20, [])):
+        df = spark.createDataFrame(list(enumerate(rows + plain)), "doc_id long, text string")
+        got = {r.doc_id: [rows[r.doc_id][x.s : x.e] for x in r.id] for r in pii.personal_data(df).where("size(id) > 0").collect()}
+        assert got == ({3: found} if found else {})
+
+
 def test_redaction(spark):
     df = spark.createDataFrame([("x a@b.de, 1.2.3.4é", [(2, 0, 8, "email"), (10, 1, 17, "ip")]), ("abc", []), ("abcdef", [(0, 0, 3, "ip"), (2, 1, 5, "card")])], "t string, f array<struct<s:int,k:int,e:int,kind:string>>")
     assert [r[0] for r in df.select(pii.redact(F.col("t"), "f")).collect()] == ["x [EMAIL], [IP]é", "abc", "[IP]f"]

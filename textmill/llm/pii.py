@@ -4,8 +4,8 @@ Identifier-like tokens stand behind words. Tokens that a fixed pattern finds are
 the seeds; the word before a token is its lexical pattern. Patterns and token
 strings (instances) form a graph that is scored in rounds: the confidence of a
 pattern is the score it sees over all its occurrences, with or without an
-identifier behind it, in the documents that hold candidates; the score of an
-instance that is no seed is what its patterns say together (noisy or). Patterns
+identifier behind it, in all documents; the score of an instance that is no seed
+is what its patterns say together (noisy or). Patterns
 with enough distinct instances and a high confidence then tell which other tokens
 are identifiers too. An ordinary word that happens to stand before some numbers
 has a low confidence, because it mostly stands before other words.
@@ -66,16 +66,15 @@ def base_spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     meets = " OR ".join(f"exists({k}, y -> y.s < x.e AND x.s < y.e)" for k in KINDS)
     seen = f"transform(seen, x -> named_struct('s', x.s, 'e', x.e, 'm', x.m, 'left', CASE WHEN x.p RLIKE '[^\\\\x20\\\\x09-\\\\x0D]' THEN {last} ELSE '' END, 'seed', {meets}))"
     rows = rows.withColumn("seen", F.expr(seen))
-    words = F.when(F.size("seen") > 0, F.filter(F.split(F.lower(text), SPACE), lambda w: w != ""))
     slim = "transform({0}, x -> named_struct('s', x.s, 'e', x.e))"
-    return rows.select("row", "doc_id", *[F.expr(slim.format(k)).alias(k) for k in KINDS], "seen", words.alias("words"))
+    return rows.select("row", "doc_id", *[F.expr(slim.format(k)).alias(k) for k in KINDS], "seen")
 
 
 def score_patterns(edges: DataFrame, totals: DataFrame, boot: Bootstrap) -> DataFrame:
     """Confidence of each pattern: ``left, support, confidence``.
 
     ``edges`` has ``left, m, seed`` for each candidate occurrence; ``totals`` has
-    ``left, total``, how often the word stands anywhere in documents with candidates.
+    ``left, total``, how often the word stands anywhere in the corpus.
     """
     edges = settle(edges.where("left <> ''").groupBy("left", "m").agg(F.count("*").alias("n"), F.max(F.col("seed").cast("int")).alias("seed")))
     seeds = edges.groupBy("m").agg(F.max("seed").alias("score")).select("m", F.col("score").cast("double"))
@@ -100,10 +99,11 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     gives an empty result.
     """
     rows = settle(base_spans(docs, id_col, text_col))
-    some = rows.where("words is not null")
-    edges = some.select("row", F.explode("seen").alias("c")).select("row", "c.*")
+    edges = rows.select("row", F.explode("seen").alias("c")).select("row", "c.*")
     lefts = edges.where("left <> ''").select("left").distinct()
-    totals = some.select(F.explode("words").alias("left")).groupBy("left").agg(F.count("*").alias("total")).join(lefts, "left", "left_semi")
+    words = F.filter(F.split(F.lower(F.coalesce(F.col(text_col), F.lit(""))), SPACE), lambda w: w != "")
+    # Counted once: each round of scores reads the totals.
+    totals = settle(docs.select(F.explode(words).alias("left")).groupBy("left").agg(F.count("*").alias("total")).join(lefts, "left", "left_semi"))
     patterns = score_patterns(edges.select("left", "m", "seed"), totals, boot)
     good = patterns.where(F.col("confidence") >= boot.confidence).select("left")
     more = edges.where("not seed").join(good, "left", "left_semi").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("s", "e"))).alias("id"))
