@@ -515,6 +515,33 @@ def test_context_words_count_in_all_documents(spark):
         assert got == ({3: found} if found else {})
 
 
+@pytest.mark.parametrize(
+    "seeds",
+    [
+        ["jo.doe@mail2.example.com", "a@b.de", "x-y@z.org", "me@mail.net"],
+        ["161.17.88.162", "10.0.0.1", "8.8.8.8", "192.168.0.1"],
+        ["4111 1111 1111 1111", "5500-0000-0000-0004", "3400 0000 0000 009", "6011 0000 0000 0004"],
+        ["+1 (017) 555-7713", "+1-555-123-4567", "+49 30 1234 5678", "+44 20 7946 0958"],
+    ],
+)
+def test_every_kind_seeds_its_context(spark, seeds):
+    rows = [f"reach: {x} today" for x in seeds] + ["reach: AB-12345 today", "other AB-98765 today"]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r.doc_id: [rows[r.doc_id][x.s : x.e] for x in r.id] for r in pii.personal_data(df).collect()}
+    assert got == {i: (["AB-12345"] if i == 4 else []) for i in range(len(rows))}
+
+
+def test_edges_of_spans(spark):
+    rows = ["mail: jo.doe@mail2.example.com", "phone: +1 (017) 555-7713", "Mail A@1.2.3.4 ref 12345678", "ip: 1.2.3.4, 5.6.7.8"]
+    seen = pii.base_spans(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"), "doc_id", "text").collect()
+    assert {r.doc_id: [(x.left, x.m, x.seed) for x in r.seen] for r in seen} == {
+        0: [("mail:", "jo.doe@mail2.example.com", True)],
+        1: [("phone:", "+1 (017) 555-7713", True)],
+        2: [("mail", "A@1.2.3.4", True), ("ref", "12345678", False)],
+        3: [("ip:", "1.2.3.4", True), (",", "5.6.7.8", True)],
+    }
+
+
 def test_redaction(spark):
     df = spark.createDataFrame([("x a@b.de, 1.2.3.4é", [(2, 0, 8, "email"), (10, 1, 17, "ip")]), ("abc", []), ("abcdef", [(0, 0, 3, "ip"), (2, 1, 5, "card")])], "t string, f array<struct<s:int,k:int,e:int,kind:string>>")
     assert [r[0] for r in df.select(pii.redact(F.col("t"), "f")).collect()] == ["x [EMAIL], [IP]é", "abc", "[IP]f"]

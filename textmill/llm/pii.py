@@ -1,8 +1,9 @@
 """Personal data: fixed patterns and bootstrapped contextual extraction, native.
 
-Identifier-like tokens stand behind words. Tokens that a fixed pattern finds are
-the seeds; the word before a token is its lexical pattern. Patterns and token
-strings (instances) form a graph that is scored in rounds: the confidence of a
+Personal data stand behind words. Spans of the fixed patterns, of every kind, are
+the seeds, and other identifier-like tokens are what may be discovered; the word
+before a span or token is its lexical pattern. Patterns and strings (instances)
+form a graph that is scored in rounds: the confidence of a
 pattern is the score it sees over all its occurrences, with or without an
 identifier behind it, in all documents; the score of an instance that is no seed
 is what its patterns say together (noisy or). Patterns
@@ -55,17 +56,20 @@ def base_spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias(text), F.monotonically_increasing_id().alias("row"))
     rows = rows.withColumns(
         {
-            "email": F.expr(matches(text, EMAIL)),
-            "ip": F.expr(matches(text, IP, 0, IP_VALID)),
-            "card": F.expr(matches(text, CARD, 0, CARD_VALID)),
-            "phone": F.expr(matches(text, PHONE, 0, PHONE_VALID)),
+            "email": F.expr(matches(text, EMAIL, piece=True)),
+            "ip": F.expr(matches(text, IP, 0, IP_VALID, piece=True)),
+            "card": F.expr(matches(text, CARD, 0, CARD_VALID, piece=True)),
+            "phone": F.expr(matches(text, PHONE, 0, PHONE_VALID, piece=True)),
             "seen": F.expr(matches(text, CANDIDATE, 0, piece=True)),
         }
     )
     last = f"element_at(filter(split(lower(x.p), {quoted(SPACE)}), w -> w <> ''), -1)"
+    edge = f"named_struct('s', x.s, 'e', x.e, 'm', x.m, 'left', CASE WHEN x.p RLIKE '[^\\\\x20\\\\x09-\\\\x0D]' THEN {last} ELSE '' END, 'seed', {{}})"
     meets = " OR ".join(f"exists({k}, y -> y.s < x.e AND x.s < y.e)" for k in KINDS)
-    seen = f"transform(seen, x -> named_struct('s', x.s, 'e', x.e, 'm', x.m, 'left', CASE WHEN x.p RLIKE '[^\\\\x20\\\\x09-\\\\x0D]' THEN {last} ELSE '' END, 'seed', {meets}))"
-    rows = rows.withColumn("seen", F.expr(seen))
+    # A span that begins inside another has a piece of that one before it, no word.
+    inside = " OR ".join(f"exists({k}, y -> y.s < x.s AND x.s < y.e)" for k in KINDS)
+    seeds = [f"transform(filter({k}, x -> NOT ({inside})), x -> {edge.format('true')})" for k in KINDS]
+    rows = rows.withColumn("seen", F.expr(f"concat({', '.join(seeds)}, transform(filter(seen, x -> NOT ({meets})), x -> {edge.format('false')}))"))
     slim = "transform({0}, x -> named_struct('s', x.s, 'e', x.e))"
     return rows.select("row", "doc_id", *[F.expr(slim.format(k)).alias(k) for k in KINDS], "seen")
 
@@ -73,7 +77,7 @@ def base_spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def score_patterns(edges: DataFrame, totals: DataFrame, boot: Bootstrap) -> DataFrame:
     """Confidence of each pattern: ``left, support, confidence``.
 
-    ``edges`` has ``left, m, seed`` for each candidate occurrence; ``totals`` has
+    ``edges`` has ``left, m, seed`` for each base span and other candidate; ``totals`` has
     ``left, total``, how often the word stands anywhere in the corpus.
     """
     edges = settle(edges.where("left <> ''").groupBy("left", "m").agg(F.count("*").alias("n"), F.max(F.col("seed").cast("int")).alias("seed")))
