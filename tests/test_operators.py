@@ -193,3 +193,14 @@ def test_streams(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert spark.table("curated").count() == 1
+
+
+def test_registered_vocabulary_is_the_references(spark, tmp_path):
+    from textmill.plans import tokens
+
+    words = [" ".join(f"{a}{b}{c}" for c in "abcdefghij") for a in "klmnopqrst" for b in "uvwxyzabcd"]
+    spark.createDataFrame(list(enumerate(words)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    # Every pair that is left is merged: each distinct word is one token in the end.
+    assert tokens.VOCABULARY == 10_000
+    assert tokens.bpe_merges(spark, str(tmp_path)).count() > 1000
+    assert {r.n_tokens for r in tokens.bpe_encode(spark, str(tmp_path)).collect()} == {11}

@@ -48,7 +48,7 @@ def bpe_best_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["bpe_best_pair"] = bpe_best_pair
 SQL["bpe_best_pair"] = f'WITH k AS ({_COUNTS}) SELECT "left", "right", n FROM ({_PAIRS}) ORDER BY n DESC, "left" DESC, "right" DESC LIMIT 1'
 
-VOCABULARY = 600
+VOCABULARY = 10_000
 
 
 def tokenizer(spark: SparkSession, sf_dir: str, size: int = VOCABULARY) -> B.Tokenizer:
