@@ -204,3 +204,20 @@ def test_registered_vocabulary_is_the_references(spark, tmp_path):
     assert tokens.VOCABULARY == 10_000
     assert tokens.bpe_merges(spark, str(tmp_path)).count() > 1000
     assert {r.n_tokens for r in tokens.bpe_encode(spark, str(tmp_path)).collect()} == {11}
+
+
+def test_broken_records_are_skipped():
+    import gzip
+
+    from textmill.sources.warc import records
+
+    def record(body, length=None):
+        return b"WARC/1.0\r\nWARC-Type: x\r\n" + (f"Content-Length: {len(body)}".encode() if length is None else length) + b"\r\n\r\n" + body + b"\r\n\r\n"
+
+    for bad in (record(b"bad", b"Content-Length: no"), record(b"bad", b"X: y"), record(b"bad", b"Content-Length: -9"), b"WARC/1.0\r\nWARC-Type: x\r\n"):
+        assert [r[3] for r in records(bad + record(b"one") + bad + record(b"two"))] == [b"one", b"two"]
+    members = [bytearray(gzip.compress(record(b * 200))) for b in (b"a", b"b", b"c")]
+    for broken in range(2):
+        data = [bytes(m) for m in members]
+        data[broken] = data[broken][:-8] + b"\0" * 8
+        assert [r[3][:1] for r in records(b"".join(data))] == [b for k, b in enumerate((b"a", b"b", b"c")) if k != broken]

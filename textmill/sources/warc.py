@@ -14,36 +14,47 @@ from pyspark.sql import functions as F
 from textmill.functions.text import decode_bytes
 
 SCHEMA = "file string, rec_no long, rec_type string, uri string, headers map<string,string>, payload binary"
+_VERSION = re.compile(rb"^WARC/\d", re.M)
 _HEADER = re.compile(rb"^([^:\r\n]+):[ \t]*(.*?)\r?$", re.M)
 
 
 def _plain(data: bytes) -> bytes:
-    """All members of a gzip file; other data as they are. A cut last member gives what it holds."""
+    """All members of a gzip file; other data as they are. A cut last member gives what it holds, a corrupt one nothing: reading resumes at the next."""
     if data[:2] != b"\x1f\x8b":
         return data
     out = io.BytesIO()
-    while data[:2] == b"\x1f\x8b":
+    while data:
         member = zlib.decompressobj(31)
         try:
             out.write(member.decompress(data))
+            data = member.unused_data
         except zlib.error:
-            break
-        data = member.unused_data
+            at = data.find(b"\x1f\x8b\x08", 1)
+            data = data[at:] if at > 0 else b""
     return out.getvalue()
 
 
 def records(data: bytes) -> Iterator[tuple[str, str | None, dict[str, str], bytes]]:
-    """``rec_type, uri, headers, payload`` of each record; a broken record ends the file."""
+    """``rec_type, uri, headers, payload`` of each record; after a broken record reading resumes at the next version line."""
     data, at = _plain(data), 0
     while (at := data.find(b"WARC/", at)) >= 0:
         end = re.compile(rb"\r?\n\r?\n").search(data, at)
         if not end:
             return
+        if later := _VERSION.search(data, at + 5, end.start()):
+            at = later.start()  # this header was cut off
+            continue
         headers = {k.decode("latin-1").strip().lower(): v.decode("utf-8", "replace").strip() for k, v in _HEADER.findall(data[at : end.start()])}
         try:
             size = int(headers.get("content-length", ""))
         except ValueError:
-            return
+            size = -1
+        if size < 0:
+            later = _VERSION.search(data, end.end())
+            if not later:
+                return
+            at = later.start()
+            continue
         yield headers.get("warc-type", ""), headers.get("warc-target-uri"), headers, data[end.end() : end.end() + size]
         at = end.end() + size
 
