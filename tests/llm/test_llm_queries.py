@@ -5,6 +5,7 @@ import html
 import math
 import random
 import re
+import time
 from collections import Counter
 
 import pytest
@@ -534,7 +535,7 @@ def test_every_kind_seeds_its_context(spark, seeds):
 def test_edges_of_spans(spark):
     rows = ["mail: jo.doe@mail2.example.com", "phone: +1 (017) 555-7713", "Mail A@1.2.3.4 ref 12345678", "ip: 1.2.3.4, 5.6.7.8"]
     seen = pii.base_spans(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"), "doc_id", "text").collect()
-    assert {r.doc_id: [(x.left, x.m, x.seed) for x in r.seen] for r in seen} == {
+    assert {r.doc_id: [(x.w1, x.m, x.seed) for x in r.seen] for r in seen} == {
         0: [("mail:", "jo.doe@mail2.example.com", True)],
         1: [("phone:", "+1 (017) 555-7713", True)],
         2: [("mail", "A@1.2.3.4", True), ("ref", "12345678", False)],
@@ -542,9 +543,116 @@ def test_edges_of_spans(spark):
     }
 
 
+def test_words_around_edges(spark):
+    rows = ["The Member No. AB-12345 of us", "12345-67", "x 12345-67, y"]
+    seen = pii.base_spans(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"), "doc_id", "text").collect()
+    assert {r.doc_id: [(x.w2, x.w1, x.r, x.s, x.e) for x in r.seen] for r in seen} == {0: [("member", "no.", "of", 15, 23)], 1: [(None, None, None, 0, 8)], 2: [(None, "x", ",", 2, 10)]}
+
+
+def planted_identifiers(seed):
+    """Texts whose identifiers stand in contexts that addresses share, directly or through identifiers seen elsewhere, and other numbers."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abdeilmnorstu") for _ in range(rng.randint(2, 8)))
+    fill = lambda: " ".join(word() for _ in range(rng.randint(3, 12)))
+    number = lambda shape: "".join(rng.choice("0123456789") if c == "9" else rng.choice("ABCDEFGH") if c == "A" else c for c in shape)
+    members, rows, want = [number("AA-99999-A") for _ in range(60)], [], []
+    for k in range(400):
+        kind, no = k % 8, None
+        if kind < 2:
+            text = f"please contact: {word()}{k}@mail{k % 7}.example.org"
+        elif kind == 2:
+            no = rng.choice(members)
+            text = f"contact: {no}"
+        elif kind == 3:
+            no = rng.choice(members)
+            text = f"member no. {no} joined"
+        elif kind == 4:
+            no = number("AA-99999-A")
+            text = f"member no. {no} joined"
+        elif kind == 5:
+            text = f"the number {number('999999')} of order {number('2099-9999')} and"
+        elif kind == 6:
+            text = f"no. {number('999999')} and please see the member list, no. {word()}"
+        else:
+            text = f"{word()} {number('9999999')} {word()}"
+        rows.append(f"{fill()} {text} {fill()}")
+        want.append({no} - {None})
+    return rows, want
+
+
+def test_planted_identifiers(spark):
+    rows, want = planted_identifiers(4)
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: {rows[r.doc_id][x.s : x.e] for x in r.id} for r in pii.personal_data(df).collect()}
+    hit = sum(len(got[i] & w) for i, w in enumerate(want))
+    assert hit >= 0.9 * sum(map(len, want))
+    assert hit >= 0.95 * sum(len(got[i]) for i in got)
+
+
+def test_planted_secrets(spark):
+    """Random keys of many makes that no fixed pattern names, and long strings that are none."""
+    rng = random.Random(8)
+    alnum, base64, hexes = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "0123456789ABCDEF"
+    key = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    made = [
+        lambda: "ghp_" + key(alnum, 36), lambda: f"xoxb-{key('0123456789', 12)}-{key(alnum, 24)}", lambda: key(base64, 40), lambda: key(hexes, 32), lambda: "sk_live_" + key(alnum, 24),
+        lambda: f"eyJ{key(alnum, 20)}.eyJ{key(alnum, 60)}.{key(alnum, 43)}", lambda: key(alnum, 32) + "==", lambda: "AIza" + key(alnum, 35), lambda: "glpat-" + key(alnum, 20),
+    ]
+    plain = [
+        "internationalization2024andlocalization", "2024-01-05-release-notes-for-version-2-of-the-engine", "https://example.org/archive/2024/01/some-long-article-title-with-many-words", "AAAAAAAAAAAAAAAAAAAAAAAAAAAA1111111111",
+        "123e4567-e89b-12d3-a456-426614174000", "a_very_long_snake_case_name_of_some_test_1", "1234567890abcdefghijklmnopqrstuvwxyz", "/usr/local/lib/python3/site-packages/example",
+    ]
+    rows = [f"x {made[k % len(made)]()} y" for k in range(270)] + [f"x {p} y" for p in plain]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: len(r.found) for r in secrets.secret_spans(df).collect()}
+    assert sum(got[k] > 0 for k in range(270)) >= 0.9 * 270
+    assert not [rows[k] for k in range(270, len(rows)) if got[k]]
+
+
+@pytest.mark.parametrize("name", ["addresses", "keys", "numbers", "identifiers"])
+def test_long_texts_are_linear(spark, name):
+    """A text of a megabyte that is all matches is done in seconds, as is its redaction."""
+    text = {
+        "addresses": " ".join(f"user{i}@mail{i % 9}.example.com" for i in range(36_000)),
+        "keys": " ".join(f"{i * 7919:08x}" * 4 for i in range(30_000)),
+        "numbers": " ".join(f"{i:09d}" for i in range(100_000)),
+        "identifiers": " ".join(f"aZ{i:06d}xQ9rT{i * 7919 % 1000003:07d}LmB2" for i in range(40_000)),
+    }[name]
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    fn = secrets.secret_spans if name in ("keys", "identifiers") else lambda d: pii.base_spans(d.withColumn("_text", F.col("text")), "doc_id", "text")
+    for rows in (df.withColumn("text", F.substring("text", 1, 1000)), df):
+        began = time.monotonic()
+        found = fn(rows).select("found").collect()[0][0]
+        took = time.monotonic() - began
+    assert took < 5
+    if name in ("addresses", "keys"):
+        assert len(found) == len(text.split())
+        began = time.monotonic()
+        spans = spark.createDataFrame([(text, [(x.s, x.k, x.e, x.kind) for x in found])], "t string, f array<struct<s:int,k:int,e:int,kind:string>>")
+        got = spans.select(pii.redact("t", "f").alias("t")).first()[0]
+        assert time.monotonic() - began < 10 and set(got.split()) == {"[EMAIL]" if name == "addresses" else "[HEX]"}
+
+
 def test_redaction(spark):
-    df = spark.createDataFrame([("x a@b.de, 1.2.3.4é", [(2, 0, 8, "email"), (10, 1, 17, "ip")]), ("abc", []), ("abcdef", [(0, 0, 3, "ip"), (2, 1, 5, "card")])], "t string, f array<struct<s:int,k:int,e:int,kind:string>>")
-    assert [r[0] for r in df.select(pii.redact(F.col("t"), "f")).collect()] == ["x [EMAIL], [IP]é", "abc", "[IP]f"]
+    df = spark.createDataFrame([("x a@b.de, 1.2.3.4é", [(2, 0, 8, "email"), (10, 1, 17, "ip")]), ("abc", []), ("abcdef", [(0, 0, 3, "ip"), (2, 1, 5, "card")]), (None, [])], "t string, f array<struct<s:int,k:int,e:int,kind:string>>")
+    assert [r[0] for r in df.select(pii.redact("t", "f")).collect()] == ["x [EMAIL], [IP]é", "abc", "[IP]f", None]
+
+
+def test_redaction_against_brute_force(spark):
+    rng = random.Random(6)
+    rows = []
+    for _ in range(60):
+        text = "".join(rng.choice("ab é😀") for _ in range(rng.choice([1, 30, 1024, 1025, 2048, 5000])))
+        spans = sorted((s, 0, min(len(text), s + rng.choice([1, 3, 40, 1500])), "ip") for s in (rng.randrange(len(text)) for _ in range(rng.randint(0, 12))))
+        rows.append((text, spans))
+    df = spark.createDataFrame(rows, "t string, f array<struct<s:int,k:int,e:int,kind:string>>")
+    for (text, spans), got in zip(rows, [r[0] for r in df.select(pii.redact("t", "f")).collect()], strict=True):
+        out, at = "", 0
+        for k, (s, _, e, _) in enumerate(spans):
+            if not k or s >= at:
+                out += text[at:s] + "[IP]"
+            at = max(at, e)
+        assert got == out + text[at:]
 
 
 def test_spans_odd(odd, none):

@@ -1,15 +1,20 @@
 """Personal data: fixed patterns and bootstrapped contextual extraction, native.
 
-Personal data stand behind words. Spans of the fixed patterns, of every kind, are
-the seeds, and other identifier-like tokens are what may be discovered; the word
-before a span or token is its lexical pattern. Patterns and strings (instances)
-form a graph that is scored in rounds: the confidence of a
-pattern is the score it sees over all its occurrences, with or without an
-identifier behind it, in all documents; the score of an instance that is no seed
-is what its patterns say together (noisy or). Patterns
+Personal data stand in contexts. Spans of the fixed patterns, of every kind, are the
+seeds, and other identifier-like tokens are what may be discovered. Their lexical
+patterns are the word before them, the two words before them, the word before and
+the one after them, and the word before them with the token's shape (its letters and
+digits each as one sign). Patterns and strings (instances) form a graph that is
+scored in rounds: the confidence of a pattern is the score it sees over all its
+occurrences, with or without an identifier in its place, in all documents; the score
+of an instance that is no seed is what its patterns say together (noisy or). Patterns
 with enough distinct instances and a high confidence then tell which other tokens
-are identifiers too. An ordinary word that happens to stand before some numbers
-has a low confidence, because it mostly stands before other words.
+are identifiers too. An ordinary word that happens to stand before some numbers has
+a low confidence, because it mostly stands before other words; for a shape each such
+occurrence of its word counts a part.
+
+Patterns and instances are known by 64-bit hashes, so that a row of the graph has the
+same few bytes however long a token or a word is.
 """
 
 from __future__ import annotations
@@ -20,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textmill.llm.common import SPACE, settle, table
-from textmill.llm.spans import listed, matches, quoted, tagged
+from textmill.llm.spans import apart, in_order, let, listed, matches, quoted, replaced
 
 _LOCAL, _LABEL = "[A-Za-z0-9._%+-]", "[A-Za-z0-9-]"
 EMAIL = rf"(?:\G|(?<!{_LOCAL})){_LOCAL}++@{_LABEL}++(?:\.{_LABEL}++)++"
@@ -44,52 +49,90 @@ CANDIDATE = rf"(?<!{_TOKEN})(?={_TOKEN}{{6}})(?=(?:[A-Za-z-]*+[0-9]){{5}}){_TOKE
 
 @dataclass(frozen=True)
 class Bootstrap:
-    """Rounds of scoring, distinct instances a pattern needs, and the confidence from which it speaks."""
+    """Rounds of scoring, distinct instances a pattern needs, the confidence from which it speaks, and the weight of a word's other occurrences for its shapes."""
 
     rounds: int = 3
     support: int = 3
     confidence: float = 0.5
+    other: float = 0.05
+
+
+#: Patterns that may be broadcast; beyond it the contexts of the corpus are joined by a shuffle.
+MOST_BROADCAST = 200_000
+WORD, PAIR, AROUND, SHAPE = 1, 2, 3, 4
+_CONTEXT = ("m", "w2", "w1", "r")
 
 
 def base_spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``row, doc_id``, the spans of the fixed patterns as ``found`` in order, and ``seen``: where contexts are looked at.
+
+    Of ``seen`` those with ``seed`` are spans that begin in no other span, the rest
+    candidates that meet no span; ``m`` is the string, ``w2, w1, r`` are the words around it.
+    """
     text = "_text"
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias(text), F.monotonically_increasing_id().alias("row"))
-    rows = rows.withColumns(
-        {
-            "email": F.expr(matches(text, EMAIL, piece=True)),
-            "ip": F.expr(matches(text, IP, 0, IP_VALID, piece=True)),
-            "card": F.expr(matches(text, CARD, 0, CARD_VALID, piece=True)),
-            "phone": F.expr(matches(text, PHONE, 0, PHONE_VALID, piece=True)),
-            "seen": F.expr(matches(text, CANDIDATE, 0, piece=True)),
-        }
-    )
-    last = f"element_at(filter(split(lower(x.p), {quoted(SPACE)}), w -> w <> ''), -1)"
-    edge = f"named_struct('s', x.s, 'e', x.e, 'm', x.m, 'left', CASE WHEN x.p RLIKE '[^\\\\x20\\\\x09-\\\\x0D]' THEN {last} ELSE '' END, 'seed', {{}})"
-    meets = " OR ".join(f"exists({k}, y -> y.s < x.e AND x.s < y.e)" for k in KINDS)
-    # A span that begins inside another has a piece of that one before it, no word.
-    inside = " OR ".join(f"exists({k}, y -> y.s < x.s AND x.s < y.e)" for k in KINDS)
-    seeds = [f"transform(filter({k}, x -> NOT ({inside})), x -> {edge.format('true')})" for k in KINDS]
-    rows = rows.withColumn("seen", F.expr(f"concat({', '.join(seeds)}, transform(filter(seen, x -> NOT ({meets})), x -> {edge.format('false')}))"))
-    slim = "transform({0}, x -> named_struct('s', x.s, 'e', x.e))"
-    return rows.select("row", "doc_id", *[F.expr(slim.format(k)).alias(k) for k in KINDS], "seen")
-
-
-def score_patterns(edges: DataFrame, totals: DataFrame, boot: Bootstrap) -> DataFrame:
-    """Confidence of each pattern: ``left, support, confidence``.
-
-    ``edges`` has ``left, m, seed`` for each base span and other candidate; ``totals`` has
-    ``left, total``, how often the word stands anywhere in the corpus.
+    every = {
+        "email": matches(text, EMAIL, context=True, needs="@"),
+        "ip": matches(text, IP, 0, IP_VALID, context=True, needs="."),
+        "card": matches(text, CARD, 0, CARD_VALID, context=True),
+        "phone": matches(text, PHONE, 0, PHONE_VALID, context=True, needs="+"),
+        "seen": matches(text, CANDIDATE, 0, context=True),
+    }
+    edge = "named_struct('s', x.s, 'e', x.e, 'm', x.m, 'w2', x.w2, 'w1', x.w1, 'r', x.r, 'seed', x.k < 4)"
+    rows = rows.withColumns({k: F.expr(v) for k, v in every.items()}).select("row", "doc_id", F.expr(in_order({k: k for k in every}, _CONTEXT)).alias("_all"))
+    found = "transform(filter(_all, x -> x.k < 4), x -> named_struct('s', x.s, 'k', x.k, 'e', x.e, 'kind', x.kind))"
+    return rows.select("row", "doc_id", F.expr(found).alias("found"), F.expr(apart("_all", 4, edge)).alias("seen"))
+
+
+def _patterns(x: str) -> str:
+    """SQL for the patterns of an edge: ``kind``, the pattern, and the context whose occurrences the corpus counts."""
+    word, either = f"{x}.w1 RLIKE '\\\\p{{L}}'", f"concat({x}.w2, {x}.w1) RLIKE '\\\\p{{L}}'"
+    shape = f"regexp_replace(regexp_replace({x}.m, '[0-9]', '9'), '[A-Za-z]', 'A')"
+    parts = [
+        (WORD, word, f"xxhash64({WORD}, {x}.w1)"),
+        (PAIR, either, f"xxhash64({PAIR}, {x}.w2, {x}.w1)"),
+        (AROUND, f"{word} AND {x}.r IS NOT NULL", f"xxhash64({AROUND}, {x}.w1, {x}.r)"),
+        (SHAPE, word, f"xxhash64({SHAPE}, {x}.w1, {shape})"),
+    ]
+    made = [f"CASE WHEN {when} THEN named_struct('kind', {kind}, 'pattern', {key}, 'context', {key if kind != SHAPE else parts[0][2]}) END" for kind, when, key in parts]
+    return f"filter(array({', '.join(made)}), y -> y IS NOT NULL)"
+
+
+def edges_of(rows: DataFrame) -> DataFrame:
+    """``row``, ``found`` and ``seen`` with hashes in place of strings: ``s, e, instance, seed, patterns``."""
+    edge = f"named_struct('s', x.s, 'e', x.e, 'instance', xxhash64(x.m), 'seed', x.seed, 'patterns', {_patterns('x')})"
+    return rows.withColumn("seen", F.expr(f"transform(seen, x -> {edge})"))
+
+
+def context_totals(docs: DataFrame, text_col: str, contexts: DataFrame, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
+    """``context, total``: how often each of some contexts stands in all documents, whatever is in the identifier's place."""
+    words = f"filter(split(lower(coalesce(_text, '')), {quoted(SPACE)}), w -> w <> '')"
+    keys = [f"xxhash64({WORD}, x)", f"xxhash64({PAIR}, get(z, i - 1), x)", f"xxhash64({AROUND}, get(z, i - 2), x)"]
+    every = let("z", words, f"flatten(transform(z, (x, i) -> array({', '.join(keys)})))")
+    spoken = docs.select(F.col(text_col).alias("_text")).select(F.explode(F.expr(every)).alias("context"))
+    few = contexts.count() <= most_broadcast
+    return spoken.join(F.broadcast(contexts) if few else contexts, "context", "left_semi").groupBy("context").agg(F.count("*").alias("total"))
+
+
+def score_patterns(graph: DataFrame, totals: DataFrame, boot: Bootstrap) -> DataFrame:
+    """Confidence of each pattern with enough instances: ``pattern, confidence``.
+
+    ``graph`` has ``pattern, kind, context, instance, n, seed``: how often an instance
+    stands in a pattern. ``totals`` has ``context, total``.
     """
-    edges = settle(edges.where("left <> ''").groupBy("left", "m").agg(F.count("*").alias("n"), F.max(F.col("seed").cast("int")).alias("seed")))
-    seeds = edges.groupBy("m").agg(F.max("seed").alias("score")).select("m", F.col("score").cast("double"))
-    scores, patterns = seeds, None
+    own = graph.groupBy("pattern", "kind", "context").agg(F.sum("n").alias("own"), F.count("*").alias("instances")).where(F.col("instances") >= boot.support)
+    total = F.coalesce("total", F.lit(0))
+    every = F.when(F.col("kind") == SHAPE, F.col("own") + boot.other * total).otherwise(F.greatest("own", total))
+    sized = own.join(totals, "context", "left").select("pattern", (every + 1).cast("double").alias("every"))
+    graph = settle(graph.select("pattern", "instance", "n", "seed").join(sized, "pattern"))
+    scores, patterns = graph.groupBy("instance").agg(F.max(F.col("seed").cast("double")).alias("score")), None
     for k in range(boot.rounds):
-        hit = edges.join(scores, "m").groupBy("left").agg(F.sum(F.col("n") * F.col("score")).alias("hit"), F.count_if(F.col("score") >= boot.confidence).alias("support"))
-        patterns = hit.join(totals, "left").select("left", "support", F.when(F.col("support") >= boot.support, F.col("hit") / (F.col("total") + 1)).otherwise(0.0).alias("confidence"))
-        patterns = settle(patterns.where("confidence > 0"))
+        hit = graph.join(scores, "instance").groupBy("pattern", "every").agg(F.sum(F.col("n") * F.col("score")).alias("hit"), F.count_if(F.col("score") >= boot.confidence).alias("support"))
+        patterns = settle(hit.where(F.col("support") >= boot.support).select("pattern", (F.col("hit") / F.col("every")).alias("confidence")))
         if k + 1 < boot.rounds:
-            told = edges.join(patterns, "left").groupBy("m").agg((1 - F.exp(F.sum(F.ln(F.greatest(1 - F.col("confidence"), F.lit(1e-9)))))).alias("told"))
-            scores = settle(seeds.join(told, "m", "left").select("m", F.greatest("score", F.coalesce("told", F.lit(0.0))).alias("score")))
+            doubt = F.exp(F.sum(F.ln(F.greatest(1 - F.coalesce("confidence", F.lit(0.0)), F.lit(1e-9)))))
+            told = graph.join(patterns, "pattern", "left").groupBy("instance").agg(F.greatest(F.max(F.col("seed").cast("double")), 1 - doubt).alias("score"))
+            scores = settle(told.where("score > 0"))
     return patterns
 
 
@@ -102,42 +145,27 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     a row. Texts are scanned whole, other columns are ignored, and an empty table
     gives an empty result.
     """
-    rows = settle(base_spans(docs, id_col, text_col))
+    # Only places and hashes are kept: texts and words are read again where they are counted.
+    rows = settle(edges_of(base_spans(docs, id_col, text_col)))
     edges = rows.select("row", F.explode("seen").alias("c")).select("row", "c.*")
-    lefts = edges.where("left <> ''").select("left").distinct()
-    words = F.filter(F.split(F.lower(F.coalesce(F.col(text_col), F.lit(""))), SPACE), lambda w: w != "")
-    # Counted once: each round of scores reads the totals.
-    totals = settle(docs.select(F.explode(words).alias("left")).groupBy("left").agg(F.count("*").alias("total")).join(lefts, "left", "left_semi"))
-    patterns = score_patterns(edges.select("left", "m", "seed"), totals, boot)
-    good = patterns.where(F.col("confidence") >= boot.confidence).select("left")
-    more = edges.where("not seed").join(good, "left", "left_semi").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("s", "e"))).alias("id"))
-    rows = rows.select("row", "doc_id", *KINDS).join(more, "row", "left").withColumn("id", F.coalesce("id", F.expr("cast(array() AS array<struct<s:int,e:int>>)")))
-    return rows.drop("row").withColumn("found", tagged({k: k for k in (*KINDS, "id")}))
-
-
-def redact(text: Column, spans: str) -> Column:
+    linked = edges.select("instance", "seed", F.explode("patterns").alias("p")).select("instance", "seed", "p.*")
+    graph = settle(linked.groupBy("pattern", "kind", "context", "instance").agg(F.count("*").alias("n"), F.max("seed").alias("seed")))
+    contexts = graph.groupBy("context", "pattern").agg(F.count("*").alias("instances")).where(F.col("instances") >= boot.support).select("context").distinct()
+    totals = settle(context_totals(docs, text_col, settle(contexts)))
+    good = score_patterns(graph, totals, boot).where(F.col("confidence") >= boot.confidence).select("pattern")
+    open_ = edges.where("not seed").select("row", "s", "e", F.explode("patterns.pattern").alias("pattern")).join(good, "pattern", "left_semi").select("row", "s", "e").distinct()
+    more = open_.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("s", F.lit(4).alias("k"), "e", F.lit("id").alias("kind")))).alias("more"))
+    # Only documents with a candidate may have more: the others need no shuffle.
+    has = F.exists("seen", lambda x: ~x["seed"])
+    rest = rows.where(has).select("row", "doc_id", "found").join(more, "row", "left").select("doc_id", F.expr("CASE WHEN more IS NULL THEN found ELSE sort_array(concat(found, more)) END").alias("found"))
+    every = rows.where(~has).select("doc_id", "found").unionByName(rest)
+    of = "transform(filter(found, x -> x.k = {}), x -> named_struct('s', x.s, 'e', x.e))"
+    return every.select("doc_id", *[F.expr(of.format(k)).alias(kind) for k, kind in enumerate((*KINDS, "id"))], "found")
+
+
+def redact(text: str, spans: str) -> Column:
     """The text with each span of a tagged array replaced by its kind in brackets; of spans that meet, the first stays."""
-    kept = f"""aggregate({spans}, named_struct('end', 0, 'out', cast(array() AS array<struct<s:int,e:int,kind:string>>)), (a, x) ->
-      CASE WHEN x.s >= a.end THEN named_struct('end', x.e, 'out', array_append(a.out, named_struct('s', x.s, 'e', x.e, 'kind', x.kind))) ELSE named_struct('end', greatest(a.end, x.e), 'out',
-        transform(a.out, (y, i) -> CASE WHEN i = size(a.out) - 1 THEN named_struct('s', y.s, 'e', greatest(y.e, x.e), 'kind', y.kind) ELSE y END)) END).out"""
-    return F.when(F.size(spans) == 0, text).otherwise(
-        F.transform(
-            F.array(F.struct(F.expr(kept).alias("k"), text.alias("t"))),
-            lambda z: F.concat(
-                F.array_join(
-                    F.transform(
-                        z["k"],
-                        lambda x, i: F.concat(
-                            z["t"].substr(F.coalesce(F.get(z["k"], i - 1)["e"], F.lit(0)) + 1, x["s"] - F.coalesce(F.get(z["k"], i - 1)["e"], F.lit(0))),
-                            F.lit("["), F.upper(x["kind"]), F.lit("]"),
-                        ),
-                    ),
-                    "",
-                ),
-                z["t"].substr(F.element_at(z["k"], -1)["e"] + 1, F.length(z["t"])),
-            ),
-        )[0]
-    )
+    return replaced(text, spans)
 
 
 def op10_pii(spark, sf_dir: str) -> DataFrame:
