@@ -66,7 +66,7 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = personal_data(keyed, id_col=KEY).where("size(found) > 0").select(F.col("doc_id").alias(KEY), F.col("found").alias(FOUND)).dropDuplicates([KEY])
     none = F.expr("cast(array() AS array<struct<s:int,k:int,e:int,kind:string>>)")
     joined = keyed.join(found, KEY, "left").withColumn(FOUND, F.coalesce(FOUND, none))
-    masked = joined.withColumn("text", redact(F.col("text"), FOUND))
+    masked = joined.withColumn("text", redact("text", FOUND))
     if "n_chars" in docs.columns:
         masked = masked.withColumn("n_chars", F.when(F.size(FOUND) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return masked.select(*docs.columns)
