@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textmill.llm.common import SPACE, settle, table
+from textmill.llm.spans import let
 
 
 @dataclass(frozen=True)
@@ -46,24 +47,21 @@ def _let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def repeated_window_words(words: str) -> Column:
-    """Words in 3-word windows that a text has twice or more.
+def repeated_window_words(words: str, key: str = "xxhash64({0}, {1}, {2})") -> Column:
+    """Words in 3-word windows that a text has twice or more; ``words`` names an array.
 
-    ``words`` names an array. The windows' hashes with their positions in the low
-    bits are sorted; equal neighbours are repeats; each repeated window adds the
-    words up to the next. Each ``transform(array(x), v -> ...)[0]`` binds x once.
+    Where all windows' hashes differ, nothing repeats. Else the windows are sorted by
+    hash, words and place; neighbours with the same words are repeats, so that windows
+    that only share a hash are told apart. Each repeated window adds the words up to
+    the next. ``key`` is the hash of three words.
     """
-
-    return F.expr(f"""
-      transform(array({words}), ws -> CASE WHEN size(ws) < 4 THEN 0L ELSE
-        transform(array(cast(ceil(log2(size(ws) + 1.0D)) AS int)), b ->
-          transform(array(sort_array(transform(sequence(0, size(ws) - 3), i -> shiftleft(xxhash64(ws[i], get(ws, i + 1), get(ws, i + 2)), b) | cast(i AS bigint)))), s ->
-            transform(array(sort_array(filter(
-              transform(s, (x, j) -> CASE WHEN shiftright(x, b) = shiftright(get(s, j - 1), b) OR shiftright(x, b) = shiftright(get(s, j + 1), b)
-                THEN x & (shiftleft(1L, b) - 1) END), x -> x IS NOT NULL))), p ->
-              aggregate(transform(p, (x, j) -> least(3L, coalesce(get(p, j + 1) - x, 3L))), 0L, (t, x) -> t + x)
-            )[0])[0])[0]
-      END)[0]""")
+    hashes = f"transform(sequence(0, size(w) - 3), i -> {key.format('w[i]', 'get(w, i + 1)', 'get(w, i + 2)')})"
+    windows = "sort_array(transform(h, (x, i) -> named_struct('h', x, 'a', get(w, i), 'b', get(w, i + 1), 'c', get(w, i + 2), 'i', i)))"
+    alike = " OR ".join("(" + " AND ".join(f"x.{f} = get(s, j {step} 1).{f}" for f in "habc") + ")" for step in "-+")
+    places = f"sort_array(filter(transform(s, (x, j) -> CASE WHEN {alike} THEN x.i END), x -> x IS NOT NULL))"
+    total = let("p", places, "aggregate(transform(p, (x, j) -> least(3, coalesce(get(p, j + 1) - x, 3))), 0L, (t, x) -> t + x)")
+    repeats = let("h", hashes, f"CASE WHEN size(array_distinct(h)) = size(h) THEN 0L ELSE {let('s', windows, total)} END")
+    return F.expr(let("w", words, f"CASE WHEN size(w) < 4 THEN 0L ELSE {repeats} END"))
 
 
 def measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
