@@ -350,6 +350,16 @@ def test_repeats(spark, text):
     assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == base_measures(text)
 
 
+def test_repeats_with_equal_hashes(spark):
+    """Windows of different words that share a hash are no repeats, and windows between equal ones do not hide them."""
+    rng = random.Random(9)
+    rows = [" ".join(rng.choice("abcd") for _ in range(rng.randint(0, 30))) for _ in range(60)] + [" ".join(f"w{i}" for i in range(50))]
+    df = spark.createDataFrame([(t.split(),) for t in rows], "w array<string>")
+    for key in ("0L", "cast(ascii({0}) % 2 AS bigint)", "xxhash64({0}, {1}, {2})"):
+        got = [r[0] for r in df.select(quality.repeated_window_words("w", key)).collect()]
+        assert got == [base_measures(t)[4] for t in rows]
+
+
 def test_binomial(spark):
     cases = [(k, n, p) for n in (1, 5, 50, 900) for k in (0, 1, 3, 40) for p in (0.006, 0.2) if k <= n]
     for p in {c[2] for c in cases}:
@@ -421,6 +431,25 @@ def test_budgets_and_weights(spark):
     assert {r.q: r["count"] for r in low}[0.2] > 1.5 * {r.q: r["count"] for r in low}[1.0]
 
 
+@pytest.mark.parametrize("weight", [0.05, 0.4, 1.0, None])
+def test_buckets_are_small(spark, weight):
+    """Of a source of any weight, or of mixed ones, no bucket holds more than one in a hundred rows, and buckets keep the order of keys."""
+    n = 200_000
+    keys = spark.range(n).select((-F.log((F.pmod(F.xxhash64("id"), F.lit(1 << 40)) + 0.5) / float(1 << 40)) / (F.lit(weight) if weight else 0.05 + F.col("id") / n)).alias("key"))
+    sized = keys.groupBy(mixing.bucket_of(F.col("key")).alias("b")).agg(F.count("*").alias("n"), F.min("key").alias("low"), F.max("key").alias("high")).orderBy("b").collect()
+    assert max(r.n for r in sized) < 0.01 * n
+    assert all(a.high < b.low for a, b in zip(sized, sized[1:], strict=False))
+
+
+def test_rows_without_ids_draw_apart(spark):
+    df = spark.createDataFrame([(None, f"word{i} " * 10, "a" if i % 2 else "b") for i in range(400)], "doc_id long, text string, source string")
+    got = mixing.mix_sources(df).groupBy("source_size", "copies").count().collect()
+    assert len({r.copies for r in got}) > 1
+    for target in {r.target for r in mixing.mix_sources(df).collect()}:
+        taken = [r.taken for r in mixing.mix_sources(df).collect() if r.target == target]
+        assert abs(sum(taken) - target) <= 10
+
+
 # Secrets and personal data
 
 ASSIGN = re.compile(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A)

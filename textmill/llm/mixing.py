@@ -3,9 +3,12 @@
 Every document draws an exponential key, divided by its quality weight: the order
 of the keys is a weighted sample without replacement. A source gets complete
 epochs first, then the documents with the least keys until its budget is full.
-The prefix sums need no sort of a whole source: keys fall into buckets, bucket
-sums are added up (a few thousand rows a source), and rows are summed within
-their bucket only. A source with a third of all rows is thus dealt over all tasks.
+The prefix sums need no sort of a whole source: keys fall into buckets by their
+logarithm, bucket sums are added up (some ten thousand rows a source), and rows are
+summed within their bucket only. The logarithm of an exponential draw has a density
+under 0.37 wherever its weight shifts it, so no bucket holds more than 0.37 / ``STEPS``
+of a source, whatever the weights are. A source with a third of all rows is thus
+dealt over all tasks.
 """
 
 from __future__ import annotations
@@ -15,20 +18,30 @@ from pyspark.sql import functions as F
 
 from textmill.llm.common import WORD, settle, table
 
-BUCKETS = 4096
+#: Buckets for each unit of a key's natural logarithm.
+STEPS = 2048
+#: The least weight; a document without a weight has it.
+LEAST = 0.05
 
 
-def quality_weight(text: Column) -> Column:
-    """Share of a text that is not markup-like symbols, from 0.05 to 1."""
-    n = F.length(text)
-    rest = F.length(F.translate(text, "#*$%&|<>!", ""))
-    return F.greatest(F.lit(0.05), F.lit(1.0) - 4.0 * (n - rest) / F.greatest(n, F.lit(1))).cast("double")
+def quality_weight(text: Column, size: Column) -> Column:
+    """Quality of a text of ``size`` words, from 0.05 to 1: its share of words of letters, less its symbols a word."""
+    n = F.greatest(size, F.lit(1)).cast("double")
+    letters = F.coalesce(F.regexp_count(text, F.lit(r"\p{L}+")), F.lit(0)) / n
+    symbols = F.coalesce(F.length(text) - F.length(F.translate(text, "#*$%&|<>", "")), F.lit(0)) / n
+    return F.greatest(F.lit(LEAST), F.least(F.lit(1.0), letters) * F.greatest(F.lit(0.0), 1.0 - symbols))
+
+
+def bucket_of(key: Column) -> Column:
+    """Buckets in the order of the keys."""
+    return F.floor(F.ln(key) * STEPS).cast("int")
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...], cap: int) -> DataFrame:
     """Budget of each source: ``source, sid, source_size, target``.
 
-    ``sizes`` has ``source, size``. Weights repeat over the sources in the order
+    ``sizes`` has ``source, size``. The sources themselves are few enough to be one
+    task's rows: a row of four numbers each. Weights repeat over the sources in the order
     of their code points, null last. No source gets more than ``cap`` times its
     size; what it can't use is shared out by weight among the others: the budgets
     are the level of water that fills capped vessels.
@@ -57,20 +70,20 @@ def mix_sources(
     times it is taken. The fractional epoch takes whole documents in the order of
     their keys as long as their middle lies within the budget, so a source misses
     its target by half a document at most. Null and empty texts have size 0, a null
-    source is a source of its own, null ids draw one key; repeated rows count each.
-    An empty table gives an empty result. The draw depends on seed and id only.
+    source is a source of its own; repeated rows count each. An empty table gives an
+    empty result. The draw depends on the seed and the id, without an id on the text;
+    rows that share it are summed in one task, in the order of id and size. A weight
+    under 0.05 or null counts as 0.05.
     Columns named in ``carry`` come along, others are ignored.
     """
-    weight = quality_weight(F.col(text_col)) if weight is None else weight
-    draw = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("null")))), 1, 13), 16, 10).cast("double")
-    base = docs.select(
-        *carry,
-        F.col(id_col).alias("doc_id"),
-        F.col(source_col).alias("source"),
-        F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        (-F.ln((draw + 0.5) / float(1 << 52)) / F.coalesce(weight, F.lit(0.05))).alias("key"),
-    )
-    base = settle(base.withColumn("bucket", F.least(F.lit(BUCKETS - 1), F.floor((1 - F.exp(-F.col("key"))) * BUCKETS)).cast("int")))
+    size = F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long")
+    # A null id draws by the text, so that rows without ids do not all draw alike.
+    name = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("null"), F.md5(F.coalesce(F.col(text_col), F.lit("")))))
+    draw = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), name)), 1, 13), 16, 10).cast("double")
+    base = docs.select(*carry, F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"), F.col(text_col).alias("_text"), draw.alias("_draw"), *([] if weight is None else [weight.alias("_weight")]))
+    weight = quality_weight(F.col("_text"), F.col("size")) if weight is None else F.greatest(F.lit(LEAST), F.coalesce("_weight", F.lit(LEAST)))
+    base = base.select(*carry, "doc_id", "source", "size", (-F.ln((F.col("_draw") + 0.5) / float(1 << 52)) / weight).alias("key"))
+    base = settle(base.withColumn("bucket", bucket_of(F.col("key"))))
     targets = settle(source_targets(base, weights, cap))
     rows = base.alias("b").join(targets.alias("t"), F.expr("b.source <=> t.source")).drop("source")
 
@@ -92,8 +105,9 @@ def op7_mixing(spark, sf_dir: str) -> DataFrame:
 OP7_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-    -ln((CAST(('0x' || substr(md5('0:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 13)) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496::DOUBLE) /
-      coalesce(greatest(0.05::DOUBLE, 1.0::DOUBLE - (4.0::DOUBLE * (length(text) - length(translate(text, '#*$%&|<>!', '')))) / greatest(length(text), 1)), 0.05::DOUBLE) AS key
+    -ln((CAST(('0x' || substr(md5('0:' || coalesce(CAST(doc_id AS VARCHAR), 'null' || md5(coalesce(text, '')))), 1, 13)) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496::DOUBLE) /
+      greatest(0.05::DOUBLE, least(1.0::DOUBLE, len(regexp_extract_all(coalesce(text, ''), '\p{L}+')) / greatest(size, 1)::DOUBLE)
+        * greatest(0.0::DOUBLE, 1.0::DOUBLE - (length(coalesce(text, '')) - length(translate(coalesce(text, ''), '#*$%&|<>', ''))) / greatest(size, 1)::DOUBLE)) AS key
   FROM documents),
 t AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS sid FROM d GROUP BY source),
 w AS (SELECT *, ((sid - 1) % 3 + 1)::DOUBLE AS w, (3 * source_size)::BIGINT AS most, sum(source_size) OVER ()::BIGINT AS total FROM t),
