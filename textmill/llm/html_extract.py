@@ -24,11 +24,13 @@ from pyspark.sql import functions as F
 from textmill.llm.common import small_batches, table
 from textmill.llm.html_training import labelled_pages
 
-_RAW = "script|style|noscript|template|svg|math|iframe|object|canvas|textarea|xmp"
-_TOKEN = re.compile(
-    rf"""<!--.*?(?:-->|\Z)|<(?P<raw>{_RAW})\b(?:"[^"]*"|'[^']*'|[^'">])*>.*?(?:</(?P=raw)\s*>|\Z)|<[!?][^>]*>|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?:"[^"]*"|'[^']*'|[^'">])*)>""",
-    re.S | re.I,
-)
+#: Elements whose content is no text of the page, up to their own end tag.
+RAW = frozenset("script style noscript template svg math iframe object canvas textarea xmp".split())
+#: Of these, the ones that a slash may close at once.
+FOREIGN = frozenset(["svg", "math"])
+_LETTERS = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
+_STOP = re.compile(r"[\s/>]")
+_SPECIAL = re.compile("[>\"']")
 _ATTRIBUTE = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 #: Elements that end a leaf block. All other elements are part of the text around them.
@@ -42,95 +44,214 @@ _ITEMS = {"li": ("li", "ul ol menu dir"), "dt": ("dt dd", "dl"), "dd": ("dt dd",
 CLOSES = {k: (frozenset(a.split()), frozenset(b.split())) for k, (a, b) in _ITEMS.items()}
 
 
-@dataclass
+class Node:
+    """An open element: its tag, and the features that it and its ancestors give to the blocks within."""
+
+    __slots__ = ("tag", "up", "own", "_all", "score")
+
+    def __init__(self, tag: str, up: Node | None, own: tuple[str, ...]):
+        self.tag, self.up, self.own = tag, up, own
+        self._all: frozenset[str] | None = None
+        self.score: float | None = None
+
+    def features(self) -> frozenset[str]:
+        """Nodes that add nothing share the set of their parent, so a deep page of few names costs no more than its depth."""
+        line = [self]
+        while line[-1]._all is None and line[-1].up is not None:
+            line.append(line[-1].up)
+        have = line[-1]._all or frozenset()
+        for node in reversed(line):
+            if node._all is None:
+                node._all = have if have.issuperset(node.own) else have.union(node.own)
+            have = node._all
+        return have
+
+
+@dataclass(slots=True)
 class Block:
     text: str
-    path: list[tuple[str, tuple[str, ...]]]
+    node: Node | None
     linked: int
 
 
+class _Ends:
+    """Where tags end: the ``>`` after a tag's start that stands in no quotes, or -1.
+
+    Every quote is followed once only, whatever the number of tags that begin before
+    it: quotes from which no end can be reached are remembered, and starts come in order.
+    """
+
+    def __init__(self, page: str):
+        self.page, self.lost, self.first = page, set(), -1
+
+    def find(self, start: int) -> int:
+        if self.first < start:
+            m = _SPECIAL.search(self.page, start)
+            self.first = m.start() if m else len(self.page)
+        at, seen = self.first, []
+        while at < len(self.page) and at not in self.lost:
+            quote = self.page[at]
+            if quote == ">":
+                return at
+            seen.append(at)
+            close = self.page.find(quote, at + 1)
+            m = _SPECIAL.search(self.page, close + 1) if close >= 0 else None
+            at = m.start() if m else len(self.page)
+        self.lost.update(seen)
+        return -1
+
+
+class _Open:
+    """The open elements, with the places of each tag among them."""
+
+    def __init__(self):
+        self.stack: list[Node] = []
+        self.where: dict[str, list[int]] = {}
+
+    def push(self, node: Node) -> None:
+        self.where.setdefault(node.tag, []).append(len(self.stack))
+        self.stack.append(node)
+
+    def cut(self, at: int) -> None:
+        while len(self.stack) > at:
+            self.where[self.stack.pop().tag].pop()
+
+    def last(self, names) -> int:
+        """The innermost open element of some tags, or -1."""
+        return max((places[-1] for places in map(self.where.get, names) if places), default=-1)
+
+    def close(self, names, within=()) -> None:
+        """End the innermost element of ``names``, unless one of ``within`` lies further in."""
+        at = self.last(names)
+        if at >= 0 and at >= self.last(within):
+            self.cut(at)
+
+    def has(self, name: str) -> bool:
+        return bool(self.where.get(name))
+
+
 def leaf_blocks(page: str | None) -> list[Block]:
-    """The leaf blocks of a page in order, with decoded references and single spaces; the head is no part of the page."""
+    return list(scan(page))
+
+
+def scan(page: str | None, known=None) -> Iterator[Block]:
+    """The leaf blocks of a page in order, with decoded references and single spaces; the head is no part of the page.
+
+    One pass over the page: every search goes on from where the last one ended, and
+    what is known to be missing is not looked for again, so that no markup, however
+    broken, costs more than its length. A ``<`` that begins no tag is text. With
+    ``known``, only these features of ancestors are kept.
+    """
     page = page or ""
-    stack: list[tuple[str, tuple[str, ...]]] = []
-    blocks: list[Block] = []
+    ends, opened = _Ends(page), _Open()
     parts: list[str] = []
-    path: list = []
+    node: Node | None = None
     linked = 0
 
     def add(raw: str) -> None:
-        nonlocal path, linked
-        if raw and not any(tag == "head" for tag, _ in stack):
+        nonlocal node, linked
+        if raw and not opened.has("head"):
             text = html.unescape(raw)
-            if text.strip():
-                if not path:
-                    path = list(stack)
-                if any(tag == "a" for tag, _ in stack):
-                    linked += len(text.strip())
+            if bare := len(text.strip()):
+                if node is None and opened.stack:
+                    node = opened.stack[-1]
+                if opened.has("a"):
+                    linked += bare
             parts.append(text)
 
-    def flush() -> None:
-        nonlocal parts, path, linked
+    def flush() -> Block | None:
+        nonlocal parts, node, linked
         text = " ".join("".join(parts).split())
-        if text:
-            blocks.append(Block(text, path, linked))
-        parts, path, linked = [], [], 0
-
-    def close(names: frozenset, within: frozenset) -> None:
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] in names:
-                del stack[k:]
-                return
-            if stack[k][0] in within:
-                return
-
-    at = 0
-    for m in _TOKEN.finditer(page):
-        add(page[at : m.start()])
-        at = m.end()
-        tag = (m["tag"] or "").lower()
-        if not tag:
+        block = Block(text, node, linked) if text else None
+        parts, node, linked = [], None, 0
+        return block
+
+    at = begin = 0  # where text that is not yet added begins, where to look for the next tag
+    bound, stop = False, -1  # no ">" is left; where the name of a tag ends
+    while (begin := page.find("<", begin)) >= 0:
+        if page.startswith("<!--", begin):
+            end = page.find("-->", begin + 4)
+            add(page[at:begin])
+            at = begin = end + 3 if end >= 0 else len(page)
+            continue
+        if page.startswith(("<!", "<?"), begin):
+            end = -1 if bound else page.find(">", begin + 2)
+            bound = end < 0
+            if end >= 0:
+                add(page[at:begin])
+                at = end + 1
+            begin = end + 1 if end >= 0 else begin + 1
+            continue
+        closing = page.startswith("/", begin + 1)
+        name = begin + 1 + closing
+        if page[name : name + 1] not in _LETTERS:
+            begin += 1
+            continue
+        if stop < name:
+            m = _STOP.search(page, name)
+            stop = m.start() if m else len(page)
+        end = ends.find(stop)
+        if end < 0:
+            begin += 1
+            continue
+        add(page[at:begin])
+        at = end + 1
+        tag, rest = page[name:stop].lower(), page[stop:end]
+        begin = at
+        if tag in RAW and not closing:
+            if not (tag in FOREIGN and rest.endswith("/")):
+                after = _end_tag(tag).search(page, at)
+                at = begin = after.end() if after else len(page)
             continue
         if tag in BLOCKS:
-            flush()
+            if block := flush():
+                yield block
         elif tag == "br":
             parts.append(" ")
-        if m["end"]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
-                    break
+        if closing:
+            opened.close((tag,))
             continue
-        if tag in VOID or (m["rest"] or "").endswith("/"):
+        if tag in VOID or rest.endswith("/"):
             continue
         if tag in BLOCKS:
-            if any(name == "p" for name, _ in stack):
-                close(frozenset(["p"]), frozenset())
+            opened.close(("p",))
             if tag == "body":
-                close(frozenset(["head"]), frozenset())
+                opened.close(("head",))
         if tag in CLOSES:
-            close(*CLOSES[tag])
-        names = " ".join(a or b or c for a, b, c in _ATTRIBUTE.findall(m["rest"] or ""))
-        stack.append((tag, tuple(x.lower() for x in _NAME.findall(names))))
+            opened.close(*CLOSES[tag])
+        names = " ".join(a or b or c for a, b, c in _ATTRIBUTE.findall(rest)) if "=" in rest else ""
+        own = (f"in:{tag}", *(f"name:{x.lower()}" for x in _NAME.findall(names)))
+        own = own if known is None else tuple(x for x in own if x in known)
+        top = opened.stack[-1] if opened.stack else None
+        # An element that tells nothing new is its parent over again.
+        opened.push(top if top is not None and top.tag == tag and top.features().issuperset(own) else Node(tag, top, own))
     add(page[at:])
-    flush()
-    return blocks
+    if block := flush():
+        yield block
+
+
+@lru_cache(maxsize=None)
+def _end_tag(name: str) -> re.Pattern:
+    return re.compile(rf"</{name}\s*>", re.I)
+
+
+def look(b: Block) -> list[str]:
+    """Features of a block's own text."""
+    words = b.text.count(" ") + 1
+    f = ["bias", f"words:{min(words.bit_length() - 1, 7)}", f"linked:{4 * b.linked // max(len(b.text), 1)}"]
+    f += [f"ends:{b.text[-1] in '.!?:;…'}", f"mark:{'©' in b.text or '|' in b.text}"]
+    return f + [f"leaf:{b.node.tag}"] if b.node else f
+
+
+def place(k: int, n: int) -> list[str]:
+    """Features of the k-th of n blocks' place."""
+    return [f"first:{k < 2}", f"last:{k >= n - 2}"]
 
 
 def features(blocks: list[Block]) -> list[list[str]]:
     """Names of the features that hold for each block."""
-    out, n = [], len(blocks)
-    for k, b in enumerate(blocks):
-        words = b.text.count(" ") + 1
-        f = {"bias", f"words:{min(int(np.log2(words)), 7)}", f"linked:{4 * b.linked // max(len(b.text), 1)}"}
-        f |= {f"ends:{b.text[-1] in '.!?:;…'}", f"mark:{'©' in b.text or '|' in b.text}", f"first:{k < 2}", f"last:{k >= n - 2}"}
-        if b.path:
-            f.add(f"leaf:{b.path[-1][0]}")
-        for tag, names in b.path:
-            f.add(f"in:{tag}")
-            f.update(f"name:{x}" for x in names)
-        out.append(sorted(f))
-    return out
+    n = len(blocks)
+    return [sorted([*look(b), *place(k, n), *(b.node.features() if b.node else ())]) for k, b in enumerate(blocks)]
 
 
 class ChainField:
@@ -188,26 +309,48 @@ class ChainField:
         return place[..., 1], joint.sum((0, 1)), place[:, 0].sum(0)
 
     def decode(self, feats: list[list[str]]) -> list[int]:
-        """The labels that are likeliest together (Viterbi)."""
-        if not feats:
-            return []
+        """The labels that are likeliest together, for blocks with these features."""
         get = self.weights.get
+        return self.viterbi([sum(get(x, 0.0) for x in f) for f in feats])
+
+    def viterbi(self, unary: list[float]) -> list[int]:
+        """The labels that are likeliest together, for blocks with these weights of label 1."""
+        if not unary:
+            return []
         (stay0, go1), (go0, stay1) = self.pairs.tolist()
         a, b = self.first.tolist()
-        b += sum(get(x, 0.0) for x in feats[0])
-        came = []
-        for f in feats[1:]:
-            u = sum(get(x, 0.0) for x in f)
+        b += unary[0]
+        came = bytearray()  # two bits a block: where each label comes from
+        for u in unary[1:]:
             from0, from1 = a + stay0 >= b + go0, a + go1 >= b + stay1
-            came.append((0 if from0 else 1, 0 if from1 else 1))
+            came.append((not from0) + 2 * (not from1))
             a, b = max(a + stay0, b + go0), max(a + go1, b + stay1) + u
         label = int(b > a)
         out = [label]
         for c in reversed(came):
-            label = c[label]
+            label = c >> label & 1
             out.append(label)
         return out[::-1]
 
+    def label(self, page: str | None) -> tuple[list[str], list[int]]:
+        """Texts of a page's blocks and their labels; only the texts and a number a block are kept."""
+        get = self.weights.get
+        texts, unary = [], []
+        for b in scan(page, self.weights):
+            node, above = b.node, 0.0
+            if node is not None:
+                if node.score is None:
+                    node.score = sum(get(x, 0.0) for x in sorted(node.features()))
+                above = node.score
+            texts.append(b.text)
+            unary.append(above + sum(get(x, 0.0) for x in look(b)))
+        for k in {*range(min(2, len(unary))), *range(max(0, len(unary) - 2), len(unary))}:
+            unary[k] += sum(get(x, 0.0) for x in place(k, len(unary)))
+        inner = sum(get(x, 0.0) for x in ("first:False", "last:False"))
+        for k in range(2, len(unary) - 2):
+            unary[k] += inner
+        return texts, self.viterbi(unary)
+
 
 @lru_cache(maxsize=2)
 def default_model(pages: int = 400, seed: int = 1) -> ChainField:
@@ -220,8 +363,8 @@ def default_model(pages: int = 400, seed: int = 1) -> ChainField:
 
 
 def main_text(model: ChainField, page: str | None) -> str:
-    blocks = leaf_blocks(page)
-    return "\n".join(b.text for b, y in zip(blocks, model.decode(features(blocks)), strict=True) if y)
+    texts, labels = model.label(page)
+    return "\n".join(x for x, y in zip(texts, labels, strict=True) if y)
 
 
 def extract_main_text(pages: DataFrame, model: ChainField | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
