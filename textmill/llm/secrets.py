@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textmill.llm.common import table
-from textmill.llm.spans import listed, matches, quoted, tagged
+from textmill.llm.spans import apart, in_order, let, listed, matches, quoted, tagged
 
 ASSIGN = (
     r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])"""
@@ -24,6 +24,7 @@ ACCESS, HEX = "AKIA[A-Z0-9]++", r"(?:\G|(?<![0-9a-f]))[0-9a-f]{32,}+"
 _KEY = "[A-Za-z0-9+/_=-]"
 CANDIDATE = rf"(?<!{_KEY})(?={_KEY}{{20}})(?=[A-Za-z+/_=-]*+[0-9])(?=[0-9+/_=-]*+[A-Za-z]){_KEY}++"
 
+KINDS = ("assign", "access", "hex", "entropy")
 WINDOW = 20
 #: Class of a candidate's characters, and the bits a window must reach; random strings of the class lie above.
 THRESHOLDS = (("hex", "[0-9a-fA-F]+", 3.0), ("alnum", "[A-Za-z0-9]+", 3.6), ("key", ".+", 3.8))
@@ -38,22 +39,29 @@ ALLOW = (
 
 
 def window_entropy(text: str, window: int) -> str:
-    """SQL for the largest entropy in bits of a window of a string of at least so many characters."""
+    """SQL for the largest entropy in bits of a window of an ASCII string of at least so many characters.
+
+    The counts of the window's characters are a string with a place for each code.
+    A step of the window raises the count of the character that enters, lowers that of
+    the one that leaves, and adds what this changes to the sum of n*log2(n).
+    """
 
     def f(n: str) -> str:
         return f"(({n}) * log2(greatest(({n}), 1)))"
 
-    def count(c: str, start: str, size: int) -> str:
-        return f"size(filter(slice(c, {start}, {size}), y -> y = {c}))"
+    def moved(state: str, code: str, by: str) -> str:
+        """The state after a count was changed: ``c`` the counts, ``sum`` of n*log2(n), ``least`` sum of a whole window so far."""
+        count = f"ascii(substr({state}.c, {code} + 1, 1)) - 33"
+        counts = f"overlay({state}.c PLACING chr(n {by} + 33) FROM {code} + 1)"
+        return let("n", count, f"named_struct('c', {counts}, 'sum', {state}.sum + {f(f'n {by}')} - {f('n')}, 'least', {state}.least)")
 
-    moved = f"a.sum + {f('a.out - 1')} - {f('a.out')} + {f('a.new + 1')} - {f('a.new')}"
-    counts = f"named_struct('sum', a.sum, 'out', {count('get(c, i - 1)', 'i + 1', window - 1)} + 1, 'new', {count(f'get(c, i + {window} - 1)', 'i + 1', window - 1)})"
-    slide = f"transform(array({counts}), a -> {moved})[0]"
-    return f"""transform(array(filter(split({text}, ''), y -> y <> '')), c -> transform(array(
-        aggregate(slice(c, 1, {window}), 0.0D, (t, x) -> t + log2({count('x', '1', window)}))), first ->
-        CASE WHEN size(c) <= {window} THEN log2({window}.0D) - first / {window} ELSE
-        log2({window}.0D) - aggregate(sequence(1, size(c) - {window}), named_struct('sum', first, 'least', first),
-          (a, i) -> transform(array({slide}), n -> named_struct('sum', n, 'least', least(a.least, n)))[0]).least / {window} END)[0])[0]"""
+    enter = moved("a", "get(z, i)", "+ 1")
+    leave = f"CASE WHEN i < {window} THEN b ELSE {moved('b', f'get(z, i - {window})', '- 1')} END"
+    note = f"named_struct('c', d.c, 'sum', d.sum, 'least', CASE WHEN i < {window - 1} THEN d.least ELSE least(d.least, d.sum) END)"
+    slide = let("b", enter, let("d", leave, note))
+    start = f"named_struct('c', repeat('!', 128), 'sum', 0.0D, 'least', {f(f'{window}.0D')})"
+    codes = f"transform(filter(split({text}, ''), y -> y <> ''), y -> ascii(y))"
+    return let("z", codes, f"log2({window}.0D) - aggregate(sequence(0, size(z) - 1), {start}, (a, i) -> {slide}).least / {window}")
 
 
 def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", allow: tuple[str, ...] = ALLOW, thresholds=THRESHOLDS, window: int = WINDOW) -> DataFrame:
@@ -64,7 +72,10 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     have none; ids may be null or repeat, every input row gives a row. Texts are
     scanned whole, other columns are ignored.
     """
+    if not 1 < window <= 90:
+        raise ValueError("a window has 2 to 90 characters")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+
     def over(x: str) -> str:
         bits = " ".join(f"WHEN {x} RLIKE {quoted(f'^(?:{pattern})$')} THEN {bound}D" for _, pattern, bound in thresholds)
         return f"{window_entropy(x, window)} >= CASE {bits} END"
@@ -76,14 +87,15 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = rows.withColumns(
         {
             "assign": F.expr(matches("_text", ASSIGN, 2, "length(x.v) >= 8")),
-            "access": F.expr(matches("_text", ACCESS, 0, "length(x.m) >= 16")),
+            "access": F.expr(matches("_text", ACCESS, 0, "length(x.m) >= 16", needs="AKIA")),
             "hex": F.expr(matches("_text", HEX, 0)),
             "_candidates": F.expr(matches("_text", CANDIDATE, 0)),
         }
     ).drop("_text")
-    clear = " AND ".join(f"NOT exists({k}, y -> y.s < x.e AND x.s < y.e)" for k in ("assign", "access", "hex"))
-    rows = rows.withColumn("entropy", F.expr(f"filter(_candidates, x -> {clear} AND {rule})")).drop("_candidates")
-    return rows.withColumn("found", tagged({k: k for k in ("assign", "access", "hex", "entropy")}))
+    spans = in_order({k: k for k in KINDS[:3]} | {"entropy": "_candidates"}, ("m",))
+    found = f"transform(filter({apart(spans, 3, 'x')}, x -> x.k = 3 AND {rule}), x -> named_struct('s', x.s, 'e', x.e, 'm', x.m, 'v', x.m))"
+    rows = rows.withColumn("entropy", F.expr(found)).drop("_candidates")
+    return rows.withColumn("found", tagged({k: k for k in KINDS}))
 
 
 def _base(found: str) -> Column:
@@ -94,7 +106,7 @@ def op8_secret_scans(spark, sf_dir: str) -> DataFrame:
     rows = secret_spans(table(spark, sf_dir, "documents")).withColumn("base", _base("found"))
     return rows.select(
         "doc_id",
-        *[F.size(k).cast("long").alias(f"n_{k}") for k in ("assign", "access", "hex")],
+        *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS[:3]],
         F.sha2(listed("base"), 256).alias("base_sha256"),
         listed("found").alias("spans"),
     )
