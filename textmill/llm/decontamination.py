@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textmill.llm.common import settle, small_batches, table
+from textmill.llm.common import parts_of, settle, table
 
 #: Words that may differ, per word of an item; characters of items in one broadcast.
 RATE, BLOCK = 0.2, 16_000_000
@@ -37,9 +37,11 @@ def pieces_of(words: list[str], k: int) -> list[tuple[int, list[str]]]:
     return [(a, words[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)]
 
 
-def myers(masks: dict[str, int], m: int, text: list[str]) -> tuple[int, int]:
+def myers(masks: dict[str, int], m: int, text: list[str], anchored: bool = False) -> tuple[int, int]:
     """Least edit distance of a pattern of m symbols to a substring of the text, and the first place where it ends.
 
+    With ``anchored`` the substring begins where the text does.
+
     ``masks`` has for each symbol the bits of its positions in the pattern. Python's
     integers are the bit vectors, so a pattern may be of any length.
     """
@@ -57,8 +59,8 @@ def myers(masks: dict[str, int], m: int, text: list[str]) -> tuple[int, int]:
             score += 1
         elif down & last:
             score -= 1
-        # The pattern may begin anywhere: the top row is 0 throughout.
-        up, down = (up << 1) & full, (down << 1) & full
+        # Unless it is anchored the pattern may begin anywhere: the top row is 0 throughout.
+        up, down = (up << 1 | anchored) & full, (down << 1) & full
         plus, minus = down | (~(vertical | up) & full), up & vertical
         if score < best:
             best, end = score, j + 1
@@ -117,12 +119,21 @@ class Matcher:
             for low, high in spans:
                 distance, end = myers(masks, m, words[low:high])
                 if distance <= budget and (best is None or distance < best[0]):
-                    best = (distance, low + max(0, end - m), min(m, end))
+                    best = (distance, low + end)
             if best:
-                found.append((item, *best))
+                distance, end = best
+                begin = end - self._length(masks, m, words[max(0, end - m - distance) : end])
+                found.append((item, distance, begin, end - begin))
         return sorted(found)
 
 
+    @staticmethod
+    def _length(masks: dict[str, int], m: int, words: list[str]) -> int:
+        """Words of the shortest passage at the end of some words that has the least distance: the item backwards over them."""
+        back = {w: sum(1 << m - 1 - i for i in range(m) if bits >> i & 1) for w, bits in masks.items()}
+        return myers(back, m, words[::-1], anchored=True)[1]
+
+
 _FOUND = "doc_id long, item_id long, distance long, first_word long, n_words long"
 
 
@@ -130,13 +141,13 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame, rate: float = RATE,
     """Benchmark items in texts: ``doc_id, item_id, distance, first_word, n_words``, the best passage of each pair.
 
     ``distance`` is the number of words that differ, ``rate`` times the item's words
-    at most; ``first_word`` and ``n_words`` say about where the passage lies among
-    the words of the text. Null and empty texts and items match nothing; rows with
+    at most; ``first_word`` and ``n_words`` say where the passage lies among the
+    normalised words of the text: the first that ends earliest, and the shortest of
+    those with this end. Null and empty texts and items match nothing; rows with
     a null id are matched and keep it; repeated rows match each. Items with a null
     or repeated id are items of their own. Texts are read whole.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     out = None
     for items in _blocks(benchmark, block):
@@ -162,17 +173,23 @@ def _blocks(benchmark: DataFrame, block: int) -> Iterator[list[tuple[int, str]]]
 def _finder(sent, rate: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(sent.value, rate)
-        for batch in batches:
+        for batch in parts_of(batches, "text"):
             rows = [(i, *x) for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for x in matcher.find(text)]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(5)], names=["doc_id", "item_id", "distance", "first_word", "n_words"])
 
     return run
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents in which no benchmark item was found, with all their columns; rows with a null id stay."""
-    hit = settle(benchmark_matches(docs, benchmark, rate, id_col, text_col).select(F.col("doc_id").alias(id_col)).distinct())
-    return docs.join(hit, id_col, "left_anti").select(*docs.columns)
+def decontaminate(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, text_col: str = "text") -> DataFrame:
+    """The documents in which no benchmark item was found, with all their columns.
+
+    A document is known by a hash of its text, so that every row is judged by its own
+    text, whether its id is null or repeated.
+    """
+    key = "_decontamination_key"
+    keyed = docs.withColumn(key, F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    hit = settle(benchmark_matches(keyed, benchmark, rate, key, text_col).select(F.col("doc_id").alias(key)).distinct())
+    return keyed.join(hit, key, "left_anti").select(*docs.columns)
 
 
 def op5_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:
