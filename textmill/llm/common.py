@@ -7,11 +7,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from textmill.session import settle, shared_folder, table
 
-__all__ = ["SPACE", "WORD", "Words", "mix", "pack", "runs", "settle", "shared_folder", "shuffle_partitions", "slices", "small_batches", "table", "text_buffers", "unpack"]
+__all__ = ["SPACE", "WORD", "Words", "buckets_for", "mix", "pack", "parts_of", "runs", "settle", "shared_folder", "shuffle_partitions", "slices", "table", "text_buffers", "unpack"]
 
 #: A word, wherever a contract speaks of words; in Java, RE2 and Python alike.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -24,13 +24,25 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bound the Arrow batches that go to Python: texts may be long."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def buckets_for(docs: DataFrame, each: int = 32 << 20) -> int:
+    """Buckets in which about one byte of hashes a byte of text comes to ``each`` bytes a bucket.
+
+    The optimizer's estimate of the input counts threefold, since files are
+    compressed. There are four a shuffle partition at least, so that they fill the
+    partitions evenly, and 64 at most, for inputs whose size it does not know.
+    """
+    parts = shuffle_partitions(docs.sparkSession)
+    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return max(4 * parts, min(64 * parts, 3 * size // each))
+
+
+def parts_of(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
+    """The parts of all batches: Arrow's are bounded at 64 MB, which is much as Python objects."""
+    for batch in batches:
+        yield from slices(batch, text)
 
 
-def slices(batch: pa.RecordBatch, text: str, limit: int) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, text: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with about ``limit`` bytes of text each; a single longer text is a part of its own."""
     size = np.cumsum(np.diff(text_buffers(batch.column(text))[1]))
     begin = 0

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textmill.llm.common import small_batches, table
+from textmill.llm.common import parts_of, table
 from textmill.llm.html_training import labelled_pages
 
 #: Elements whose content is no text of the page, up to their own end tag.
@@ -373,11 +373,10 @@ def extract_main_text(pages: DataFrame, model: ChainField | None = None, id_col:
     A null or empty page, and one without main text, gives an empty text. Pages are
     read whole, null and repeated ids stay, other columns are ignored.
     """
-    small_batches(pages.sparkSession, 500)
     sent = pages.sparkSession.sparkContext.broadcast(model or default_model())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts_of(batches, "html"):
             texts = [main_text(sent.value, x) for x in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 

@@ -7,17 +7,20 @@
    batch are sent as a count, their places stay with the batch, so a hot n-gram
    costs one entry a batch.
 2. A set of n members can have a partner only if ceil(t*n) of its members are
-   shared. What remains is put into the global order (rare first), equal sets
-   become one class, and the classes are brought together by the prefixes of the
-   ordered sets: a star from each prefix n-gram to its least class, then
-   connected components. Linked classes are always in one such neighbourhood.
-3. In each neighbourhood the ordered sets form a trie (sorted sets and the depth
+   shared. What remains is put into the global order (rare first). Equal sets become
+   one class, and classes of the same size with the same shared members one shape: their
+   similarity to any other class is the same, so one of them is compared for all.
+3. Linked sets agree in a prefix n-gram. The sets with a prefix n-gram are brought
+   to the least set that has it: all sets around one least set are a neighbourhood. A
+   set is in as many neighbourhoods as its prefix has different least sets, and chains
+   of neighbourhoods stay apart.
+4. In each neighbourhood the ordered sets form a trie (sorted sets and the depth
    to which each agrees with the last). A set walks the trie, keeps the partial
    overlap of the shared path, and leaves a subtree as soon as the members it has
    left cannot reach the overlap that is needed. Sets that are connected already
    are not compared again, so a large group of near copies costs about one
-   comparison a member. Neighbourhoods over ``block`` classes, or with as many
-   members as so many classes of 300, are dealt into blocks: the first block meets
+   comparison a member. Neighbourhoods over ``block`` sets, or with as many
+   members as so many sets of 300, are dealt into blocks: the first block meets
    each block in a task of its own, and then only what is not in the largest
    component so far meets all blocks.
 """
@@ -31,14 +34,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textmill.llm.common import Words, mix, pack, runs, settle, shuffle_partitions, slices, small_batches, table, unpack
+from textmill.llm.common import Words, buckets_for, mix, pack, runs, settle, shuffle_partitions, slices, table, unpack
 from textmill.operators.components import connected_components
 
 #: Bytes of text that are worked on at a time, and the count from which an n-gram's places stay with its batch.
 SLICE, HOT = 2 << 20, 32
-#: Mean members of a class in a block, from which a block holds fewer classes.
-BLOCK_MEMBERS = 300
+#: Mean members of a set in a block, from which a block holds fewer sets; members in a task of small neighbourhoods.
+BLOCK_MEMBERS, TASK_MEMBERS = 300, 2 << 20
 _NONE = np.zeros(0, np.uint64)
+NEVER = 1 << 60
 
 
 def _sets(texts: pa.Array, n: int, lower: bool) -> list[np.ndarray]:
@@ -56,6 +60,11 @@ def _sets(texts: pa.Array, n: int, lower: bool) -> list[np.ndarray]:
     return out
 
 
+def _mark(members: np.ndarray) -> np.ndarray:
+    """128 bits that tell sets apart, whatever the order of the members."""
+    return np.array([members.sum(dtype=np.uint64), mix(members ^ np.uint64(0x5DEECE66D)).sum(dtype=np.uint64)], np.uint64)
+
+
 def _need(n: int | np.ndarray, percent: int):
     """Members that a set of n must share with a partner: the ceiling of t*n."""
     return (n * percent + 99) // 100
@@ -73,7 +82,7 @@ def _send(n: int, lower: bool, buckets: int):
                 known = np.asarray(part.column("id").is_valid())
                 ids = part.column("id").fill_null(0).to_numpy()
                 sizes = np.array([len(s) for s in sets], np.int32)
-                marks = np.array([[s.sum(dtype=np.uint64), mix(s ^ np.uint64(0x5DEECE66D)).sum(dtype=np.uint64)] for s in sets], np.uint64).reshape(-1, 2)
+                marks = np.array([_mark(s) for s in sets], np.uint64).reshape(-1, 2)
                 sent = [s if k else _NONE for s, k in zip(sets, known, strict=True)]
                 gram = np.concatenate([_NONE, *sent])
                 doc = np.repeat(np.arange(len(sets), dtype=np.uint32), [len(s) for s in sent])
@@ -126,7 +135,7 @@ def _share(sent: pa.Table) -> pa.Table:
     return pa.Table.from_batches([_rows(rows)] if rows else [], _SCHEMA)
 
 
-_SETS = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("mark", pa.binary()), ("keys", pa.binary())])
+_SETS = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("mark", pa.binary()), ("shape", pa.binary()), ("keys", pa.binary())])
 
 
 def _gather(percent: int):
@@ -155,7 +164,9 @@ def _gather(percent: int):
         out = []
         for i, n in enumerate(sizes.tolist()):
             enough = n and known[i] and edge[i + 1] - edge[i] >= _need(n, percent)
-            out.append((int(ids[i]) if known[i] else None, n, marks[i].tobytes() + n.to_bytes(4, "big"), key[edge[i] : edge[i + 1]].astype(">u8").tobytes() if enough else None))
+            own = key[edge[i] : edge[i + 1]]
+            shape = _mark(own).tobytes() + n.to_bytes(4, "big") if enough else None
+            out.append((int(ids[i]) if known[i] else None, n, marks[i].tobytes() + n.to_bytes(4, "big"), shape, own.astype(">u8").tobytes() if enough else None))
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _SETS, strict=True)], schema=_SETS)
 
     return run
@@ -199,6 +210,12 @@ def trie_links(sets: list[np.ndarray], sizes: list[int], percent: int, sides: li
         m = min(len(a), len(b))
         differ = a[:m] != b[:m]
         depth[k] = int(differ.argmax()) if differ.any() else m
+    # The next set that agrees less with the one before it than this one does: the end of this set's subtree.
+    after, open_ = [len(order)] * len(order), []
+    for k, d in enumerate(depth):
+        while open_ and depth[open_[-1]] > d:
+            after[open_.pop()] = k
+        open_.append(k)
     forest, links = _Forest(len(sets)), []
     for i, x in enumerate(order):
         xs, n = sets[x], sizes[x]
@@ -206,13 +223,13 @@ def trie_links(sets: list[np.ndarray], sizes: list[int], percent: int, sides: li
         need_any = _overlap(n, least, percent)
         agree = len(xs) if i + 1 < len(order) else 0  # depth to which the state below holds for the next set
         path = np.arange(1, len(xs) + 1)  # partial overlaps on the path of the last set that was walked
-        cut = None  # the depth of a subtree that is left
-        for k in range(i + 1, len(order)):
-            agree = min(agree, depth[k])
-            if cut is not None:
-                if depth[k] >= cut:
-                    continue
-                cut = None
+        cut, k = NEVER, i  # the depth of a subtree that is left
+        while (k := k + 1) < len(order):
+            while k < len(order) and depth[k] >= cut:
+                k = after[k]
+            if k == len(order):
+                break
+            agree, cut = min(agree, depth[k]), NEVER
             y = order[k]
             if not least <= sizes[y] <= most or (sides is not None and sides[x] == sides[y]) or forest.find(x) == forest.find(y):
                 continue
@@ -292,36 +309,35 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, percent: int = 75, id_col: s
     that share an id are one vertex. Other columns are ignored; an empty table
     gives an empty result. Long texts are read whole.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
-    buckets, parts = 2 * shuffle_partitions(spark), shuffle_partitions(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    buckets, parts = buckets_for(docs), shuffle_partitions(docs.sparkSession)
     sent = docs.mapInArrow(_send(n, lower, buckets), _SENT)
     shared = sent.groupBy("bucket").applyInArrow(_share, _SENT)
-    sets = settle(shared.groupBy("batch").applyInArrow(_gather(percent), "id long, n long, mark binary, keys binary"))
+    sets = settle(shared.groupBy("batch").applyInArrow(_gather(percent), "id long, n long, mark binary, shape binary, keys binary"))
 
-    classes = sets.where("id is not null and n > 0").groupBy("mark").agg(F.min("id").alias("rep"))
-    full = sets.where("keys is not null")
-    grams = full.mapInArrow(_prefixes(percent), "gram long, id long").join(classes.select(F.col("rep").alias("id")), "id", "left_semi")
-    least = grams.groupBy("gram").agg(F.min("id").alias("u"), F.max("id").alias("last")).where("u < last").select("gram", "u")
-    areas = connected_components(grams.join(least, "gram").select("u", F.col("id").alias("v")).where("u <> v").distinct())
+    classes = settle(sets.where("id is not null and n > 0").groupBy("mark", "n", "shape").agg(F.min("id").alias("rep")))
+    shapes = classes.where("shape is not null").groupBy("shape").agg(F.min("rep").alias("id"), F.count("*").alias("classes"))
+    full = settle(sets.select("id", "n", "shape", "keys").join(shapes.select("id", "shape"), ["id", "shape"], "left_semi").dropDuplicates(["id", "shape"]).select("id", "n", "keys"))
 
-    areas = areas.union(areas.select("label", "label").distinct()).toDF("id", "area")
-    # A block is bounded in classes and in members, so that large sets do not make large tasks.
+    grams = full.mapInArrow(_prefixes(percent), "gram long, id long")
+    least = grams.groupBy("gram").agg(F.min("id").alias("area"), F.max("id").alias("last")).where("area < last").select("gram", "area")
+    near = grams.join(least, "gram").select("area", "id").distinct()
+    # A block is bounded in sets and in members, so that large sets do not make large tasks.
+    near = settle(near.join(full.select("id", "n").dropDuplicates(["id"]), "id"))
     size = F.greatest(F.count("*") / block, F.sum("n") / (BLOCK_MEMBERS * block))
-    wide = areas.join(full.select("id", "n").dropDuplicates(["id"]), "id").groupBy("area").agg(F.ceil(size).cast("int").alias("blocks"))
+    wide = near.groupBy("area").agg(F.ceil(size).cast("int").alias("blocks"))
     own = F.when(F.col("blocks") == 1, 0).otherwise(F.pmod(F.xxhash64("id", F.lit(7)), F.col("blocks"))).cast("int")
-    areas = settle(areas.join(wide, "area").withColumn("own", own))
-    # Small neighbourhoods: several in a task. Wide ones: the first block against each block.
-    pack = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("area"), F.lit(2 * parts)))
+    areas = settle(near.join(wide, "area").withColumn("own", own))
+    # Small neighbourhoods: several in a task, as many as have so many members. Wide ones: the first block against each block.
+    tasks = max(2 * parts, (near.agg(F.sum("n")).first()[0] or 0) // TASK_MEMBERS)
+    pack = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("area"), F.lit(tasks)))
     first = F.when(F.col("own") == 0, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("own"))
-    dealt = full.join(areas, "id").withColumn("j", F.explode(first)).select("area", "id", "n", "keys", F.col("own").alias("side"), F.lit(0).alias("i"), "j", pack.alias("pack"), F.when(F.col("blocks") > 1, F.col("area")).alias("wide"))
+    dealt = full.join(areas.drop("n"), "id").withColumn("j", F.explode(first)).select("area", "id", "n", "keys", F.col("own").alias("side"), F.lit(0).alias("i"), "j", pack.alias("pack"), F.when(F.col("blocks") > 1, F.col("area")).alias("wide"))
     links = settle(dealt.groupBy("pack", "wide", "i", "j").applyInArrow(_walk(percent), "u long, v long"))
-    found = connected_components(links)
     if not areas.where("blocks > 1").isEmpty():
-        more = _rest_of_wide(full, areas.where("blocks > 1"), found, percent, block)
-        found = connected_components(links.union(more))
+        links = settle(links.union(_rest_of_wide(full, areas.where("blocks > 1").drop("n"), connected_components(links), percent, block)))
 
+    found = connected_components(links.union(_of_shapes(classes, shapes, links, full, percent)))
     label = classes.join(found, classes.rep == found.vertex, "left").select("mark", F.coalesce("label", "rep").alias("component"))
     return (
         sets.select("id", "n", "mark").join(label, "mark", "left")
@@ -330,6 +346,21 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, percent: int = 75, id_col: s
     )
 
 
+def _of_shapes(classes: DataFrame, shapes: DataFrame, links: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """Links of the classes that were not compared, since one of their shape was.
+
+    Classes of one shape share the same members and no others. If these are enough for
+    a link, all are linked with the first. If not, they are linked with what the first
+    is linked with, if anything.
+    """
+    shared = F.length("keys") / 8
+    alike = full.select(F.col("id").alias("first"), (100 * shared >= percent * (2 * F.col("n") - shared)).alias("alike"))
+    partner = links.select("u", "v").union(links.select("v", "u")).groupBy("u").agg(F.min("v").alias("partner"))
+    many = classes.join(shapes.where("classes > 1").select("shape", F.col("id").alias("first")), "shape").select("first", "rep")
+    told = many.join(alike, "first").join(partner, F.col("first") == F.col("u"), "left")
+    return told.select(F.when(F.col("alike"), F.col("first")).otherwise(F.col("partner")).alias("u"), F.col("rep").alias("v")).where("u is not null and u <> v")
+
+
 def op1_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(table(spark, sf_dir, "documents"))
 

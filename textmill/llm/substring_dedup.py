@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textmill.llm.common import Words, pack, shuffle_partitions, slices, small_batches, table, unpack
+from textmill.llm.common import Words, buckets_for, pack, slices, table, unpack
 
 #: A perfect difference set: each residue but 0 modulo 31 is one difference of two of its members.
 PERIOD, COVER = 31, (1, 5, 11, 24, 25, 27)
@@ -242,10 +242,8 @@ def substring_dedup(docs: DataFrame, window: int = 50, id_col: str = "doc_id", t
     """
     if window < PERIOD:
         raise ValueError(f"a window has {PERIOD} words at least")
-    spark = docs.sparkSession
-    small_batches(spark)
-    buckets = 2 * shuffle_partitions(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    buckets = buckets_for(docs)
     texts = docs.mapInArrow(_texts, _ROW)
     anchors = docs.mapInArrow(_send_anchors(window, buckets), _ROW).groupBy("bucket").applyInArrow(_share_anchors, _ROW)
     windows = texts.unionByName(anchors).groupBy("batch").applyInArrow(_send_windows(window, buckets), _ROW)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textmill.llm.common import SPACE, small_batches, table
+from textmill.llm.common import SPACE, parts_of, table
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 #: Marks the beginning of a word in the vocabulary.
@@ -108,14 +108,13 @@ def token_counts(docs: DataFrame, pieces: list[str], id_col: str = "doc_id", tex
     """
     if len(pieces) > most_pieces:
         raise ValueError(f"{len(pieces)} pieces are more than most_pieces={most_pieces}, which bounds the broadcast")
-    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(list(pieces))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import re
 
         seen, space = _Seen(LongestMatch(sent.value)), re.compile(SPACE)
-        for batch in batches:
+        for batch in parts_of(batches, "text"):
             rows = []
             for text in batch.column(1).to_pylist():
                 got = [seen[w] for w in space.split(text or "") if w]

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textmill.llm.common import small_batches, table
+from textmill.llm.common import parts_of, table
 
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -102,12 +102,11 @@ def filter_urls(pages: DataFrame, rules=RULES, default: str = "allow", id_col: s
     rules = tuple(rules)
     if len(rules) > most_rules:
         raise ValueError(f"{len(rules)} rules are more than most_rules={most_rules}, which bounds the broadcast")
-    small_batches(pages.sparkSession)
     sent = pages.sparkSession.sparkContext.broadcast(rules)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = UrlTrie(sent.value)
-        for batch in batches:
+        for batch in parts_of(batches, "url"):
             hosts, paths, names, verdicts = [], [], [], []
             for url in batch.column(1).to_pylist():
                 host, path = split_url(url)
