@@ -26,8 +26,9 @@ def test_line_dedup(spark):
     assert {r.doc_id: r.text for r in dedup.exact_line_dedup(dedup.exact_line_dedup(df)).collect()} == none
 
 
+@pytest.mark.parametrize("one_task", [0, 1_000_000])
 @pytest.mark.parametrize("seed", range(3))
-def test_components(spark, seed):
+def test_components(spark, seed, one_task):
     rng = random.Random(seed)
     edges = [(rng.randrange(40), rng.randrange(40)) for _ in range(30)] + [(100 + i, 101 + i) for i in range(30)] + [(None, 1), (5, 5)]
     label = {v: v for e in edges for v in e if v is not None}
@@ -35,10 +36,22 @@ def test_components(spark, seed):
         for u, v in edges:
             if u is not None:
                 label[u] = label[v] = min(label[u], label[v])
-    got = {r.vertex: r.label for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    got = {r.vertex: r.label for r in connected_components(spark.createDataFrame(edges, "u long, v long"), one_task=one_task).collect()}
     assert got == {v: x for v, x in label.items() if v != x}
 
 
+def test_long_paths():
+    """A million edges of a path, in any order of ids, and of a star."""
+    import numpy as np
+
+    from textmill.operators.components import least_labels
+
+    n = 1_000_000
+    order = np.random.default_rng(0).permutation(n + 1)
+    for u, v in ((order[:-1], order[1:]), (np.arange(n), np.arange(1, n + 1)), (np.full(n, n), np.arange(n))):
+        assert not least_labels(u, v)[1].any()
+
+
 def test_no_edges(spark):
     assert connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
 
