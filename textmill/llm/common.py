@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from textmill.session import settle, shared_folder, table
 
-__all__ = ["SPACE", "WORD", "Words", "buckets_for", "mix", "pack", "parts_of", "runs", "settle", "shared_folder", "shuffle_partitions", "slices", "table", "text_buffers", "unpack"]
+__all__ = ["SPACE", "WORD", "Words", "buckets_for", "mix", "pack", "parts_of", "runs", "settle", "shared_folder", "shuffle_partitions", "slices", "small_batches", "table", "text_buffers", "unpack"]
 
 #: A word, wherever a contract speaks of words; in Java, RE2 and Python alike.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -36,6 +37,18 @@ def buckets_for(docs: DataFrame, each: int = 32 << 20) -> int:
     return max(4 * parts, min(64 * parts, 3 * size // each))
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000):
+    """Bound the rows of Arrow batches while something is run eagerly; the session's own bound is restored after it."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def parts_of(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
     """The parts of all batches: Arrow's are bounded at 64 MB, which is much as Python objects."""
     for batch in batches:

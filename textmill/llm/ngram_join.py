@@ -34,13 +34,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textmill.llm.common import Words, buckets_for, mix, pack, runs, settle, shuffle_partitions, slices, table, unpack
+from textmill.llm.common import Words, buckets_for, mix, pack, runs, settle, shuffle_partitions, slices, small_batches, table, unpack
 from textmill.operators.components import connected_components
 
 #: Bytes of text that are worked on at a time, and the count from which an n-gram's places stay with its batch.
 SLICE, HOT = 2 << 20, 32
 #: Mean members of a set in a block, from which a block holds fewer sets; members in a task of small neighbourhoods.
 BLOCK_MEMBERS, TASK_MEMBERS = 300, 2 << 20
+#: Hashes of 8 bytes that may be broadcast.
+MOST_BROADCAST = 1_000_000
 _NONE = np.zeros(0, np.uint64)
 NEVER = 1 << 60
 
@@ -298,7 +300,7 @@ def _rest_of_wide(full: DataFrame, areas: DataFrame, found: DataFrame, percent:
     return full.join(dealt, "id").select("area", "id", "n", "keys", "side", "i", "j").groupBy("area", "i", "j").applyInArrow(_walk(percent, two_sided=True), "u long, v long")
 
 
-def ngram_jaccard_join(docs: DataFrame, n: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text", lower: bool = True, block: int = 1024) -> DataFrame:
+def ngram_jaccard_join(docs: DataFrame, n: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text", lower: bool = True, block: int = 512) -> DataFrame:
     """Components of documents whose n-gram sets have a Jaccard similarity of ``percent`` or more.
 
     Returns ``doc_id, n_shingles, component_id``, a row for each input row:
@@ -313,11 +315,12 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, percent: int = 75, id_col: s
     buckets, parts = buckets_for(docs), shuffle_partitions(docs.sparkSession)
     sent = docs.mapInArrow(_send(n, lower, buckets), _SENT)
     shared = sent.groupBy("bucket").applyInArrow(_share, _SENT)
-    sets = settle(shared.groupBy("batch").applyInArrow(_gather(percent), "id long, n long, mark binary, shape binary, keys binary"))
+    with small_batches(docs.sparkSession):
+        sets = settle(shared.groupBy("batch").applyInArrow(_gather(percent), "id long, n long, mark binary, shape binary, keys binary"))
 
     classes = settle(sets.where("id is not null and n > 0").groupBy("mark", "n", "shape").agg(F.min("id").alias("rep")))
     shapes = classes.where("shape is not null").groupBy("shape").agg(F.min("rep").alias("id"), F.count("*").alias("classes"))
-    full = settle(sets.select("id", "n", "shape", "keys").join(shapes.select("id", "shape"), ["id", "shape"], "left_semi").dropDuplicates(["id", "shape"]).select("id", "n", "keys"))
+    full = _first_of(sets.where("shape is not null").select("id", "n", "shape", "keys"), shapes)
 
     grams = full.mapInArrow(_prefixes(percent), "gram long, id long")
     least = grams.groupBy("gram").agg(F.min("id").alias("area"), F.max("id").alias("last")).where("area < last").select("gram", "area")
@@ -327,14 +330,14 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, percent: int = 75, id_col: s
     size = F.greatest(F.count("*") / block, F.sum("n") / (BLOCK_MEMBERS * block))
     wide = near.groupBy("area").agg(F.ceil(size).cast("int").alias("blocks"))
     own = F.when(F.col("blocks") == 1, 0).otherwise(F.pmod(F.xxhash64("id", F.lit(7)), F.col("blocks"))).cast("int")
-    areas = settle(near.join(wide, "area").withColumn("own", own))
+    areas = near.join(wide, "area").withColumn("own", own)
     # Small neighbourhoods: several in a task, as many as have so many members. Wide ones: the first block against each block.
     tasks = max(2 * parts, (near.agg(F.sum("n")).first()[0] or 0) // TASK_MEMBERS)
     pack = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("area"), F.lit(tasks)))
     first = F.when(F.col("own") == 0, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("own"))
     dealt = full.join(areas.drop("n"), "id").withColumn("j", F.explode(first)).select("area", "id", "n", "keys", F.col("own").alias("side"), F.lit(0).alias("i"), "j", pack.alias("pack"), F.when(F.col("blocks") > 1, F.col("area")).alias("wide"))
     links = settle(dealt.groupBy("pack", "wide", "i", "j").applyInArrow(_walk(percent), "u long, v long"))
-    if not areas.where("blocks > 1").isEmpty():
+    if not wide.where("blocks > 1").isEmpty():
         links = settle(links.union(_rest_of_wide(full, areas.where("blocks > 1").drop("n"), connected_components(links), percent, block)))
 
     found = connected_components(links.union(_of_shapes(classes, shapes, links, full, percent)))
@@ -346,6 +349,15 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, percent: int = 75, id_col: s
     )
 
 
+def _first_of(sets: DataFrame, shapes: DataFrame) -> DataFrame:
+    """``id, n, keys``: one set of each shape. Few shapes are broadcast, as hashes, so that the sets are not shuffled for them."""
+    key, count = F.xxhash64("id", "shape").alias("key"), shapes.count()
+    first = shapes.select(key)
+    found = settle(sets.withColumn("key", key).join(F.broadcast(first) if count <= MOST_BROADCAST else first, "key", "left_semi").select("id", "n", "shape", "keys"))
+    # More rows than shapes: some row is repeated, with its id.
+    return (found if found.count() == count else settle(found.dropDuplicates(["id", "shape"]))).select("id", "n", "keys")
+
+
 def _of_shapes(classes: DataFrame, shapes: DataFrame, links: DataFrame, full: DataFrame, percent: int) -> DataFrame:
     """Links of the classes that were not compared, since one of their shape was.
 
