@@ -4,8 +4,9 @@ Every stage takes ``(spark, docs, sf_dir)`` and works on all that its predecesso
 kept; the first four return the columns of ``documents``.
 
 * quality rules: documents that the rules reject go.
-* n-gram join: of each group of linked documents the one with the least id stays.
-* decontamination: documents that hold a benchmark item go.
+* n-gram join: of each group of linked documents the one with the least id stays; of rows
+  that are alike in id and text, one.
+* decontamination: documents that hold a benchmark item go, each judged by its own text.
 * PII: personal data are replaced by their kind in brackets; ``n_chars`` follows.
 * mixing: the documents that the mix takes, with the number of their copies.
 """
@@ -17,7 +18,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textmill.llm.common import shared_folder
+from textmill.llm.common import settle, shared_folder
 from textmill.llm.decontamination import decontaminate
 from textmill.llm.mixing import mix_sources
 from textmill.llm.ngram_join import ngram_jaccard_join
@@ -32,6 +33,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Keys that may be broadcast.
+MOST_BROADCAST = 500_000
 #: Names for columns that exist within a stage only.
 KEY, FOUND = "_pipeline_key", "_pipeline_found"
 
@@ -49,10 +52,33 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the least id of each group; documents with a null id stay."""
-    groups = ngram_jaccard_join(docs)
-    lost = groups.where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(lost, "doc_id", "left_anti").select(*docs.columns)
+    """Keep one document of each group of linked ones: the one with the least id, one without an id only if none has one.
+
+    Rows are known by a hash of id and text, so that rows with a null or repeated id are
+    judged too; rows alike in both are one document. Documents without a word are linked
+    with nothing and stay.
+    """
+    keyed = docs.withColumn(KEY, F.xxhash64(F.col("doc_id"), F.coalesce("text", F.lit(""))))
+    groups = settle(ngram_jaccard_join(keyed, id_col=KEY).select(F.col("doc_id").alias(KEY), "component_id", "n_shingles"))
+    # Only rows of a group of two or more are compared: the rest go through.
+    linked = groups.where(F.col("component_id") != F.col(KEY)).select("component_id").distinct()
+    members = groups.join(linked, "component_id", "left_semi").select(KEY, "component_id").distinct()
+    ids = keyed.select(KEY, "doc_id").join(members, KEY).distinct()
+    first = ids.groupBy("component_id").agg(F.min_by(KEY, F.struct(F.col("doc_id").isNull(), "doc_id", KEY)).alias("first"))
+    lost = members.join(first, "component_id").where(F.col(KEY) != F.col("first")).select(KEY)
+    repeated = groups.where("n_shingles > 0").groupBy(KEY).agg(F.count("*").alias("n")).where("n > 1").select(KEY)
+    lost = settle(lost)
+    repeated = settle(repeated.join(lost, KEY, "left_anti"))
+    stay = keyed.join(_few(lost.unionByName(repeated)), KEY, "left_anti")
+    if repeated.isEmpty():
+        return stay.select(*docs.columns)
+    once = keyed.join(_few(repeated), KEY, "left_semi").dropDuplicates([KEY])
+    return stay.unionByName(once).select(*docs.columns)
+
+
+def _few(keys: DataFrame) -> DataFrame:
+    """Keys of 8 bytes: few are broadcast, so that no text is shuffled for them; many are joined by a shuffle."""
+    return F.broadcast(keys) if keys.count() <= MOST_BROADCAST else keys
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
