@@ -79,6 +79,38 @@ def test_stages(spark, folder, tmp_path):
     assert sorted(r.doc_id for r in corpus_pipeline.run(spark, path).collect()) == sorted(got)
 
 
+def test_near_duplicates_without_ids(spark, folder):
+    """Rows with a null or repeated id are judged as all others: of a group one row stays, the one with the least id."""
+    t, u, v, w = (" ".join(f"{x}{i}" for i in range(60)) for x in "tuvw")
+    rows = [(1, t), (1, t), (None, t), (None, t), (2, t), (None, u), (None, u + " end"), (3, v), (3, w), (4, v), (None, None), (None, None), (5, ""), (5, "")]
+    docs = spark.createDataFrame([(*r, "en", "s", 0) for r in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    kept = corpus_pipeline.near_duplicate_stage(spark, docs, folder[0])
+    assert kept.columns == COLUMNS
+    got = sorted((str(r.doc_id), r.text) for r in kept.collect() if r.text)
+    assert [x for x in got if not x[1].startswith("u")] == [("1", t), ("3", v), ("3", w)]
+    assert len([x for x in got if x[1].startswith("u")]) == 1
+    assert sum(not r.text for r in kept.collect()) == 4
+
+
+def test_decontamination_without_ids(spark, folder):
+    path, _, items = folder
+    rows = [(None, "x " + items[0][1]), (1, items[1][1] + " y"), (1, "clean text of its own"), (None, "clean too"), (2, None)]
+    docs = spark.createDataFrame([(*r, "en", "s", 0) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(str(r.text) for r in corpus_pipeline.decontamination_stage(spark, docs, path).collect()) == ["None", "clean text of its own", "clean too"]
+
+
+def test_quality_stage_with_cutoffs(spark, tmp_path):
+    """Enough labels for cutoffs: documents with many symbols go although the base rules keep them, and clean ones stay."""
+    rng = random.Random(3)
+    clean = lambda: " ".join(f"w{rng.randrange(4000)}" for _ in range(60))
+    junk = lambda: " ".join(f"w{rng.randrange(4000)}#*" for _ in range(60))
+    rows = [(i, junk() if i % 10 == 0 else clean(), "en" if i % 2 else None, "s", 0) for i in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
+    spark.createDataFrame([(i, int(i % 10 > 0), 0) for i in range(4000)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    kept = {r.doc_id for r in corpus_pipeline.quality_stage(spark, docs, str(tmp_path)).collect()}
+    assert kept == {i for i in range(4000) if i % 10}
+
+
 def test_odd_rows(spark, folder):
     path, _, _ = folder
     filler = " ".join(f"f{i}" for i in range(60))
