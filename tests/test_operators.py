@@ -56,6 +56,36 @@ def test_no_edges(spark):
     assert connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+def test_bucket_links(spark):
+    """Groups of near copies, strangers in their buckets, and buckets of strangers: the same components as from all pairs."""
+    rng = random.Random(2)
+    base = [[f"g{k}x{i}" for i in range(40)] for k in range(4)]
+    rows = [(i, sorted({x if rng.random() > (0.4 if i % 4 == 0 else 0.04) else f"o{i}" for x in rng.choice(base)} | {f"own{i}"})) for i in range(80)]
+    sets = spark.createDataFrame(rows, "doc_id long, grams array<string>")
+    buckets = spark.createDataFrame([(i, band, f"{rng.randrange(3) if band else g[0][1]}") for i, g in rows for band in range(3)], "doc_id long, band int, key string")
+    label = {i: i for i, _ in rows}
+    every = dedup.jaccard_pairs(dedup.lsh_candidates(buckets), sets).collect()
+    for _ in rows:
+        for p in every:
+            label[p.u] = label[p.v] = min(label[p.u], label[p.v])
+    found = {r.vertex: r.label for r in connected_components(dedup.bucket_links(buckets, sets)).collect()}
+    assert {i: found.get(i, i) for i, _ in rows} == label
+    assert len(set(label.values())) > 4
+
+
+def test_minhash_recall(spark, sf):
+    """Of all pairs of documents with different sets and an exact similarity over 0.8, nine in ten or more are found."""
+    sets = dedup.classes_of(spark.read.parquet(f"{sf.replace('0.001', '0.01')}/documents.parquet")).where("size(grams) > 0").select("doc_id", "grams").cache()
+    grams = sets.select("doc_id", F.explode("grams").alias("g"))
+    share = grams.withColumnRenamed("doc_id", "u").join(grams.withColumnRenamed("doc_id", "v"), "g").where("u < v").groupBy("u", "v").count()
+    size = {r.doc_id: len(r.grams) for r in sets.collect()}
+    exact = {(r.u, r.v) for r in share.collect() if r["count"] > 0.8 * (size[r.u] + size[r.v] - r["count"])}
+    found = dedup.jaccard_pairs(dedup.lsh_candidates(dedup.lsh_buckets(dedup.minhash(sets))), sets)
+    got = {(r.u, r.v) for r in found.collect()}
+    sets.unpersist()
+    assert got <= exact and len(got) >= 0.9 * len(exact) > 0
+
+
 def test_minhash_dedup(spark):
     base = [f"word{i}" for i in range(100)]
     near = base[:50] + ["other"] + base[51:]

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from hashlib import md5
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +16,8 @@ from textmill.session import settle
 
 #: The largest prime below 2**32: signatures are residues modulo it.
 PRIME = 4294967291
+#: N-grams that are hashed at a time.
+CHUNK = 4096
 
 
 def line_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -37,21 +44,39 @@ def exact_line_dedup(docs: DataFrame, keep: str = "none", id_col: str = "doc_id"
     return rebuilt.select("doc_id", F.coalesce(F.size("kept"), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.array_join("kept.line", "\n"), F.lit("")).alias("text"))
 
 
-def gram_table(docs: DataFrame, n: int = 5) -> DataFrame:
-    """``doc_id, gram``: the distinct n-grams of the normalised texts."""
-    return docs.select("doc_id", F.explode(ngrams(normalize(F.col("text")), n)).alias("gram"))
+def gram_sets(docs: DataFrame, n: int = 5) -> DataFrame:
+    """``doc_id, grams``: the distinct n-grams of the normalised texts, in order."""
+    return docs.select("doc_id", F.sort_array(ngrams(normalize(F.coalesce("text", F.lit(""))), n)).alias("grams"))
 
 
-def minhash(grams: DataFrame, hashes: int = 128) -> DataFrame:
-    """``doc_id, sig``: the least hash of a document's n-grams for each of a family of hashes.
+def minhash(sets: DataFrame, hashes: int = 128) -> DataFrame:
+    """``doc_id, sig``: the least hash of a document's n-grams for each of a family of hashes; empty sets have none.
 
     One digest of an n-gram gives two numbers a and b; the i-th hash is a + i*b
-    modulo a prime. All minima come from one aggregation with partial sums.
+    modulo a prime. A set is one row, so nothing is shuffled: Arrow batches of sets go to
+    numpy, which has all hashes of an n-gram in one operation.
     """
-    digest = F.md5("gram")
-    pair = [F.conv(F.substring(digest, 1 + 8 * k, 8), 16, 10).cast("long").alias(name) for k, name in enumerate("ab")]
-    least = [F.min(F.pmod(F.col("a") + F.lit(i).cast("long") * F.col("b"), F.lit(PRIME))).alias(f"h{i}") for i in range(hashes)]
-    return grams.select("doc_id", *pair).groupBy("doc_id").agg(*least).select("doc_id", F.array(*[f"h{i}" for i in range(hashes)]).alias("sig"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = np.arange(hashes, dtype=np.uint64)[:, None]
+        for batch in batches:
+            rows, gram = batch.column(1).flatten(), []
+            for k in range(0, len(rows), CHUNK):
+                gram.append(b"".join(md5(x).digest()[:8] for x in rows.slice(k, CHUNK).cast(pa.binary()).to_pylist()))
+            pairs = np.frombuffer(b"".join(gram), ">u4").astype(np.uint64).reshape(-1, 2)
+            ends = np.cumsum(batch.column(1).value_lengths().to_numpy())
+            sigs = np.empty((len(ends), hashes), np.int64)
+            for k, end in enumerate(ends):
+                begin = ends[k - 1] if k else 0
+                least = np.full(hashes, PRIME, np.uint64)
+                for at in range(begin, end, CHUNK):
+                    a, b = pairs[at : min(end, at + CHUNK)].T
+                    least = np.minimum(least, ((a + step * b) % np.uint64(PRIME)).min(1))
+                sigs[k] = least
+            sig = pa.ListArray.from_arrays(pa.array(np.arange(len(ends) + 1, dtype=np.int32) * hashes), pa.array(sigs.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), sig], names=["doc_id", "sig"])
+
+    return sets.where("size(grams) > 0").select(F.col("doc_id").cast("long"), "grams").mapInArrow(run, "doc_id long, sig array<long>")
 
 
 def lsh_buckets(signatures: DataFrame, bands: int = 16) -> DataFrame:
@@ -62,24 +87,48 @@ def lsh_buckets(signatures: DataFrame, bands: int = 16) -> DataFrame:
 
 def classes_of(docs: DataFrame, n: int = 5) -> DataFrame:
     """``doc_id, class, grams``: documents with equal n-gram sets are one class, named by the least id; it carries the set."""
-    sets = settle(docs.select("doc_id", F.sort_array(ngrams(normalize(F.coalesce("text", F.lit(""))), n)).alias("grams")).withColumn("mark", F.sha2(F.to_json("grams"), 256)))
+    sets = settle(gram_sets(docs, n).withColumn("mark", F.sha2(F.concat_ws("\n", F.size("grams"), "grams"), 256)))
     named = sets.groupBy("mark").agg(F.min("doc_id").alias("class"))
     return sets.join(named, "mark").select("doc_id", "class", F.when(F.col("doc_id") == F.col("class"), F.col("grams")).alias("grams"))
 
 
 def lsh_candidates(buckets: DataFrame) -> DataFrame:
-    """``u, v``: distinct pairs of documents with u < v that share a bucket."""
+    """``u, v``: distinct pairs of documents with u < v that share a bucket. Every pair is told: for components see ``bucket_links``."""
     left, right = buckets.select("band", "key", F.col("doc_id").alias("u")), buckets.select("band", "key", F.col("doc_id").alias("v"))
     return left.join(right, ["band", "key"]).where("u < v").select("u", "v").distinct()
 
 
 def jaccard_pairs(pairs: DataFrame, sets: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """Candidate pairs whose n-gram sets have a similarity over the threshold: ``u, v, jaccard``. Two empty sets are alike."""
-    both = pairs.join(sets.select(F.col("doc_id").alias("u"), F.col("grams").alias("a")), "u").join(sets.select(F.col("doc_id").alias("v"), F.col("grams").alias("b")), "v")
-    common, every = F.size(F.array_intersect("a", "b")), F.size(F.array_union("a", "b"))
+    """Candidate pairs whose n-gram sets have a similarity over the threshold: ``u, v, jaccard``. Two empty sets are alike.
+
+    The sets are compared as 64-bit hashes of their members: a third of the bytes of the strings.
+    """
+    numbers = sets.select("doc_id", F.transform("grams", lambda g: F.xxhash64(g)).alias("members"))
+    both = pairs.join(numbers.select(F.col("doc_id").alias("u"), F.col("members").alias("a")), "u").join(numbers.select(F.col("doc_id").alias("v"), F.col("members").alias("b")), "v")
+    common = F.size(F.array_intersect("a", "b"))
+    every = F.size("a") + F.size("b") - common
     return both.select("u", "v", F.when(every == 0, F.lit(1.0)).otherwise(common / every).alias("jaccard")).where(F.col("jaccard") > threshold)
 
 
+def bucket_links(buckets: DataFrame, sets: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """``u, v``: verified links that connect what all verified pairs of the buckets connect, without telling all pairs.
+
+    First every member of a bucket is compared with its least one, which settles groups
+    of near copies. Then only members outside the largest component of their bucket are
+    compared with the members of other components in it.
+    """
+    many = buckets.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("doc_id").alias("u")).where("n > 1")
+    held = settle(buckets.join(many, ["band", "key"]).select("band", "key", "u", F.col("doc_id").alias("v")))
+    links = settle(jaccard_pairs(held.where("u <> v").select("u", "v").distinct(), sets, threshold).select("u", "v"))
+    found = connected_components(links)
+    state = held.join(found, held.v == found.vertex, "left").select("band", "key", "v", F.coalesce("label", "v").alias("label"))
+    main = state.groupBy("band", "key", "label").agg(F.count("*").alias("n")).groupBy("band", "key").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
+    state = settle(state.join(main, ["band", "key"]))
+    apart = state.where("label <> main").select("band", "key", F.col("v").alias("x"), F.col("label").alias("other"))
+    pairs = apart.join(state, ["band", "key"]).where("label <> other").select(F.least("x", "v").alias("u"), F.greatest("x", "v").alias("v")).distinct()
+    return links.unionByName(jaccard_pairs(pairs, sets, threshold).select("u", "v"))
+
+
 def minhash_components(docs: DataFrame, hashes: int = 128, bands: int = 16, n: int = 5, threshold: float = 0.8) -> DataFrame:
     """``doc_id, component``: the least id that is reached by verified links, for each document.
 
@@ -88,9 +137,7 @@ def minhash_components(docs: DataFrame, hashes: int = 128, bands: int = 16, n: i
     """
     members = settle(classes_of(docs, n))
     sets = members.where("grams is not null").select("doc_id", "grams")
-    signatures = minhash(sets.select("doc_id", F.explode("grams").alias("gram")), hashes)
-    links = jaccard_pairs(lsh_candidates(lsh_buckets(signatures, bands)), sets, threshold)
-    found = connected_components(links.select("u", "v"))
+    found = connected_components(bucket_links(lsh_buckets(minhash(sets, hashes), bands), sets, threshold))
     return members.join(found, members["class"] == found.vertex, "left").select("doc_id", F.coalesce("label", "class").alias("component"))
 
 

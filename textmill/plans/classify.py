@@ -73,12 +73,12 @@ def quality_trainset(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Training set of good and bad English documents (CP10, FL6, FL7, WN8, ST3, SO3, SO4)."""
     docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id").where("lang = 'en'")
     good = docs.where("quality = 1").withColumns(T.heuristics(F.col("text"))).where(F.expr(ALL_RULES)).where("octet_length(text) <= 31457280")
-    rows = C.trainset(good, docs.where("quality = 0"), most=100)
+    rows = C.trainset(good, docs.where("quality = 0"))
     return rows.select("label", "doc_id", F.md5("text").alias("text_md5"))
 
 
 _CLEAN = "regexp_replace(translate(text, chr(10) || chr(13), '  '), '^" + T.SPACES + "|" + T.SPACES + "$', '', 'g')"
-_CLASS = "SELECT '{0}' AS label, doc_id, md5({1}) AS text_md5 FROM documents JOIN labels USING (doc_id) WHERE lang = 'en' AND quality = {2} AND {1} <> '' {3} ORDER BY doc_id LIMIT 100"
+_CLASS = "SELECT '{0}' AS label, doc_id, md5({1}) AS text_md5 FROM documents JOIN labels USING (doc_id) WHERE lang = 'en' AND quality = {2} AND {1} <> '' {3} ORDER BY doc_id LIMIT 5000"
 QUERIES["quality_trainset"] = quality_trainset
 SQL["quality_trainset"] = (
     f"(SELECT * FROM ({_CLASS.format('high', _CLEAN, 1, f'AND doc_id IN (SELECT doc_id FROM ({MEASURES}) WHERE {ALL_RULES})')})) UNION ALL (SELECT * FROM ({_CLASS.format('low', _CLEAN, 0, '')}))"

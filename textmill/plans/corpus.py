@@ -67,7 +67,7 @@ def curation(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = verdicts(spark, sf_dir).where(F.expr(list(_cumulative().values())[-1])).select("doc_id")
     docs = table(spark, sf_dir, "documents").join(kept, "doc_id", "left_semi").select("doc_id", "source", "text")
     lines = D.exact_line_dedup(docs).where("text <> ''").join(docs.select("doc_id", "source"), "doc_id")
-    unique = D.minhash_dedup(settle(lines.select("doc_id", "source", "text")), hashes=32, bands=8)
+    unique = D.minhash_dedup(settle(lines.select("doc_id", "source", "text")))
     return unique.select("doc_id", "source", F.md5("text").alias("text_md5"))
 
 

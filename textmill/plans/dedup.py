@@ -12,7 +12,7 @@ from textmill.session import table
 QUERIES: dict = {}
 SQL: dict = {}
 
-HASHES, BANDS = 32, 8
+HASHES, BANDS = 128, 16
 _LINES = "SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS no FROM documents"
 
 
@@ -62,12 +62,12 @@ def _reps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _signatures(sets: DataFrame) -> DataFrame:
-    return D.minhash(sets.select("doc_id", F.explode("grams").alias("gram")), HASHES)
+    return D.minhash(sets, HASHES)
 
 
 def minhash_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Signatures in long form (TX16, AG6)."""
-    sigs = D.minhash(D.gram_table(table(spark, sf_dir, "documents")), HASHES)
+    sigs = D.minhash(D.gram_sets(table(spark, sf_dir, "documents")), HASHES)
     return sigs.select("doc_id", F.posexplode("sig").alias("i", "h")).select("doc_id", F.col("i").cast("long").alias("i"), "h")
 
 
@@ -77,7 +77,7 @@ SQL["minhash_signature"] = f"SELECT doc_id, i, h FROM ({_SIGS})"
 
 def lsh_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bucket keys of all documents and the size of their bucket (AG7)."""
-    buckets = D.lsh_buckets(D.minhash(D.gram_table(table(spark, sf_dir, "documents")), HASHES), BANDS)
+    buckets = D.lsh_buckets(D.minhash(D.gram_sets(table(spark, sf_dir, "documents")), HASHES), BANDS)
     return buckets.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"))
 
 
