@@ -114,6 +114,15 @@ def test_bpe_ties_and_overlaps(spark):
     assert bpe.train(counts(spark, a=4), 300).merges == []
 
 
+def joined(parts, pair):
+    out = []
+    for x in parts:
+        out.append(x)
+        while len(out) > 1 and (out[-2], out[-1]) == pair and (len(out) < 3 or x != pair[0] + pair[1]):
+            out[-2:] = [pair[0] + pair[1]]
+    return out
+
+
 def test_bpe_against_recount(spark):
     rng = random.Random(4)
     words = {"".join(rng.choice("abc") for _ in range(rng.randint(1, 7))): rng.randint(1, 9) for _ in range(60)}
@@ -126,7 +135,7 @@ def test_bpe_against_recount(spark):
         if not total:
             break
         want.append(max(total, key=lambda p: (total[p], p)))
-        parts = {w: bpe._joined(p, want[-1]) for w, p in parts.items()}
+        parts = {w: joined(p, want[-1]) for w, p in parts.items()}
     assert bpe.train(counts(spark, **words), 256 + 1 + 20).merges == want
 
 
@@ -146,9 +155,76 @@ def test_encode_decode(spark):
 def test_pretokens(spark):
     import regex
 
-    text = "I'll  go\t\tthere, isn't\n\n it? 42 x_y  "
-    got = [r.token for r in bpe.pretokens(docs(spark, text)).collect()]
-    assert got == regex.findall(PRETOKEN, text)
+    for text in ("I'll  go\t\tthere, isn't\n\n it? 42 x_y  ", "a\u00a0b \u00a0c\u2003\u2003d\u0085e\u3000!\x1cf é\u0301x", "東京 2\u2028\u2029 3"):
+        got = [r.token for r in bpe.pretokens(docs(spark, text)).collect()]
+        assert got == regex.findall(PRETOKEN, text)
+
+
+def test_encoding_against_another_encoder(spark, sf):
+    """The ids of all documents by an encoder that shares no code, after the vocabulary was stored and loaded."""
+    import tiktoken
+
+    df = spark.read.parquet(f"{sf}/documents.parquet")
+    coder = bpe.train(bpe.pretoken_counts(df), 2000)
+    other = tiktoken.Encoding("other", pat_str=PRETOKEN, mergeable_ranks={t: i for i, t in coder.vocab.items() if t != b"<|endoftext|>"}, special_tokens={"<|endoftext|>": coder.ids[b"<|endoftext|>"]})
+    texts = {r.doc_id: r.text or "" for r in df.collect()}
+    got = {r.doc_id: r.ids for r in bpe.encode(df, coder).collect()}
+    assert got == {i: other.encode(t, allowed_special="all") for i, t in texts.items()}
+    assert list(coder.encode_iterable(texts.values())) == [x for t in texts.values() for x in other.encode(t, allowed_special="all")]
+
+
+def test_stored_tokenizer(spark, tmp_path):
+    import pickle
+
+    coder = bpe.train(counts(spark, low=5, lower=2, newest=6, widest=3), 270, ["<|endoftext|>", "<x>"])
+    bpe.save_tokenizer(spark, coder, str(tmp_path))
+    again = bpe.load_tokenizer(spark, str(tmp_path))
+    assert (again.vocab, again.merges, sorted(again.specials)) == (coder.vocab, coder.merges, sorted(coder.specials))
+    assert bpe.unpickle_tokenizer(pickle.dumps(coder.vocab), pickle.dumps(coder.merges)).encode_token(b"lowest") == coder.encode_token(b"lowest")
+    with pytest.raises(pickle.UnpicklingError):
+        bpe.unpickle_tokenizer(pickle.dumps(random.Random), pickle.dumps([]))
+    # A special token is added only where the vocabulary has none.
+    assert bpe.Tokenizer([], ["<a>", "<b>"], {0: b"<a>", 1: b"x"}).vocab == {0: b"<a>", 1: b"x", 2: b"<b>"}
+    with pytest.raises(ValueError, match="min_count"):
+        bpe.train(counts(spark, low=5, lower=2), 300, most_words=1)
+    assert bpe.train(counts(spark, low=5, yz=2), 300, min_count=3).merges == [(b"o", b"w"), (b"l", b"ow")]
+
+
+def test_long_tokens():
+    rng = random.Random(0)
+    merges = [(b"a", b"b"), (b"ab", b"c"), (b"a", b"a"), (b"aa", b"ab"), (b"b", b"b"), (b"c", b"abc")]
+    coder = bpe.Tokenizer(merges)
+    for _ in range(200):
+        token = bytes(rng.choice(b"abc") for _ in range(rng.randint(2, 200)))
+        parts = [coder.byte[b] for b in token]
+        assert coder._long(list(parts)) == coder._short(list(parts))
+    assert len(coder.encode_token(b"a" * 300_000)) == 150_000
+
+
+def test_before_each(spark):
+    rng = random.Random(1)
+    rows = [(rng.choice([rng.randrange(50), rng.randrange(10**7), 10**12 + rng.randrange(99)]), rng.randint(0, 5)) for _ in range(300)]
+    want, total = [], 0
+    for i, n in sorted(rows):
+        want.append((i, n, total))
+        total += n
+    assert sorted(map(tuple, bpe.before_each(spark.createDataFrame(rows, "id long, n long"), 8).select("id", "n", "before").collect())) == sorted(want)
+
+
+def test_random_windows(spark):
+    rows = spark.createDataFrame([(k, [10 * k + j for j in range(k % 4)]) for k in range(40)], "doc_id long, ids array<int>")
+    flat = [10 * k + j for k in range(40) for j in range(k % 4)]
+    got = bpe.random_windows(rows, 5, 50, seed=3).collect()
+    assert sorted(r.draw for r in got) == list(range(50)) and len({r.start for r in got}) > 20
+    assert all(r.x == flat[r.start : r.start + 5] and r.y == flat[r.start + 1 : r.start + 6] for r in got)
+    assert max(bpe.random_windows(rows, len(flat) - 1, 3).collect()).start == 0
+    assert bpe.random_windows(rows, len(flat), 3).count() == 0
+
+
+def test_prefix(spark):
+    df = spark.createDataFrame([(k, "x" * (k % 5)) for k in range(100, 0, -1)], "doc_id long, text string")
+    got = sorted(map(tuple, bpe.prefix(df, 7).collect()))
+    assert got == [(1, "x", 0), (2, "xx", 1), (3, "xxx", 3), (4, "xxxx", 6)]
 
 
 def test_pack(spark):
@@ -199,6 +275,55 @@ def test_warc(spark, tmp_path, packed):
     assert warc.response_pages(spark, str(tmp_path / "*")).first().html == "<p>hi</p>"
 
 
+@pytest.mark.parametrize("stream", [False, True])
+def test_broken_archives(spark, tmp_path, stream):
+    good = [_record("conversion", f"text {k}".encode() * 50) for k in range(6)]
+    bad = [b"WARC/1.0\r\nWARC-Type: conversion\r\nContent-Length: no\r\n\r\nabc\r\n\r\n", b"WARC/1.0\r\nWARC-Type: conv", b"WARC/1.0\r\nWARC-Type: x\r\n\r\n"]
+    name = tmp_path / "a.wet"
+    name.write_bytes(good[0] + bad[0] + good[1] + bad[1] + b"\r\n" + good[2] + bad[2] + good[3])
+    want = [f"text {k}" * 50 for k in range(4)]
+    assert [bytes(r.payload).decode() for r in warc.read_warc(spark, str(name), stream=stream).orderBy("rec_no").collect()] == want
+    packed = [gzip.compress(x) for x in good]
+    broken = bytearray(packed[1])
+    broken[len(broken) // 2] ^= 0xFF
+    name = tmp_path / "b.wet.gz"
+    name.write_bytes(packed[0] + bytes(broken) + packed[2] + b"junk" + packed[3] + b"\0" * 10 + packed[4] + packed[5][:-9])
+    got = [bytes(r.payload).decode() for r in warc.read_warc(spark, str(name), stream=stream).orderBy("rec_no").collect()]
+    assert [x for x in got if x in {f"text {k}" * 50 for k in range(6)}][:4] == [f"text {k}" * 50 for k in (0, 2, 3, 4)]
+
+
+def test_archives_are_linear():
+    """Time follows the number of members, and the memory of a reader the size of a record."""
+    import io
+    import os
+    import time
+    import tracemalloc
+
+    member = [gzip.compress(_record("conversion", os.urandom(2000) + b"%d" % k)) for k in range(100)]
+    took = []
+    for n in (200, 5_000, 20_000):
+        raw = io.BytesIO(b"".join(member[k % 100] for k in range(n)))
+        began = time.perf_counter()
+        assert sum(1 for _ in warc.records(raw, ("conversion",))) == n
+        took.append(time.perf_counter() - began)
+    assert took[2] < 8 * took[1]
+    tracemalloc.start()
+    assert sum(1 for _ in warc.records(io.BytesIO(b"".join(member * 50)), ("response",))) == 0
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 30 << 20
+
+
+def test_token_sink(spark, tmp_path):
+    rows = spark.createDataFrame([(k, [k, 65535]) for k in range(50)] + [(99, [])], "doc_id long, ids array<int>").repartitionByRange(3, "doc_id")
+    told = files.write_token_file(rows, str(tmp_path / "t")).collect()
+    assert sum(r.n_tokens for r in told) == 100 and len(told) == 3
+    back = files.read_token_files(spark, str(tmp_path / "t")).orderBy("file", "start").collect()
+    assert [x for r in back for x in r.ids] == [x for k in range(50) for x in (k, 65535)]
+    with pytest.raises(Exception, match="out of range"):
+        files.write_token_file(spark.createDataFrame([(1, [65536])], "doc_id long, ids array<int>"), str(tmp_path / "u"))
+
+
 def test_files(spark, tmp_path):
     df = spark.createDataFrame([(1, "s", " a\nb "), (2, "t", "c")], "doc_id long, source string, text string")
     files.write_documents(df, str(tmp_path / "d"))

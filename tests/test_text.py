@@ -98,3 +98,29 @@ def test_decode(spark):
     df = spark.createDataFrame([(bytearray(b"ok \xc3\xa9"),), (bytearray(b"bad \xff"),)], "b binary")
     rows = df.select(T.decode_bytes(F.col("b")).alias("r"), T.decode_bytes(F.col("b"), "strict").alias("s"), T.decode_bytes(F.col("b"), "ignore").alias("i")).collect()
     assert [(r.r, r.s, r.i) for r in rows] == [("ok é", "ok é", "ok é"), ("bad �", None, "bad ")]
+
+
+def test_masks_as_python_matches(spark):
+    """Word boundaries and white space are those of Unicode, as in Python's own patterns."""
+    import re
+
+    texts = ["é123-456-7890", "tel\u00a0123\u00a0456\u00a07890.", "(123)\u2003456 7890 东123 456 7890", "x_123 456 7890 1.2.3.4é ü1.2.3.4 1.2.3.4 a1.2.3.4", "+1\u00a0123\x1c456 7890"]
+    for text in texts:
+        row = one(spark, text, T.mask_phones(F.col("text")).alias("p"), T.mask_ips(F.col("text")).alias("i"))
+        assert row.p.text == re.sub(T.PHONE, T.PHONE_MARK, text) and row.p.n == len(re.findall(T.PHONE, text))
+        assert row.i.text == re.sub(T.IPV4, T.IP_MARK, text)
+
+
+def test_decode_page(spark):
+    pages = [
+        ("<p>é東</p>".encode(), "<p>é東</p>"), (b"\xef\xbb\xbfx", "x"), ("a€é".encode("utf-16"), "a€é"), (b"<meta charset=windows-1252>\x80 caf\xe9", "<meta charset=windows-1252>€ café"),
+        (b"caf\xe9 \x93q\x94", "caf\u00e9 \u201cq\u201d"), (b"<meta charset='utf-8'>a\xff", "<meta charset='utf-8'>a\ufffd"), (b"", ""), (None, None),
+    ]
+    df = spark.createDataFrame([(k, None if p is None else bytearray(p)) for k, (p, _) in enumerate(pages)], "k int, b binary")
+    assert {r.k: r.t for r in df.select("k", T.decode_page(F.col("b")).alias("t")).collect()} == {k: t for k, (_, t) in enumerate(pages)}
+
+
+def test_ignored_bytes(spark):
+    for data in (b"a\xffb", "x\ufffdy".encode() + b"\xfez", "\ufdd0".encode() + b"\xff", b"", "é".encode()):
+        got = spark.createDataFrame([(bytearray(data),)], "b binary").select(T.decode_bytes(F.col("b"), "ignore")).first()[0]
+        assert got == data.decode("utf-8", "ignore")

@@ -6,6 +6,7 @@ import sys
 import unicodedata
 from functools import lru_cache
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,6 +20,20 @@ PHONE = r"\b(?:\+?1[\s.-]?)?(?:\([0-9]{3}\)|[0-9]{3})[\s.-]?[0-9]{3}[\s.-]?[0-9]
 IPV4 = r"\b(?:(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)\.){3}(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)\b"
 EMAIL_MARK, PHONE_MARK, IP_MARK = "|||EMAIL_ADDRESS|||", "|||PHONE_NUMBER|||", "|||IP_ADDRESS|||"
 PRETOKEN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: The same for Java, whose own white space is ASCII; the pattern means Unicode's property, which has no separators U+001C to U+001F.
+_WHITE = SPACES.replace(r"\x1C-\x20", r"\x20")[1:-2]
+PRETOKEN_JVM = PRETOKEN.replace(r"[^\s", "[^" + _WHITE).replace(r"\S", f"[^{_WHITE}]").replace(r"\s", f"[{_WHITE}]")
+# A word boundary of Unicode letters and numbers: Java's own is that of ASCII words.
+_W = r"[\p{L}\p{N}_]"
+_EDGE = f"(?:(?<={_W})(?!{_W})|(?<!{_W})(?={_W}))"
+
+
+def _unicode(pattern: str) -> str:
+    """A mask's pattern for Java with Unicode's white space and word boundaries."""
+    return pattern.replace(r"\b", _EDGE).replace(r"\s", SPACES[1:-2])
+
+
+PHONE_JVM, IPV4_JVM = _unicode(PHONE), _unicode(IPV4)
 MIN_WORDS, MAX_WORDS, MIN_MEAN, MAX_MEAN, MAX_ELLIPSIS, MIN_ALPHA = 50, 100_000, 3, 10, 0.3, 0.8
 
 
@@ -85,11 +100,11 @@ def mask_emails(text: Column) -> Column:
 
 
 def mask_phones(text: Column) -> Column:
-    return mask(text, PHONE, PHONE_MARK)
+    return mask(text, PHONE_JVM, PHONE_MARK)
 
 
 def mask_ips(text: Column) -> Column:
-    return mask(text, IPV4, IP_MARK)
+    return mask(text, IPV4_JVM, IP_MARK)
 
 
 #: Elements whose content is no text, elements that end a line, and character references in the order of their decoding.
@@ -112,14 +127,41 @@ def html_to_text(page: Column) -> Column:
 
 
 def decode_bytes(payload: Column, errors: str = "replace") -> Column:
-    """UTF-8 text of a binary column: bad bytes replaced, dropped with ``ignore``, or the whole null with ``strict``.
-
-    Dropping also drops replacement characters that the text itself holds.
-    """
+    """UTF-8 text of a binary column: bad bytes replaced, dropped with ``ignore``, or the whole null with ``strict``."""
     if errors == "strict":
         return F.try_validate_utf8(payload.cast("string"))
-    text = F.make_valid_utf8(payload.cast("string"))
-    return F.replace(text, F.lit("\ufffd"), F.lit("")) if errors == "ignore" else text
+    if errors == "ignore":
+        return F.pandas_udf(_without_bad_bytes, "string")(payload)
+    return F.make_valid_utf8(payload.cast("string"))
+
+
+def _without_bad_bytes(payload: pd.Series) -> pd.Series:
+    """In Arrow batches: a replacement character of the text itself must stay, which no built-in tells from a bad byte."""
+    return payload.map(lambda b: None if b is None else bytes(b).decode("utf-8", "ignore"))
+
+
+#: Characters of the common western encoding where ISO 8859-1 has controls: 0x80 to 0x9F, undefined ones as they are.
+_WESTERN = bytes(range(0x80, 0xA0)).decode("cp1252", errors="replace").replace("\ufffd", "")
+_CONTROLS = "".join(chr(c) for c in range(0x80, 0xA0) if bytes([c]).decode("cp1252", errors="replace") != "\ufffd")
+
+
+def decode_page(payload: Column) -> Column:
+    """Text of a page in the encoding that it shows: a byte order mark, valid UTF-8, a name in its first 1024 bytes, else western.
+
+    Of named encodings those of Unicode and the western ones are known; bytes in others
+    are read as western, so that markup and ASCII are right at least. Null gives null.
+    """
+    byte = F.decode(payload, "ISO-8859-1")
+    named = F.lower(F.regexp_extract(F.substring(byte, 1, 1024), r"(?i)charset\s*=\s*[\"']?([A-Za-z0-9_-]+)", 1))
+    western = F.translate(byte, _CONTROLS, _WESTERN)
+    utf8 = F.try_validate_utf8(payload.cast("string"))
+    return (
+        F.when(byte.startswith("\u00ef\u00bb\u00bf"), F.make_valid_utf8(F.substring(payload, F.lit(4), F.length(payload)).cast("string")))
+        .when(byte.startswith("\u00ff\u00fe") | byte.startswith("\u00fe\u00ff"), F.decode(payload, "UTF-16"))
+        .when(utf8.isNotNull(), utf8)
+        .when(named.isin("utf-8", "utf8"), F.make_valid_utf8(payload.cast("string")))
+        .otherwise(western)
+    )
 
 
 def heuristics(text: Column) -> dict[str, Column]:

@@ -1,20 +1,24 @@
-"""Byte-pair encoding: counts on the cluster, merges on the table of distinct pre-tokens, encoding of each distinct pre-token once."""
+"""Byte-pair encoding: counts on the cluster, merges on the table of distinct pre-tokens, encoding in Arrow batches."""
 
 from __future__ import annotations
 
 import heapq
-from collections import Counter, defaultdict
+import io
+import pickle
+from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from textmill.functions.text import PRETOKEN
+from textmill.functions.text import PRETOKEN, PRETOKEN_JVM
 from textmill.session import settle
 
 END_OF_TEXT = "<|endoftext|>"
+#: Bytes or characters up to which a pre-token is merged by plain search and remembered, pre-tokens that are remembered, rows a time.
+SHORT, REMEMBERED, ROWS = 64, 500_000, 256
 
 
 def without_specials(text: Column, specials: Iterable[str]) -> Column:
@@ -25,7 +29,7 @@ def without_specials(text: Column, specials: Iterable[str]) -> Column:
 
 def pretokens(docs: DataFrame, specials: Iterable[str] = (END_OF_TEXT,), text_col: str = "text") -> DataFrame:
     """``token``: a row for each pre-token; special tokens are no part of any."""
-    parts = F.flatten(F.transform(without_specials(F.coalesce(F.col(text_col), F.lit("")), specials), lambda x: F.regexp_extract_all(x, F.lit(PRETOKEN), F.lit(0))))
+    parts = F.flatten(F.transform(without_specials(F.coalesce(F.col(text_col), F.lit("")), specials), lambda x: F.regexp_extract_all(x, F.lit(PRETOKEN_JVM), F.lit(0))))
     return docs.select(F.explode(parts).alias("token"))
 
 
@@ -47,39 +51,106 @@ def pair_counts(counts: DataFrame) -> DataFrame:
 
 @dataclass
 class Tokenizer:
-    """A vocabulary with its merges; ids are bytes, then specials, then merges in their order."""
+    """A vocabulary with its merges; without a stored vocabulary ids are bytes, then specials, then merges in their order.
+
+    A special token that the vocabulary already has keeps its id; others get the next ids.
+    """
 
     merges: list[tuple[bytes, bytes]]
     specials: list[str] = field(default_factory=lambda: [END_OF_TEXT])
+    vocab: dict[int, bytes] = field(default_factory=dict)
 
     def __post_init__(self):
-        tokens = [bytes([b]) for b in range(256)] + [s.encode() for s in self.specials] + [a + b for a, b in self.merges]
-        self.vocab = dict(enumerate(tokens))
+        if not self.vocab:
+            self.vocab = dict(enumerate([bytes([b]) for b in range(256)] + [s.encode() for s in self.specials] + [a + b for a, b in self.merges]))
         self.ids: dict[bytes, int] = {}
-        for i, t in enumerate(tokens):
+        for i, t in sorted(self.vocab.items()):
             self.ids.setdefault(t, i)
-        self.rank = {pair: i for i, pair in reversed(list(enumerate(self.merges)))}
+        for s in self.specials:
+            if s.encode() not in self.ids:
+                new = max(self.vocab, default=-1) + 1
+                self.vocab[new], self.ids[s.encode()] = s.encode(), new
+        #: For each pair of ids that is merged: its rank and the id that it becomes.
+        self.rank: dict[tuple[int, int], tuple[int, int]] = {}
+        for i, (a, b) in enumerate(self.merges):
+            self.rank.setdefault((self.ids[a], self.ids[b]), (i, self.ids[a + b]))
+        self.byte = [self.ids.get(bytes([b]), -1) for b in range(256)]
+        self.seen: dict[str, list[int]] = {}
 
     def encode_token(self, token: bytes) -> list[int]:
-        """Merge all occurrences of the pair of lowest rank, from left to right, until no pair has a rank."""
-        parts = [token[i : i + 1] for i in range(len(token))]
+        """Merge the pair of lowest rank, from left to right, until no pair has a rank."""
+        parts = [self.byte[b] for b in token]
+        return parts if len(parts) < 2 else self._short(parts) if len(parts) <= SHORT else self._long(parts)
+
+    def _short(self, parts: list[int]) -> list[int]:
+        get, none = self.rank.get, (1 << 60, -1)
         while len(parts) > 1:
-            best = min(zip(parts, parts[1:], strict=False), key=lambda p: self.rank.get(p, 1 << 60))
-            if best not in self.rank:
+            (rank, new), at = min((get(p, none), k) for k, p in enumerate(zip(parts, parts[1:], strict=False)))
+            if new < 0:
                 break
-            parts = _joined(parts, best)
-        return [self.ids[p] for p in parts]
+            pair = (parts[at], parts[at + 1])
+            parts = parts[:at] + _replaced(parts, at, pair, new)
+        return parts
+
+    def _long(self, parts: list[int]) -> list[int]:
+        """As ``_short``, by a heap over a linked list: a token of n bytes costs n log n."""
+        n, gone = len(parts), -2
+        before, after = list(range(-1, n - 1)), [*range(1, n), -1]
+        heap = [(*self.rank[p], k, p) for k, p in enumerate(zip(parts, parts[1:], strict=False)) if p in self.rank]
+        heapq.heapify(heap)
+        while heap:
+            _, new, k, (x, y) = heapq.heappop(heap)
+            right = after[k]
+            if parts[k] != x or right < 0 or parts[right] != y:
+                continue
+            parts[k], parts[right] = new, gone
+            after[k] = after[right]
+            if after[right] >= 0:
+                before[after[right]] = k
+            for at in (before[k], k):
+                if at >= 0 and after[at] >= 0 and (p := (parts[at], parts[after[at]])) in self.rank:
+                    heapq.heappush(heap, (*self.rank[p], at, p))
+        return [x for x in parts if x != gone]
+
+    def encode_cut(self, tokens: Iterable[str]) -> list[int]:
+        """Ids of pre-tokens and special tokens. Short ones are remembered, up to a bound; then memory starts anew."""
+        out: list[int] = []
+        for t in tokens:
+            got = self.seen.get(t)
+            if got is None:
+                got = [self.ids[t.encode()]] if t in self.specials else self.encode_token(t.encode())
+                if len(t) <= SHORT:
+                    if len(self.seen) >= REMEMBERED:
+                        self.seen.clear()
+                    self.seen[t] = got
+            out += got
+        return out
+
+    def cut(self, text: str) -> Iterator[str]:
+        """Pre-tokens and special tokens of one text, without Spark."""
+        import regex
+
+        marks = "|".join(regex.escape(s) for s in sorted(self.specials, key=len, reverse=True))
+        for part in regex.split(f"({marks})", text) if marks else [text]:
+            yield from [part] if part in self.specials else regex.findall(PRETOKEN, part)
+
+    def encode_iterable(self, texts: Iterable[str]) -> Iterator[int]:
+        """Ids of a stream of texts, one at a time; no token crosses two texts."""
+        for text in texts:
+            yield from self.encode_cut(self.cut(text))
 
     def decode(self, ids: Iterable[int]) -> str:
         """Text of ids, bad bytes replaced; an unknown id is an error."""
         return b"".join(self.vocab[i] for i in ids).decode("utf-8", errors="replace")
 
 
-def _joined(parts: list[bytes], pair: tuple[bytes, bytes]) -> list[bytes]:
-    out, i = [], 0
-    while i < len(parts):
-        if i + 1 < len(parts) and parts[i] == pair[0] and parts[i + 1] == pair[1]:
-            out.append(pair[0] + pair[1])
+def _replaced(parts: list[int], start: int, pair: tuple[int, int], new: int) -> list[int]:
+    """What becomes of the parts from ``start`` on when each occurrence of a pair is replaced, from the left."""
+    out, i, n = [], start, len(parts)
+    x, y = pair
+    while i < n:
+        if parts[i] == x and i + 1 < n and parts[i + 1] == y:
+            out.append(new)
             i += 2
         else:
             out.append(parts[i])
@@ -87,129 +158,209 @@ def _joined(parts: list[bytes], pair: tuple[bytes, bytes]) -> list[bytes]:
     return out
 
 
-def train(counts: DataFrame, vocab_size: int, specials: Iterable[str] = (END_OF_TEXT,)) -> Tokenizer:
+def train(counts: DataFrame, vocab_size: int, specials: Iterable[str] = (END_OF_TEXT,), min_count: int = 1, most_words: int = 20_000_000) -> Tokenizer:
     """Greedy merges until the vocabulary is full or no pair is left; ties go to the greatest pair.
 
-    The corpus is counted on the cluster; only distinct pre-tokens come to the
-    driver, partition by partition. Merging is sequential by nature: a heap of pair
-    counts and an index from pairs to words keep a merge to the words it touches.
+    The corpus is counted on the cluster; only distinct pre-tokens of two bytes or more
+    that occur ``min_count`` times come to the driver, partition by partition. More than
+    ``most_words`` of them are refused: raise ``min_count`` then. Merging is sequential
+    by nature: a heap of pair counts and an index from pairs to words keep a merge to the
+    words it touches.
     """
+    counts = counts.where(F.octet_length("token") > 1)
+    counts = settle(counts.where(F.col("n") >= min_count) if min_count > 1 else counts)
+    if (held := counts.count()) > most_words:
+        raise ValueError(f"{held} distinct pre-tokens are more than most_words={most_words}; raise min_count")
     words, weights = [], []
     for row in counts.toLocalIterator():
-        code = row["token"].encode()
-        words.append([code[i : i + 1] for i in range(len(code))])
+        words.append(row["token"].encode())
         weights.append(row["n"])
     specials = list(specials)
     return Tokenizer(list(_merges(words, weights, vocab_size - 256 - len(specials))), specials)
 
 
-class _Largest:
-    """Order of a heap by count, then pair, both descending."""
-
-    __slots__ = ("n", "pair")
-
-    def __init__(self, n: int, pair: tuple[bytes, bytes]):
-        self.n, self.pair = n, pair
+_FLIPPED = bytes(range(255, -1, -1))
 
-    def __lt__(self, other: _Largest) -> bool:
-        return (self.n, self.pair) > (other.n, other.pair)
 
-
-def _merges(words: list[list[bytes]], weights: list[int], most: int) -> Iterator[tuple[bytes, bytes]]:
-    total: Counter = Counter()
-    where: dict = defaultdict(set)
-    for k, w in enumerate(words):
+def _merges(words: list, weights: list[int], most: int) -> Iterator[tuple[bytes, bytes]]:
+    """The merges in order. A word is its bytes, then a list of symbols from its first merge on."""
+    symbol = [bytes([b]) for b in range(256)]
+    # Strings whose order is the reverse of the symbols': a symbol goes before all that begin it.
+    order = [s.translate(_FLIPPED).decode("latin-1") + "\u0100" for s in symbol]
+    total: dict[tuple[int, int], int] = defaultdict(int)
+    where: dict[tuple[int, int], set[int]] = defaultdict(set)
+    for k, (w, n) in enumerate(zip(words, weights, strict=True)):
         for pair in zip(w, w[1:], strict=False):
-            total[pair] += weights[k]
+            total[pair] += n
             where[pair].add(k)
-    heap = [_Largest(n, p) for p, n in total.items()]
+    heap = [(-n, order[a], order[b], (a, b)) for (a, b), n in total.items()]
     heapq.heapify(heap)
     while most > 0 and heap:
-        top = heapq.heappop(heap)
-        if top.n <= 0 or total.get(top.pair, 0) != top.n:
+        n, _, _, pair = heapq.heappop(heap)
+        if total.get(pair) != -n:
             continue  # an entry that was overtaken
-        yield top.pair
+        a, b = pair
+        yield symbol[a], symbol[b]
         most -= 1
+        new = len(symbol)
+        symbol.append(symbol[a] + symbol[b])
+        order.append(symbol[new].translate(_FLIPPED).decode("latin-1") + "\u0100")
         changed = set()
-        for k in where.pop(top.pair):
-            old = words[k]
-            new = words[k] = _joined(old, top.pair)
-            before, after = Counter(zip(old, old[1:], strict=False)), Counter(zip(new, new[1:], strict=False))
-            for pair in before.keys() | after.keys():
-                if delta := after[pair] - before[pair]:
-                    total[pair] += delta * weights[k]
-                    changed.add(pair)
-                if pair in after:
-                    where[pair].add(k)
-        for pair in changed:
-            if total[pair] > 0:
-                heapq.heappush(heap, _Largest(total[pair], pair))
+        for k in where.pop(pair):
+            old, weight = words[k], weights[k]
+            word = words[k] = _replaced(old, 0, pair, new)
+            if len(word) == len(old):
+                continue
+            for p in zip(old, old[1:], strict=False):
+                total[p] -= weight
+                changed.add(p)
+            for p in zip(word, word[1:], strict=False):
+                total[p] += weight
+                where[p].add(k)
+                changed.add(p)
+        for p in changed:
+            if total[p] > 0:
+                heapq.heappush(heap, (-total[p], order[p[0]], order[p[1]], p))
             else:
-                del total[pair]
+                del total[p]
+                where.pop(p, None)
 
 
-def encode_tokens(tokens: DataFrame, tokenizer: Tokenizer) -> DataFrame:
-    """``token, ids`` for distinct pre-tokens: each is encoded once, in Arrow batches."""
-    sent = tokens.sparkSession.sparkContext.broadcast(tokenizer)
+def save_tokenizer(spark: SparkSession, tokenizer: Tokenizer, path: str) -> None:
+    """The vocabulary as ``token_id, bytes, special`` and the merges as ``rank, left, right``, in Parquet."""
+    special = {s.encode() for s in tokenizer.specials}
+    spark.createDataFrame([(i, bytearray(b), b in special) for i, b in tokenizer.vocab.items()], "token_id int, bytes binary, special boolean").coalesce(1).write.mode("overwrite").parquet(f"{path}/vocabulary")
+    spark.createDataFrame([(i, bytearray(a), bytearray(b)) for i, (a, b) in enumerate(tokenizer.merges)], "rank int, left binary, right binary").coalesce(1).write.mode("overwrite").parquet(f"{path}/merges")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({"token": b["token"], "ids": [sent.value.encode_token(t.encode()) for t in b["token"]]})
 
-    return tokens.select("token").distinct().mapInPandas(run, "token string, ids array<int>")
+def load_tokenizer(spark: SparkSession, path: str) -> Tokenizer:
+    """A tokenizer that ``save_tokenizer`` wrote."""
+    vocab = spark.read.parquet(f"{path}/vocabulary").orderBy("token_id").collect()
+    merges = spark.read.parquet(f"{path}/merges").orderBy("rank").collect()
+    return Tokenizer([(bytes(r["left"]), bytes(r["right"])) for r in merges], [bytes(r["bytes"]).decode() for r in vocab if r["special"]], {r["token_id"]: bytes(r["bytes"]) for r in vocab})
 
 
-def encode(docs: DataFrame, tokenizer: Tokenizer, id_col: str = "doc_id", text_col: str = "text", end: bool = False) -> DataFrame:
-    """``doc_id, ids``: token ids of each text; special tokens are one id each; ``end`` appends the end-of-text id.
+def unpickle_tokenizer(vocab: bytes, merges: bytes, specials: Iterable[str] = (END_OF_TEXT,)) -> Tokenizer:
+    """A tokenizer from a pickled ``{id: bytes}`` and a pickled list of pairs of bytes; pickles that name any class or function are refused."""
 
-    Texts are cut into pre-tokens in the JVM; the distinct ones are encoded and
-    joined back, so a corpus costs one encoding a distinct pre-token.
-    """
-    names = sorted(tokenizer.specials, key=len, reverse=True)
+    class Plain(pickle.Unpickler):
+        def find_class(self, module, name):
+            raise pickle.UnpicklingError(f"{module}.{name} is no part of a vocabulary")
+
+    return Tokenizer([tuple(p) for p in Plain(io.BytesIO(merges)).load()], list(specials), dict(Plain(io.BytesIO(vocab)).load()))
+
+
+def cut_texts(text: Column, specials: Iterable[str]) -> Column:
+    """Pre-tokens and special tokens of a text, in order."""
+    names = sorted(specials, key=len, reverse=True)
     special = "|".join(f"\\Q{s}\\E" for s in names)
     # Parts and the specials between them alternate.
-    text = F.coalesce(F.col(text_col), F.lit(""))
     parts = F.split(text, special) if names else F.array(text)
     marks = F.regexp_extract_all(text, F.lit(f"({special})"), F.lit(1)) if names else F.array().cast("array<string>")
-    cut = F.flatten(F.transform(parts, lambda x, i: F.concat(F.regexp_extract_all(x, F.lit(PRETOKEN), F.lit(0)), F.when(F.get(marks, i).isNotNull(), F.array(F.get(marks, i))).otherwise(F.array().cast("array<string>")))))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.posexplode_outer(cut).alias("pos", "token"))
-    known = [(s, [tokenizer.ids[s.encode()]]) for s in names]
+    none = F.array().cast("array<string>")
+    return F.flatten(F.transform(parts, lambda x, i: F.concat(F.regexp_extract_all(x, F.lit(PRETOKEN_JVM), F.lit(0)), F.when(F.get(marks, i).isNotNull(), F.array(F.get(marks, i))).otherwise(none))))
+
+
+def encode(docs: DataFrame, tokenizer: Tokenizer, id_col: str = "doc_id", text_col: str = "text", end: bool = False) -> DataFrame:
+    """``doc_id, ids``: token ids of each text; special tokens are one id each; ``end`` appends the end-of-text id.
+
+    Texts are cut into pre-tokens in the JVM and encoded in Arrow batches: no shuffle,
+    and a worker encodes a pre-token that it remembers once.
+    """
     spark = docs.sparkSession
-    fixed = spark.createDataFrame(known, "token string, ids array<int>")
-    plain = rows.where(~F.col("token").isin(names) if names else F.lit(True)).where("token is not null")
-    coded = encode_tokens(plain, tokenizer).unionByName(fixed)
-    joined = rows.join(coded, "token", "left").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.when(F.col("ids").isNotNull(), F.struct("pos", "ids")))).alias("p"))
-    ids = F.flatten("p.ids")
-    return joined.select("doc_id", (F.array_append(ids, F.lit(tokenizer.ids[END_OF_TEXT.encode()])) if end else ids).alias("ids"))
+    tail = [tokenizer.ids[END_OF_TEXT.encode()]] if end else []
+    sent = spark.sparkContext.broadcast((tokenizer.merges, tokenizer.specials, tokenizer.vocab))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = Tokenizer(*sent.value)
+        for batch in batches:
+            for k in range(0, batch.num_rows, ROWS):
+                part = batch.slice(k, ROWS)
+                ids = [coder.encode_cut(tokens or ()) + tail for tokens in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
+
+    kind = docs.select(F.col(id_col)).schema[0].dataType.simpleString()
+    return docs.select(F.col(id_col).alias("doc_id"), cut_texts(F.coalesce(F.col(text_col), F.lit("")), tokenizer.specials).alias("tokens")).mapInArrow(run, f"doc_id {kind}, ids array<int>")
 
 
 def decode(rows: DataFrame, tokenizer: Tokenizer) -> DataFrame:
-    """``doc_id, text``: each id is looked up in the vocabulary table; an unknown id is an error."""
-    spark = rows.sparkSession
-    vocab = spark.createDataFrame([(i, bytearray(b)) for i, b in tokenizer.vocab.items()], "id int, bytes binary")
-    long = rows.select("doc_id", F.posexplode_outer("ids").alias("pos", "id")).join(vocab, "id", "left")
-    code = F.when(F.col("id").isNull(), "").when(F.col("bytes").isNull(), F.raise_error(F.concat(F.lit("unknown token id "), F.col("id")))).otherwise(F.hex("bytes"))
-    built = long.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", code.alias("code")))).alias("p"))
-    return built.select("doc_id", F.make_valid_utf8(F.unhex(F.array_join("p.code", "")).cast("string")).alias("text"))
+    """``doc_id, text``: bytes that are no UTF-8 are replaced; an unknown id is an error."""
+    sent = rows.sparkSession.sparkContext.broadcast(tokenizer.vocab)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocab = sent.value
+        for batch in batches:
+            texts = []
+            for ids in batch.column(1).to_pylist():
+                if unknown := [i for i in ids or () if i not in vocab]:
+                    raise ValueError(f"unknown token id {unknown[0]}")
+                texts.append(b"".join(vocab[i] for i in ids or ()).decode("utf-8", errors="replace"))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
+
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return rows.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, text string")
+
+
+def before_each(sized: DataFrame, bucket: int = 1024) -> DataFrame:
+    """``sized``, of ``id`` and ``n`` at least, with ``before``: the sum of n over lesser ids; rows of one id in the order of n.
+
+    Ids are whole numbers. Sums of buckets of ids are added up in two levels and then
+    within each bucket, so no task sorts more than the buckets of a bucket of buckets:
+    for 10**10 ids the topmost task has 10**4 rows.
+    """
+    rows = sized.withColumn("_low", F.floor(F.col("id") / bucket)).withColumn("_high", F.floor(F.col("_low") / bucket))
+    low = settle(rows.groupBy("_high", "_low").agg(F.sum("n").alias("_n")))
+    high = low.groupBy("_high").agg(F.sum("_n").alias("_n"))
+
+    def earlier(order: Window) -> Column:
+        return F.coalesce(F.sum("_n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+    high = high.select("_high", earlier(Window.orderBy("_high")).alias("_start"))
+    low = low.join(high, "_high").select("_low", (F.col("_start") + earlier(Window.partitionBy("_high").orderBy("_low"))).alias("_start"))
+    within = Window.partitionBy("_low").orderBy("id", "n").rowsBetween(Window.unboundedPreceding, 0)
+    return rows.join(low, "_low").withColumn("before", F.col("_start") + F.sum("n").over(within) - F.col("n")).drop("_low", "_high", "_start")
+
+
+def prefix(docs: DataFrame, characters: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, text, before``: the first documents by id until so many characters are full; the last one may go beyond."""
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.coalesce(F.length(text_col), F.lit(0)).cast("long").alias("n"))
+    # Only ids and lengths are summed; the texts of the prefix are joined to what is left.
+    first = before_each(rows.select("id", "n")).where(F.col("before") < characters).select("id", "before").distinct()
+    return rows.join(first, "id").select(F.col("id").alias("doc_id"), "text", "before")
 
 
 def pack(rows: DataFrame, length: int, order: str = "doc_id", bucket: int = 1024) -> DataFrame:
     """Training windows over the sequence of all tokens in the order of ids: ``win, x, y``; y is x shifted by one.
 
-    A token's place is the number of tokens before it: counted by bucket of ids,
-    added up over the buckets, then within each bucket, so no task sees all rows.
-    The last window that can't be filled is left out. Ids are whole numbers.
+    A token's place is the number of tokens before it, as ``before_each`` counts. The
+    last window that can't be filled is left out. Ids are whole numbers.
     """
-    sized = settle(rows.select(F.col(order).cast("long").alias("id"), "ids", F.size("ids").cast("long").alias("n")).withColumn("bucket", F.floor(F.col("id") / bucket)))
-    from pyspark.sql import Window
-
-    sums = sized.groupBy("bucket").agg(F.sum("n").alias("inside"))
-    sums = sums.withColumn("before", F.sum("inside").over(Window.orderBy("bucket")) - F.col("inside")).drop("inside")
-    within = Window.partitionBy("bucket").orderBy("id")
-    placed = sized.join(sums, "bucket").withColumn("start", F.col("before") + F.sum("n").over(within) - F.col("n"))
-    tokens = placed.select((F.col("start")).alias("start"), F.posexplode("ids").alias("k", "token")).select((F.col("start") + F.col("k")).alias("place"), "token")
+    sized = rows.select(F.col(order).cast("long").alias("id"), "ids", F.size("ids").cast("long").alias("n"))
+    placed = before_each(settle(sized), bucket).withColumnRenamed("before", "start")
+    tokens = placed.select("start", F.posexplode("ids").alias("k", "token")).select((F.col("start") + F.col("k")).alias("place"), "token")
     # A token is an input of its window and a target of the window of the token before it.
     x = tokens.select(F.floor(F.col("place") / length).alias("win"), F.lit(0).alias("side"), "place", "token")
     y = tokens.where("place > 0").select(F.floor((F.col("place") - 1) / length).alias("win"), F.lit(1).alias("side"), "place", "token")
     both = x.union(y).groupBy("win").agg(*[F.array_sort(F.collect_list(F.when(F.col("side") == k, F.struct("place", "token")))).alias(name) for k, name in enumerate("xy")])
     return both.where((F.size("x") == length) & (F.size("y") == length)).select("win", F.col("x.token").alias("x"), F.col("y.token").alias("y"))
+
+
+def random_windows(rows: DataFrame, length: int, count: int, seed: int = 0, order: str = "doc_id") -> DataFrame:
+    """``draw, start, x, y``: windows at drawn places of the sequence of all tokens; y is x shifted by one.
+
+    Starts are uniform up to the last window that has a target, and depend on the seed
+    only. A sequence that is too short gives no window. Only tokens near drawn windows
+    travel.
+    """
+    sized = before_each(settle(rows.select(F.col(order).cast("long").alias("id"), "ids", F.size("ids").cast("long").alias("n"))))
+    total = sized.agg(F.max(F.col("before") + F.col("n"))).first()[0] or 0
+    places = total - length
+    if places < 1:
+        return rows.sparkSession.createDataFrame([], "draw long, start long, x array<int>, y array<int>")
+    draws = rows.sparkSession.range(count).select(F.col("id").alias("draw"), F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(places)).alias("start"))
+    step = 4096
+    near = draws.withColumn("cell", F.explode(F.sequence(F.floor(F.col("start") / step), F.floor((F.col("start") + length) / step))))
+    tokens = sized.select("before", F.posexplode("ids").alias("k", "token")).select((F.col("before") + F.col("k")).alias("place"), "token")
+    hit = tokens.withColumn("cell", F.floor(F.col("place") / step)).join(near, "cell").where("place >= start").where(F.col("place") <= F.col("start") + length)
+    built = hit.groupBy("draw", "start").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "token"))), lambda t: t["token"]).alias("all"))
+    return built.where(F.size("all") == length + 1).select("draw", "start", F.slice("all", 1, length).alias("x"), F.slice("all", 2, length).alias("y"))

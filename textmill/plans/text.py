@@ -82,7 +82,7 @@ _mask("mask_ip", T.mask_ips, T.IPV4, T.IP_MARK)
 def pii_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Masked items by language."""
     docs = table(spark, sf_dir, "documents")
-    counts = {"emails": T.EMAIL, "phones": T.PHONE, "ips": T.IPV4}
+    counts = {"emails": T.EMAIL, "phones": T.PHONE_JVM, "ips": T.IPV4_JVM}
     return docs.groupBy("lang").agg(*[F.sum(F.regexp_count("text", F.lit(p))).cast("long").alias(k) for k, p in counts.items()])
 
 

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textmill.operators import bpe as B
 from textmill.plans.text import WORDS
-from textmill.session import table
+from textmill.session import shared_folder, table
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -52,7 +53,16 @@ VOCABULARY = 10_000
 
 
 def tokenizer(spark: SparkSession, sf_dir: str, size: int = VOCABULARY) -> B.Tokenizer:
-    return B.train(B.pretoken_counts(table(spark, sf_dir, "documents")), size)
+    """The tokenizer of a corpus: trained and stored once a session, then loaded, as long as the files of the table are the same."""
+    files = spark.read.format("binaryFile").load(f"{sf_dir}/documents.parquet").select("path", "length", "modificationTime")
+    state = files.agg(F.sum(F.xxhash64("path", "length", "modificationTime").cast("decimal(38,0)"))).first()[0]
+    path = f"{shared_folder(spark)}/tokenizer-{size}-{state}"
+    try:
+        return B.load_tokenizer(spark, path)
+    except AnalysisException:  # not stored yet
+        made = B.train(B.pretoken_counts(table(spark, sf_dir, "documents")), size)
+        B.save_tokenizer(spark, made, path)
+        return made
 
 
 def bpe_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,17 +131,26 @@ SQL["pack_windows"] = f"""WITH f AS ({_FLAT}),
   SELECT x.win, x.d AS x_md5, y.d AS y_md5 FROM x JOIN y ON x.win = y.win WHERE x.n = 128 AND y.n = 128"""
 
 
-def first_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first documents in order until a prefix of characters is full, with an end mark (SC9, SC10, SO9, SK7)."""
-    from pyspark.sql import Window
+#: Characters of the prefix report.
+PREFIX = 5 * 1024 * 1024
+
 
-    # A prefix report: the first 500 documents bound what one window sees, as the limit is the feature.
-    docs = table(spark, sf_dir, "documents").orderBy("doc_id").limit(500)
-    upto = F.sum(F.length("text")).over(Window.orderBy("doc_id"))
-    kept = docs.withColumn("upto", upto).where("upto - length(text) < 200000")
-    return kept.select("doc_id", F.col("upto").cast("long").alias("upto"), F.md5(F.concat("text", F.lit(B.END_OF_TEXT))).alias("text_md5"))
+def first_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first documents in order until a prefix of characters is full, with an end mark (SC10, SK7)."""
+    rows = B.prefix(table(spark, sf_dir, "documents"), PREFIX)
+    return rows.select("doc_id", (F.col("before") + F.length("text")).alias("upto"), F.md5(F.concat("text", F.lit(B.END_OF_TEXT))).alias("text_md5"))
 
 
 QUERIES["first_documents"] = first_documents
 SQL["first_documents"] = f"""SELECT doc_id, upto, md5(text || '{B.END_OF_TEXT}') AS text_md5 FROM
-  (SELECT doc_id, text, sum(length(text)) OVER (ORDER BY doc_id)::BIGINT AS upto FROM (SELECT * FROM documents ORDER BY doc_id LIMIT 500)) WHERE upto - length(text) < 200000"""
+  (SELECT doc_id, text, sum(length(text)) OVER (ORDER BY doc_id)::BIGINT AS upto FROM documents) WHERE upto - length(text) < {PREFIX}"""
+
+
+def ten_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first ten documents with their end mark, which is the whole of this report (SC9, SO9)."""
+    first = table(spark, sf_dir, "documents").orderBy("doc_id").limit(10)
+    return first.select("doc_id", F.concat("text", F.lit(B.END_OF_TEXT)).alias("text"))
+
+
+QUERIES["ten_documents"] = ten_documents
+SQL["ten_documents"] = f"SELECT doc_id, text || '{B.END_OF_TEXT}' AS text FROM documents ORDER BY doc_id LIMIT 10"

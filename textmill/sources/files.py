@@ -78,3 +78,38 @@ def write_tokens(rows: DataFrame, path: str, bits: int = 16) -> None:
     worst = F.array_max("ids")
     checked = F.when(F.coalesce(worst, F.lit(0)) > most, F.raise_error(F.concat(F.lit("token id out of range: "), worst))).otherwise(F.col("ids"))
     rows.select("doc_id", checked.alias("ids")).write.mode("overwrite").parquet(path)
+
+
+def write_token_file(rows: DataFrame, path: str) -> DataFrame:
+    """Ids as flat unsigned 16-bit little-endian files, a file for each partition in its order of rows: ``file, n_tokens``.
+
+    Files are written under a name of their own and moved when they are whole, so a task
+    that runs again leaves one file. An id that does not fit stops the write. ``path`` is a
+    folder in any store that Arrow knows; ``read_token_files`` reads it.
+    """
+    import uuid
+
+    import numpy as np
+    import pyarrow as pa
+    from pyarrow import fs
+
+    where = path if "://" in path else f"file://{path}"
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        store, folder = fs.FileSystem.from_uri(where)
+        store.create_dir(folder, recursive=True)
+        name, part, total = f"{folder}/tokens-{TaskContext.get().partitionId():05d}.bin", f"{folder}/.{uuid.uuid4().hex}", 0
+        with store.open_output_stream(part) as out:
+            for batch in batches:
+                ids = batch.column(0).flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+                if len(ids) and (ids.min() < 0 or ids.max() > 0xFFFF):
+                    raise ValueError(f"token id out of range: {ids.max() if ids.max() > 0xFFFF else ids.min()}")
+                out.write(ids.astype("<u2").tobytes())
+                total += len(ids)
+        store.move(part, name)
+        yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([total], pa.int64())], names=["file", "n_tokens"])
+
+    done = rows.select("ids").mapInArrow(run, "file string, n_tokens long").collect()  # a row for each file
+    return rows.sparkSession.createDataFrame(done, "file string, n_tokens long")

@@ -6,73 +6,196 @@ import io
 import re
 import zlib
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textmill.functions.text import decode_bytes
+from textmill.functions.text import decode_bytes, decode_page
 
 SCHEMA = "file string, rec_no long, rec_type string, uri string, headers map<string,string>, payload binary"
 _VERSION = re.compile(rb"^WARC/\d", re.M)
+_BLANK = re.compile(rb"\r?\n\r?\n")
 _HEADER = re.compile(rb"^([^:\r\n]+):[ \t]*(.*?)\r?$", re.M)
+_MAGIC = b"\x1f\x8b\x08"
+#: Bytes that are read, unpacked and handed on at a time; the longest header that is looked through.
+READ, UNPACK, BATCH, HEADER = 1 << 20, 1 << 14, 16 << 20, 1 << 20
 
 
-def _plain(data: bytes) -> bytes:
-    """All members of a gzip file; other data as they are. A cut last member gives what it holds, a corrupt one nothing: reading resumes at the next."""
+def plain_chunks(raw: BinaryIO) -> Iterator[bytes]:
+    """The content of a stream, unpacked if it is gzip: all members, in pieces.
+
+    A cut last member gives what it holds, a corrupt one what came before the fault;
+    reading resumes at the next member. Members are fed in small pieces, so that what
+    is left over behind one is never more than such a piece.
+    """
+    data = raw.read(READ)
     if data[:2] != b"\x1f\x8b":
-        return data
-    out = io.BytesIO()
+        while data:
+            yield data
+            data = raw.read(READ)
+        return
+    member, lost, carry = zlib.decompressobj(31), False, b""
     while data:
-        member = zlib.decompressobj(31)
-        try:
-            out.write(member.decompress(data))
-            data = member.unused_data
-        except zlib.error:
-            at = data.find(b"\x1f\x8b\x08", 1)
-            data = data[at:] if at > 0 else b""
-    return out.getvalue()
-
-
-def records(data: bytes) -> Iterator[tuple[str, str | None, dict[str, str], bytes]]:
-    """``rec_type, uri, headers, payload`` of each record; after a broken record reading resumes at the next version line."""
-    data, at = _plain(data), 0
-    while (at := data.find(b"WARC/", at)) >= 0:
-        end = re.compile(rb"\r?\n\r?\n").search(data, at)
+        view, at = memoryview(data), 0
+        while at < len(data):
+            if lost:
+                found = (carry + data[at : at + 2]).find(_MAGIC) if carry else -1
+                if found >= 0:  # the mark of a member lies across two reads
+                    member, lost, head = zlib.decompressobj(31), False, carry[found:]
+                    member.decompress(head)
+                    carry = b""
+                    continue
+                carry, found = b"", data.find(_MAGIC, at)
+                if found < 0:
+                    carry = data[max(at, len(data) - 2) :]
+                    break
+                member, lost, at = zlib.decompressobj(31), False, found
+            piece = view[at : at + UNPACK]
+            try:
+                out = member.decompress(piece, READ)
+                while out:
+                    yield out
+                    out = member.decompress(member.unconsumed_tail, READ) if member.unconsumed_tail else b""
+            except zlib.error:
+                # The next member begins behind the place where this piece began.
+                lost, at = True, at + 1
+                continue
+            at += len(piece) - len(member.unused_data)
+            if member.eof:
+                member = zlib.decompressobj(31)
+                while at < len(data) and data[at] == 0:  # padding between members
+                    at += 1
+                if data[at : at + 2] not in (b"\x1f\x8b", b"\x1f", b""):
+                    lost = True
+        data = raw.read(READ)
+
+
+class _Buffer:
+    """What was read and is not yet used of a stream of pieces."""
+
+    def __init__(self, pieces: Iterator[bytes]):
+        self.pieces, self.data, self.at = pieces, bytearray(), 0
+
+    def more(self) -> bool:
+        piece = next(self.pieces, None)
+        if piece is None:
+            return False
+        if self.at > READ:
+            del self.data[: self.at]
+            self.at = 0
+        self.data += piece
+        return True
+
+    def find(self, mark: re.Pattern | bytes, start: int, most: int | None = None) -> tuple[int, int] | None:
+        """Begin and end of a mark at ``start`` or later from here, reading on until it comes, or ``most`` bytes are seen."""
+        from_ = start
+        while True:
+            if isinstance(mark, bytes):
+                at = self.data.find(mark, self.at + from_)
+                hit = (at - self.at, at - self.at + len(mark)) if at >= 0 else None
+            else:
+                m = mark.search(self.data, self.at + from_)
+                hit = (m.start() - self.at, m.end() - self.at) if m else None
+            have = len(self.data) - self.at
+            if hit or (most is not None and have > start + most):
+                return hit
+            from_ = max(start, have - 8)  # a mark may lie across two pieces
+            if not self.more():
+                return None
+
+    def take(self, size: int) -> bytes:
+        while len(self.data) - self.at < size and self.more():
+            pass
+        got = bytes(memoryview(self.data)[self.at : self.at + size])
+        self.at += len(got)
+        return got
+
+    def skip(self, size: int) -> None:
+        while size > 0:
+            step = min(size, len(self.data) - self.at)
+            self.at += step
+            size -= step
+            if size and not self.more():
+                return
+
+
+def records(raw: BinaryIO | bytes, types: tuple[str, ...] | None = None) -> Iterator[tuple[int, str, str | None, dict[str, str], bytes]]:
+    """``rec_no, rec_type, uri, headers, payload`` of each record, of some types only if they are named.
+
+    Memory is bounded by a record and a piece of the file; payloads of other types are
+    passed over. After a broken record reading resumes at the next version line.
+    """
+    b = _Buffer(plain_chunks(io.BytesIO(raw) if isinstance(raw, bytes) else raw))
+    number = 0
+    while mark := b.find(b"WARC/", 0):
+        b.at += mark[0]
+        end = b.find(_BLANK, 0, HEADER)
         if not end:
-            return
-        if later := _VERSION.search(data, at + 5, end.start()):
-            at = later.start()  # this header was cut off
+            b.at += 5
+            continue
+        head = bytes(b.data[b.at : b.at + end[0]])
+        if later := _VERSION.search(head, 5):
+            b.at += later.start()  # this header was cut off
             continue
-        headers = {k.decode("latin-1").strip().lower(): v.decode("utf-8", "replace").strip() for k, v in _HEADER.findall(data[at : end.start()])}
-        try:
-            size = int(headers.get("content-length", ""))
-        except ValueError:
-            size = -1
-        if size < 0:
-            later = _VERSION.search(data, end.end())
+        headers = {k.decode("latin-1").strip().lower(): v.decode("utf-8", "replace").strip() for k, v in _HEADER.findall(head)}
+        length = headers.get("content-length", "")
+        b.at += end[1]
+        if not re.fullmatch("[0-9]+", length):
+            later = b.find(_VERSION, 0)
             if not later:
                 return
-            at = later.start()
+            b.at += later[0]
             continue
-        yield headers.get("warc-type", ""), headers.get("warc-target-uri"), headers, data[end.end() : end.end() + size]
-        at = end.end() + size
-
+        kind = headers.get("warc-type", "")
+        if types is None or kind in types:
+            yield number, kind, headers.get("warc-target-uri"), headers, b.take(int(length))
+        else:
+            b.skip(int(length))
+        number += 1
+
+
+def _frames(file: str, raw: BinaryIO | bytes, types: tuple[str, ...] | None) -> Iterator[pd.DataFrame]:
+    rows, size = [], 0
+    for row in records(raw, types):
+        rows.append((file, *row))
+        size += len(row[-1]) + 1000
+        if size >= BATCH:
+            yield pd.DataFrame(rows, columns=["file", "rec_no", "rec_type", "uri", "headers", "payload"])
+            rows, size = [], 0
+    if rows:
+        yield pd.DataFrame(rows, columns=["file", "rec_no", "rec_type", "uri", "headers", "payload"])
+
+
+def read_warc(spark: SparkSession, path: str, types: tuple[str, ...] | None = None, stream: bool = True) -> DataFrame:
+    """Records of all files that a path or glob names, a task for one or more files.
+
+    Spark lists the files. With ``stream`` the workers open them by themselves, in
+    any store that Arrow knows, and read them record by record, whatever their size. Without it
+    Spark's own reader hands over each file as a whole, from any store that Spark
+    knows, up to 2 GB. With ``types`` other records never leave the reader.
+    """
 
-def read_warc(spark: SparkSession, path: str, types: tuple[str, ...] | None = None) -> DataFrame:
-    """Records of all files that a path or glob names, in any store that Spark reads.
+    def streamed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
 
-    Files are read by Spark's binary reader, a task for one or more files; with
-    ``types`` other records are dropped before their payload leaves the reader.
-    """
+        for batch in batches:
+            for file in batch["path"]:
+                store, at = fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", file))
+                with store.open_input_stream(at, compression=None, buffer_size=READ) as raw:
+                    yield from _frames(file, raw, types)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for file, content in zip(batch["path"], batch["content"], strict=True):
-                rows = [(file, k, kind, uri, headers, payload) for k, (kind, uri, headers, payload) in enumerate(records(bytes(content))) if types is None or kind in types]
-                yield pd.DataFrame(rows, columns=["file", "rec_no", "rec_type", "uri", "headers", "payload"])
+                yield from _frames(file, bytes(content), types)
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, SCHEMA)
+    files = spark.read.format("binaryFile").load(path)
+    if not stream:
+        return files.select("path", "content").mapInPandas(whole, SCHEMA)
+    # The reader packs small files into one task; archives are dealt one by one.
+    return files.select("path").repartition(max(1, len(files.inputFiles()))).mapInPandas(streamed, SCHEMA)
 
 
 def wet_documents(spark: SparkSession, path: str, errors: str = "replace") -> DataFrame:
@@ -82,6 +205,9 @@ def wet_documents(spark: SparkSession, path: str, errors: str = "replace") -> Da
 
 
 def response_pages(spark: SparkSession, path: str) -> DataFrame:
-    """Bodies of ``response`` records without their HTTP header, as text."""
+    """Bodies of ``response`` records without their HTTP header, as text in the encoding that they name or show."""
     rows = read_warc(spark, path, ("response",))
-    return rows.select("file", "rec_no", "uri", F.regexp_replace(decode_bytes(F.col("payload")), r"(?s)\AHTTP/.*?\r?\n\r?\n", "").alias("html"))
+    # The header is ASCII: where it ends is found in a text that has a character for each byte.
+    byte = F.decode("payload", "ISO-8859-1")
+    head = F.length(F.regexp_extract(byte, r"(?s)\A(HTTP/.*?\r?\n\r?\n)", 1))
+    return rows.withColumn("_body", F.substring(F.col("payload"), head + 1, F.length("payload"))).select("file", "rec_no", "uri", decode_page(F.col("_body")).alias("html"))
