@@ -205,22 +205,38 @@ def _merges(words: list, weights: list[int], most: int) -> Iterator[tuple[bytes,
         new = len(symbol)
         symbol.append(symbol[a] + symbol[b])
         order.append(symbol[new].translate(_FLIPPED).decode("latin-1") + "\u0100")
-        changed = set()
+        delta: dict[tuple[int, int], int] = defaultdict(int)
         for k in where.pop(pair):
-            old, weight = words[k], weights[k]
-            word = words[k] = _replaced(old, 0, pair, new)
-            if len(word) == len(old):
+            word, weight = words[k], weights[k]
+            if not isinstance(word, list):
+                word = words[k] = list(word)
+            at, begin = -1, 0
+            try:
+                while True:
+                    begin = word.index(a, begin)
+                    if begin + 1 < len(word) and word[begin + 1] == b:
+                        # Only the pairs around this place change.
+                        at = begin
+                        if at:
+                            left = word[at - 1]
+                            delta[left, a] -= weight
+                            delta[left, new] += weight
+                            where[left, new].add(k)
+                        if at + 2 < len(word):
+                            right = word[at + 2]
+                            delta[b, right] -= weight
+                            delta[new, right] += weight
+                            where[new, right].add(k)
+                        delta[pair] -= weight
+                        word[at : at + 2] = [new]
+                    begin += 1
+            except ValueError:
                 continue
-            for p in zip(old, old[1:], strict=False):
-                total[p] -= weight
-                changed.add(p)
-            for p in zip(word, word[1:], strict=False):
-                total[p] += weight
-                where[p].add(k)
-                changed.add(p)
-        for p in changed:
-            if total[p] > 0:
-                heapq.heappush(heap, (-total[p], order[p[0]], order[p[1]], p))
+        for p, change in delta.items():
+            now = total[p] = total[p] + change
+            if now > 0:
+                if change:
+                    heapq.heappush(heap, (-now, order[p[0]], order[p[1]], p))
             else:
                 del total[p]
                 where.pop(p, None)

@@ -19,7 +19,19 @@ def get_spark(app: str = "textmill", master: str | None = None, **conf: str) ->
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+
+
+def spread(df: DataFrame, least: int = 2 << 20) -> DataFrame:
+    """Rows over all cores, where a table of ``least`` bytes or more is read in fewer tasks than there are cores.
+
+    A file of one row group is one task, whatever is done with its rows. Tables of many
+    files or splits are left as they are: nothing is shuffled at scale.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < least or df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores)
 
 
 def shared_folder(spark: SparkSession) -> str:
