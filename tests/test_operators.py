@@ -1,6 +1,7 @@
 """Line and near-duplicate operators, components, tokenizer, scaling, classifiers, sources and streams on small tables."""
 
 import gzip
+import math
 import random
 
 import pytest
@@ -260,6 +261,39 @@ def test_naive_bayes(spark):
     assert classify.naive_bayes(labels.where("false"), df).where("label is not null").count() == 0
 
 
+def test_naive_bayes_leaves_the_document_out(spark):
+    """The score of a labelled document is what a model trained on all others says."""
+    texts = ["aa bb aa", "aa cc", "dd ee dd", "dd cc cc", "aa dd", "zz"]
+    labels = [(0, "x"), (1, "x"), (2, "y"), (3, "y"), (4, "y")]
+    df = docs(spark, *texts)
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id long, label string")
+    got = {r.doc_id: (r.label, r.score) for r in classify.naive_bayes(frame(labels), df, classify.whole_words).collect()}
+    for i, _ in labels:
+        rest = [(k, y) for k, y in labels if k != i]
+        # A word that only the left-out document has stays in the vocabulary: give it to the others' vocabulary as a label of no document.
+        words = {w for k, _ in labels for w in texts[k].split()}
+        score = {}
+        for y in "xy":
+            have = [w for k, z in rest if z == y for w in texts[k].split()]
+            score[y] = math.log(sum(z == y for _, z in rest) / len(rest)) + sum(math.log((have.count(w) + 1) / (len(have) + len(words))) for w in texts[i].split())
+        best = min(score, key=lambda y: (-score[y], y))
+        assert got[i][0] == best and got[i][1] == pytest.approx(1 / sum(math.exp(score[y] - score[best]) for y in "xy"))
+
+
+def test_any_model_may_reject(spark):
+    scored = spark.createDataFrame([(1, "1", 0.9), (2, "1", 0.8), (3, "0", 0.99), (4, None, None)], "doc_id long, label string, score double")
+    assert sorted(r.doc_id for r in classify.passes(scored, "1", 0.8).collect()) == [2, 3, 4]
+
+
+def test_adult_content_step(spark, sf):
+    from textmill.plans import corpus
+
+    every = corpus.verdicts(spark, sf).select("doc_id")
+    adult = every.select("doc_id", F.lit("1").alias("label"), (F.col("doc_id") % 2).cast("double").alias("score"))
+    told = corpus.verdicts(spark, sf, adult).where(F.expr(corpus.STEPS["nsfw_passed"]))
+    assert told.where("doc_id % 2 = 1").count() == 0 and told.count() == every.where("doc_id % 2 = 0").count()
+
+
 def _record(kind, body):
     return f"WARC/1.0\r\nWARC-Type: {kind}\r\nWARC-Target-URI: http://x/\r\nContent-Length: {len(body)}\r\n\r\n".encode() + body + b"\r\n\r\n"
 

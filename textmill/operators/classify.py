@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,41 +21,61 @@ def whole_words(text: Column) -> Column:
 def naive_bayes(labelled: DataFrame, docs: DataFrame, features=word_starts, text_col: str = "text", most_labels: int = 1000) -> DataFrame:
     """``doc_id, label, score``: the likeliest label of each document and its posterior.
 
-    ``labelled`` has ``doc_id, label``. Multinomial with add-one smoothing; features
-    that no labelled document has are ignored. Training and scoring are aggregations
-    and a join on the feature; per document only its distinct features travel. A
-    document without known features gets the commonest label. Ties go to the lesser.
-    Without any label the label is null. Only the labels and their totals, at most
-    ``most_labels``, come to the driver.
+    ``labelled`` has ``doc_id, label``; of several labels of a document the least counts.
+    Multinomial with add-one smoothing; features that no labelled document has are
+    ignored. A labelled document is scored without itself: its own words and its place
+    in the prior are taken out of the counts of its label, so no document is judged by
+    what it taught. Training and scoring are aggregations and a join on the feature; per
+    document only its distinct features travel. A document without known features gets
+    the commonest label. Ties go to the lesser. Without any label the label is null. Only the labels
+    and their totals, at most ``most_labels``, come to the driver.
     """
     counts = settle(docs.select("doc_id", F.explode(features(F.col(text_col))).alias("f")).groupBy("doc_id", "f").agg(F.count("*").alias("k")))
-    labelled = labelled.where("label is not null").select("doc_id", F.col("label").cast("string").alias("label"))
-    by_label = counts.join(labelled, "doc_id").groupBy("label", "f").agg(F.sum("k").alias("n"))
-    by_label = settle(by_label)
+    labelled = labelled.where("label is not null").groupBy("doc_id").agg(F.min(F.col("label").cast("string")).alias("own"))
+    by_label = settle(counts.join(labelled, "doc_id").groupBy(F.col("own").alias("label"), "f").agg(F.sum("k").alias("n")))
     vocabulary = by_label.agg(F.count_distinct("f")).first()[0]
-    totals = by_label.groupBy("label").agg(F.sum("n").alias("total")).join(labelled.groupBy("label").agg(F.count("*").alias("docs")), "label").limit(most_labels + 1).collect()
+    totals = by_label.groupBy("label").agg(F.sum("n").alias("total")).join(labelled.groupBy(F.col("own").alias("label")).agg(F.count("*").alias("docs")), "label").limit(most_labels + 1).collect()
     if len(totals) > most_labels:
         raise ValueError(f"more than {most_labels} labels")
     every = sum(r["docs"] for r in totals)
-    model = {r["label"]: (math.log(r["docs"] / every), math.log(1 / (r["total"] + vocabulary))) for r in totals}
-    if not model:
+    if not totals:
         return docs.select("doc_id", F.lit(None).cast("string").alias("label"), F.lit(None).cast("double").alias("score"))
-    # A feature's row holds what it adds to each label over an unseen feature; unseen ones add the same per word.
-    gain = by_label.where(F.col("label").isin(list(model))).groupBy("f").agg(F.collect_list(F.struct("label", F.ln(F.col("n") + 1).alias("g"))).alias("gains"))
-    hit = counts.join(gain, "f")
+    # A feature's row holds its counts; what it adds to a label over an unseen feature is told for each document.
+    held = by_label.groupBy("f").agg(F.collect_list(F.struct("label", "n")).alias("held"))
+    hit = counts.join(labelled, "doc_id", "left").join(held, "f")
     known = hit.groupBy("doc_id").agg(F.sum("k").alias("known"))
-    gained = hit.select("doc_id", "k", F.explode("gains").alias("x")).groupBy("doc_id", F.col("x.label").alias("label")).agg(F.sum(F.col("k") * F.col("x.g")).alias("gain"))
-    labels = F.array(*[F.struct(F.lit(x).alias("label"), F.lit(p).alias("prior"), F.lit(q).alias("none")) for x, (p, q) in model.items()])
-    pairs = docs.select("doc_id").join(known, "doc_id", "left").select("doc_id", "known", F.explode(labels).alias("m")).select("doc_id", "known", "m.*")
-    scored = pairs.join(gained, ["doc_id", "label"], "left").select(
-        "doc_id", "label", (F.col("prior") + F.coalesce("known", F.lit(0)) * F.col("none") + F.coalesce("gain", F.lit(0.0))).alias("s")
-    )
+    seen = hit.select("doc_id", "k", "own", F.explode("held").alias("x"))
+    others = F.col("x.n") - F.when(F.col("own") == F.col("x.label"), F.col("k")).otherwise(0)
+    gained = seen.groupBy("doc_id", F.col("x.label").alias("label")).agg(F.sum(F.col("k") * F.ln(others + 1)).alias("gain"))
+    labels = F.array(*[F.struct(F.lit(r["label"]).alias("label"), F.lit(r["docs"]).alias("docs"), F.lit(r["total"]).alias("total")) for r in totals])
+    pairs = docs.select("doc_id").join(known, "doc_id", "left").join(labelled, "doc_id", "left").select("doc_id", "own", F.coalesce("known", F.lit(0)).alias("known"), F.explode(labels).alias("m")).select("doc_id", "own", "known", "m.*")
+    mine = F.coalesce(F.col("own") == F.col("label"), F.lit(False))
+    prior = F.ln(F.greatest(F.col("docs") - mine.cast("int"), F.lit(0.5)) / F.greatest(F.lit(every) - F.col("own").isNotNull().cast("int"), F.lit(1)))
+    none = -F.ln(F.col("total") - F.when(mine, F.col("known")).otherwise(0) + vocabulary)
+    scored = pairs.join(gained, ["doc_id", "label"], "left").select("doc_id", "label", (prior + F.col("known") * none + F.coalesce("gain", F.lit(0.0))).alias("s"))
     best = scored.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("s")).alias("s"), "label"))).alias("r"))
     top = F.col("r")[0]
     spread = F.aggregate("r", F.lit(0.0), lambda a, x: a + F.exp(top["s"] - x["s"]))
     return best.select("doc_id", top["label"].alias("label"), (1 / spread).alias("score"))
 
 
+def passes(scored: DataFrame, label: str, over: float) -> DataFrame:
+    """``doc_id`` of what a classifier does not reject: rows that do not bear ``label`` with a score over ``over``.
+
+    ``scored`` has ``doc_id, label, score`` from any model: a table of scores, ``naive_bayes``
+    or ``scores_of`` a fitted pipeline. A null label or score rejects nothing.
+    """
+    return scored.where(~F.coalesce((F.col("label") == label) & (F.col("score") > over), F.lit(False))).select("doc_id")
+
+
+def scores_of(model, docs: DataFrame) -> DataFrame:
+    """``doc_id, label, score``: the prediction of a fitted pipeline and its probability."""
+    from pyspark.ml.functions import vector_to_array
+
+    rows = model.transform(docs)
+    return rows.select("doc_id", F.col("prediction").cast("int").cast("string").alias("label"), F.array_max(vector_to_array("probability")).alias("score"))
+
+
 def logistic_regression(labelled: DataFrame, text_col: str = "text", buckets: int = 200_000, iterations: int = 20):
     """Pipeline of hashed words and word pairs with logistic regression; ``labelled`` has the text and ``label`` (0 or 1)."""
     from pyspark.ml import Pipeline

@@ -17,14 +17,17 @@ _LOWER = WORDS.replace("coalesce(text", "coalesce(lower(text)", 1)
 
 
 def _bayes_sql(labels: str, feature: str) -> str:
-    return f"""WITH l AS MATERIALIZED ({labels}),
+    return f"""WITH l AS MATERIALIZED (SELECT doc_id, min(label) AS label FROM ({labels}) GROUP BY doc_id),
   c AS MATERIALIZED (SELECT doc_id, f, count(*) AS k FROM (SELECT doc_id, unnest(list_transform({_LOWER}, lambda w: {feature})) AS f FROM documents) GROUP BY doc_id, f),
   n AS (SELECT label, f, sum(k) AS n FROM c JOIN l USING (doc_id) GROUP BY label, f),
-  m AS (SELECT label, ln(docs / total_docs) AS prior, ln(1 / (total + v)) AS none_ FROM (SELECT label, sum(n) AS total FROM n GROUP BY label)
+  m AS (SELECT label, docs, total, total_docs, v FROM (SELECT label, sum(n) AS total FROM n GROUP BY label)
     JOIN (SELECT label, count(*) AS docs FROM l GROUP BY label) USING (label), (SELECT count(DISTINCT f) AS v FROM n), (SELECT count(*) AS total_docs FROM l)),
   h AS (SELECT doc_id, sum(k) AS known FROM c WHERE f IN (SELECT f FROM n) GROUP BY doc_id),
-  g AS (SELECT doc_id, label, sum(k * ln(n + 1)) AS gain FROM c JOIN n USING (f) GROUP BY doc_id, label),
-  s AS (SELECT d.doc_id, m.label, prior + coalesce(known, 0) * none_ + coalesce(gain, 0) AS s FROM documents d CROSS JOIN m LEFT JOIN h ON d.doc_id = h.doc_id LEFT JOIN g ON g.doc_id = d.doc_id AND g.label = m.label),
+  g AS (SELECT c.doc_id, n.label, sum(k * ln(n - CASE WHEN l.label = n.label THEN k ELSE 0 END + 1)) AS gain FROM c JOIN n USING (f) LEFT JOIN l ON l.doc_id = c.doc_id GROUP BY c.doc_id, n.label),
+  s AS (SELECT d.doc_id, m.label,
+      ln(greatest(docs - CASE WHEN l.label = m.label THEN 1 ELSE 0 END, 0.5) / greatest(total_docs - CASE WHEN l.label IS NOT NULL THEN 1 ELSE 0 END, 1))
+      - coalesce(known, 0) * ln(total - CASE WHEN l.label = m.label THEN coalesce(known, 0) ELSE 0 END + v) + coalesce(gain, 0) AS s
+    FROM documents d CROSS JOIN m LEFT JOIN h ON d.doc_id = h.doc_id LEFT JOIN l ON l.doc_id = d.doc_id LEFT JOIN g ON g.doc_id = d.doc_id AND g.label = m.label),
   b AS (SELECT doc_id, arg_min(label, (-s, label)) AS label, max(s) AS top FROM s GROUP BY doc_id),
   r AS (SELECT b.doc_id, b.label, 1 / sum(exp(s.s - b.top)) AS score FROM b JOIN s ON b.doc_id = s.doc_id GROUP BY b.doc_id, b.label)"""
 
@@ -86,10 +89,10 @@ SQL["quality_trainset"] = (
 
 
 def quality_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Logistic regression over hashed words and pairs, trained on all labels and applied to all documents (CP11)."""
+    """Logistic regression over hashed words and pairs, trained on all labels: label, score and verdict of all documents (CP11, FL5)."""
     docs = table(spark, sf_dir, "documents")
-    model = C.logistic_regression(docs.join(_labels(spark, sf_dir, "quality"), "doc_id").where("label is not null").select("text", F.col("label").cast("double").alias("label")), buckets=20_000)
-    return model.transform(docs).select("doc_id", F.col("prediction").cast("int").alias("label"))
+    model = C.logistic_regression(docs.join(_labels(spark, sf_dir, "quality"), "doc_id").where("label is not null").select("text", F.col("label").cast("double").alias("label")))
+    return C.scores_of(model, docs).withColumn("kept", ~((F.col("label") == "0") & (F.col("score") > 0.7)))
 
 
 QUERIES["quality_filter"] = quality_filter

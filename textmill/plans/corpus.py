@@ -19,13 +19,18 @@ SQL: dict = {}
 STEPS = {
     "lang_passed": "lang_label = 'en' AND lang_score >= 0.65",
     "gopher_passed": "heuristics",
+    "nsfw_passed": "NOT coalesce(adult_label = '1' AND adult_score > 0.8, false)",
     "toxic_passed": "NOT (toxic_label = '1' AND toxic_score > 0.8)",
     "quality_passed": "NOT (quality_label = '0' AND quality_score > 0.7)",
 }
 
 
-def verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What each filter says of each document."""
+def verdicts(spark: SparkSession, sf_dir: str, adult: DataFrame | None = None) -> DataFrame:
+    """What each filter says of each document.
+
+    ``adult`` has ``doc_id, label, score`` from any model for adult content, 1 for what it
+    is; the tables have no labels to train one, so without it that step lets all pass.
+    """
     docs = table(spark, sf_dir, "documents")
     rows = measured(spark, sf_dir).select("doc_id", "source", F.expr(ALL_RULES).alias("heuristics"))
     for name, labels, features in (
@@ -35,7 +40,9 @@ def verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     ):
         got = C.naive_bayes(labels, docs, features).select("doc_id", F.col("label").alias(f"{name}_label"), F.round("score", 6).alias(f"{name}_score"))
         rows = rows.join(got, "doc_id")
-    return rows
+    if adult is None:
+        return rows.withColumns({"adult_label": F.lit(None).cast("string"), "adult_score": F.lit(None).cast("double")})
+    return rows.join(adult.select("doc_id", F.col("label").cast("string").alias("adult_label"), F.col("score").alias("adult_score")), "doc_id", "left")
 
 
 def _cumulative() -> dict[str, str]:
@@ -58,7 +65,7 @@ _PARTS = " JOIN ".join(
 QUERIES["curation_funnel"] = curation_funnel
 SQL["curation_funnel"] = (
     f"SELECT source, count(*) AS total_records, {', '.join(f'count(*) FILTER (WHERE {x}) AS {k}' for k, x in _cumulative().items())} "
-    f"FROM (SELECT doc_id, source, {ALL_RULES} AS heuristics FROM ({MEASURES})) JOIN {_PARTS} GROUP BY ROLLUP (source)"
+    f"FROM (SELECT doc_id, source, {ALL_RULES} AS heuristics, NULL::VARCHAR AS adult_label, NULL::DOUBLE AS adult_score FROM ({MEASURES})) JOIN {_PARTS} GROUP BY ROLLUP (source)"
 )
 
 

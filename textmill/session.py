@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import re
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -15,7 +19,23 @@ def get_spark(app: str = "textmill", master: str | None = None, **conf: str) ->
     defaults = {"spark.sql.session.timeZone": "UTC", "spark.sql.adaptive.enabled": "true", "spark.sql.adaptive.skewJoin.enabled": "true"}
     for key, value in {**defaults, **conf}.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship(spark)
+    return spark
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the workers, which may not find it where the driver does; once a session."""
+    sc = spark.sparkContext
+    if any(Path(p).name.startswith("textmill-package-") for p in sc._python_includes):
+        return
+    package = Path(__file__).resolve().parent
+    with tempfile.NamedTemporaryFile(prefix="textmill-package-", suffix=".zip", delete=False) as out:
+        with zipfile.ZipFile(out, "w") as z:
+            for file in sorted(package.rglob("*.py")):
+                z.write(file, Path(package.name) / file.relative_to(package))
+    sc.addPyFile(out.name)  # the driver's own copy, which Spark hands out
+    atexit.register(Path(out.name).unlink, missing_ok=True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,11 +57,15 @@ def spread(df: DataFrame, least: int = 2 << 20) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: the session's ``spark.checkpoint.dir``.
 
-    Only where that is unset (tests, a laptop) a temporary folder is made, once a session.
+    Only where that is unset and all runs in one process (tests, a laptop) a temporary
+    folder is made, once a session; a cluster without it is an error.
     """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
     return sc.getCheckpointDir()
 
 
