@@ -829,6 +829,15 @@ def test_urls(spark, url, want):
     assert tuple(r)[1:] == want
 
 
+def test_many_rules_of_a_host():
+    """A host with a hundred thousand rules costs a url no more than its own length."""
+    trie = url_filter.UrlTrie([url_filter.UrlRule("block", "host.org", f"/a{k}") for k in range(100_000)])
+    began = time.monotonic()
+    for k in range(20_000):
+        assert trie.find("www.host.org", f"/a{k}/x").path == f"/a{k}"
+    assert trie.find("host.org", "/b") is None and time.monotonic() - began < 5
+
+
 def test_trie_against_brute_force():
     rng = random.Random(1)
     hosts = ["a", "b.a", "c.b.a", "d", "a.d"]

@@ -163,3 +163,35 @@ def quality_rules(
 
 def op6_quality_rules(spark, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).withColumn("failed_rules", F.array_join("failed_rules", ","))
+
+
+def _sql(alpha: float = 0.03, delta: float = 0.05) -> str:
+    """The query in DuckDB's SQL: windows by their words, binomial tails as sums over all terms."""
+    measure = {r.name: r.measure.replace(" / ", "::DOUBLE / ") for r in RULES}
+    cells = ", ".join(f"('{r.name}', {c}::DOUBLE)" for r in RULES for c in r.grid)
+    failed = ", ".join(f"CASE WHEN {measure[r.name]} >= (SELECT cutoff FROM cuts WHERE cuts.stratum = m.stratum AND cuts.rule = '{r.name}') THEN '{r.name}' END" for r in RULES)
+    value = "CASE rule " + " ".join(f"WHEN '{r.name}' THEN {measure[r.name]}" for r in RULES) + " END"
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
+win AS (SELECT rid, i, array_to_string(ws[i:i+2], ' ') AS g FROM (SELECT rid, ws, unnest(range(1, len(ws) - 1)) AS i FROM w WHERE len(ws) >= 3)),
+rep AS (SELECT rid, unnest([i, i + 1, i + 2]) AS p FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, g) AS c FROM win) WHERE c > 1),
+cov AS (SELECT rid, count(DISTINCT p) AS n FROM rep GROUP BY rid),
+b AS (SELECT w.rid, doc_id, stratum, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols,
+  (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(cov.n, 0)::BIGINT AS n_repeat_words, len(regexp_extract_all(t, '[!?|*#$%&]'))::BIGINT AS n_marks, len(regexp_extract_all(t, '\p{{Lu}}'))::BIGINT AS n_capitals
+  FROM w LEFT JOIN cov ON cov.rid = w.rid),
+m AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM b),
+k AS (SELECT doc_id, min(quality) AS quality FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id),
+cell AS (SELECT * FROM (VALUES {cells}) AS c(rule, cutoff)),
+x AS (SELECT stratum, rule, cutoff, quality, {value} AS v FROM m JOIN k USING (doc_id) CROSS JOIN cell WHERE NOT base_failed),
+c AS (SELECT stratum, rule, cutoff, count(*) FILTER (WHERE quality = 1) AS good, count(*) FILTER (WHERE quality = 1 AND v >= cutoff) AS hit, count(*) FILTER (WHERE quality = 0 AND v >= cutoff) AS caught FROM x GROUP BY ALL),
+p AS (SELECT *, count(*) OVER () AS tests, CASE WHEN hit >= good * {alpha / len(RULES)!r} THEN 1.0 ELSE (
+    SELECT sum(exp(lgamma(good + 1) - lgamma(i + 1) - lgamma(good - i + 1) + i * ln({alpha / len(RULES)!r}) + (good - i) * ln({1 - alpha / len(RULES)!r}))) FROM (SELECT unnest(range(0, hit + 1)) AS i)) END AS p_value FROM c),
+v AS (SELECT *, max(caught) OVER (PARTITION BY stratum, rule) AS most FROM p WHERE p_value <= {delta!r} / tests AND caught > 0),
+cuts AS (SELECT stratum, rule, max(cutoff) AS cutoff FROM v WHERE 100 * caught >= 98 * most GROUP BY stratum, rule),
+f AS (SELECT *, list_filter([{failed}], lambda x: x IS NOT NULL) AS failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND len(failed) = 0 AS kept, array_to_string(failed, ',') AS failed_rules FROM f
+"""
+
+
+OP6_SQL = _sql()

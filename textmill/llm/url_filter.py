@@ -48,9 +48,14 @@ def split_url(url: str | None) -> tuple[str, str]:
 
 
 class UrlTrie:
-    """``_RULES`` of a host node holds the path trie; ``_ENDS`` of a path node the rules that end there."""
+    """A trie of host labels from the right; ``_RULES`` of a host node holds a trie of path segments.
 
-    _RULES, _ENDS = object(), object()
+    The last segment of a rule is a prefix of a segment: ``_ENDS`` of a path node holds a
+    trie of its characters, and ``_HERE`` the rules that end at a character. A url thus costs its own
+    length, however many rules a host has.
+    """
+
+    _RULES, _ENDS, _HERE = object(), object(), object()
 
     def __init__(self, rules):
         self.root: dict = {}
@@ -59,11 +64,13 @@ class UrlTrie:
             for label in reversed(rule.host.translate(_LOWER).split(".")):
                 node = node.setdefault(label, {})
             node = node.setdefault(self._RULES, {})
-            # The last segment of a rule is a prefix of a segment; those before it are whole.
             *segments, last = rule.path.split("/")
             for segment in segments:
                 node = node.setdefault(segment, {})
-            node.setdefault(self._ENDS, []).append((last, rule))
+            node = node.setdefault(self._ENDS, {})
+            for c in last:
+                node = node.setdefault(c, {})
+            node.setdefault(self._HERE, []).append(rule)
 
     def find(self, host: str, path: str) -> UrlRule | None:
         """The longest rule that fits: most characters of host and path, then of the host; block before allow."""
@@ -77,11 +84,13 @@ class UrlTrie:
             for segment in segments:
                 if at is None:
                     break
-                for last, rule in at.get(self._ENDS, ()):
-                    if segment.startswith(last):
+                here, place = at.get(self._ENDS), 0
+                while here is not None:
+                    for rule in here.get(self._HERE, ()):
                         rank = (len(rule.host) + len(rule.path), len(rule.host), rule.verdict == "block")
                         if best is None or rank > best[0]:
                             best = (rank, rule)
+                    here, place = here.get(segment[place : place + 1]) if place < len(segment) else None, place + 1
                 at = at.get(segment)
         return best and best[1]
 
