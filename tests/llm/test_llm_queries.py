@@ -8,6 +8,7 @@ import re
 import time
 from collections import Counter
 
+import duckdb
 import pytest
 from oracle import check
 from pyspark.sql import Row
@@ -733,9 +734,33 @@ def test_planted_identifiers(spark):
     assert hit >= 0.95 * sum(len(got[i]) for i in got)
 
 
-def test_planted_secrets(spark):
-    """Random keys of many makes that no fixed pattern names, and long strings that are none."""
-    rng = random.Random(8)
+@pytest.mark.parametrize("seed", range(3))
+def test_planted_identifiers_by_sql(spark, tmp_path, seed):
+    """The bootstrap against DuckDB's own account of it, over texts in which it finds much."""
+    rows, _ = planted_identifiers(seed)
+    rows += [t + " " + t for t in TRICKY[:11]] + [None, "", "contact: contact: AB-123456 4111111111111111"]
+    spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    want = {r[0]: r[1:] for r in con.execute(SQL["op10_pii"]).fetchall()}
+    got = {r.doc_id: tuple(r)[1:] for r in QUERIES["op10_pii"](spark, str(tmp_path)).collect()}
+    assert got == want and sum("id:" in r[-1] for r in want.values()) > 50
+
+
+def test_planted_secrets_by_sql(spark, tmp_path):
+    rows, _ = planted_secrets(5)
+    rows += TRICKY[:11] + [None, ""]
+    spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    want = {r[0]: r[1:] for r in con.execute(SQL["op8_secret_scans"]).fetchall()}
+    got = {r.doc_id: tuple(r)[1:] for r in QUERIES["op8_secret_scans"](spark, str(tmp_path)).collect()}
+    assert got == want and sum("entropy:" in r[-1] for r in want.values()) > 100
+
+
+def planted_secrets(seed):
+    """270 random keys of many makes that no fixed pattern names, then long strings that are none."""
+    rng = random.Random(seed)
     alnum, base64, hexes = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "0123456789ABCDEF"
     key = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
     made = [
@@ -746,7 +771,11 @@ def test_planted_secrets(spark):
         "internationalization2024andlocalization", "2024-01-05-release-notes-for-version-2-of-the-engine", "https://example.org/archive/2024/01/some-long-article-title-with-many-words", "AAAAAAAAAAAAAAAAAAAAAAAAAAAA1111111111",
         "123e4567-e89b-12d3-a456-426614174000", "a_very_long_snake_case_name_of_some_test_1", "1234567890abcdefghijklmnopqrstuvwxyz", "/usr/local/lib/python3/site-packages/example",
     ]
-    rows = [f"x {made[k % len(made)]()} y" for k in range(270)] + [f"x {p} y" for p in plain]
+    return [f"x {made[k % len(made)]()} y" for k in range(270)] + [f"x {p} y" for p in plain], 270
+
+
+def test_planted_secrets(spark):
+    rows, _ = planted_secrets(8)
     df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(4)
     got = {r.doc_id: len(r.found) for r in secrets.secret_spans(df).collect()}
     assert sum(got[k] > 0 for k in range(270)) >= 0.9 * 270

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textmill.llm.common import SPACE, settle, table
-from textmill.llm.spans import apart, in_order, let, listed, matches, quoted, replaced
+from textmill.llm.spans import apart, found_sql, in_order, let, listed, matches, quoted, replaced
 
 _LOCAL, _LABEL = "[A-Za-z0-9._%+-]", "[A-Za-z0-9-]"
 EMAIL = rf"(?:\G|(?<!{_LOCAL})){_LOCAL}++@{_LABEL}++(?:\.{_LABEL}++)++"
@@ -176,3 +176,56 @@ def op10_pii(spark, sf_dir: str) -> DataFrame:
         F.sha2(listed("base"), 256).alias("base_sha256"),
         listed("found").alias("spans"),
     )
+
+
+def _sql(boot: Bootstrap = Bootstrap()) -> str:
+    """The query in DuckDB's SQL, with the patterns as strings and the rounds one after the other."""
+    digits = "regexp_replace(m, '[^0-9]', '', 'g')"
+    luhn = f"list_sum(list_transform(range(1, length({digits}) + 1), lambda i: CASE WHEN i % 2 = 1 THEN substr(reverse({digits}), i, 1)::INT ELSE substr('0246813579', substr(reverse({digits}), i, 1)::INT + 1, 1)::INT END)) % 10 = 0"
+    part = "len(list_filter(string_split(m, '.'), lambda x: length(ltrim(x, '0')) > 3 OR coalesce(try_cast(ltrim(x, '0') AS INT), 0) > 255)) = 0"
+    # A run with five digits and six characters or more, without a look ahead: something follows the fifth digit, or something else stands before it.
+    token = "(?:[A-Za-z-]*[0-9]){5}[A-Za-z0-9-]+|" + "|".join(f"[0-9]{{{k}}}[A-Za-z-]+(?:[A-Za-z-]*[0-9]){{{5 - k}}}" for k in range(5))
+    kinds = [
+        found_sql(0, "email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", 0, "true"),
+        found_sql(1, "ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", 0, part),
+        found_sql(2, "card", r"[0-9]([\x20-]?[0-9])+", 0, f"CASE WHEN length({digits}) BETWEEN 14 AND 19 THEN {luhn} ELSE false END"),
+        found_sql(3, "phone", r"\+[0-9][\x20().0-9-]+[0-9]", 0, f"length({digits}) BETWEEN 10 AND 15"),
+        found_sql(4, "id", token, 0, "true"),
+    ]
+    words = "list_filter(regexp_split_to_array({}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')".replace("\\\\", "\\")
+    shape = "regexp_replace(regexp_replace(m, '[0-9]', '9', 'g'), '[A-Za-z]', 'A', 'g')"
+    rounds, scores = [], "s0"
+    for k in range(boot.rounds):
+        rounds.append(f"""p{k} AS (SELECT p, hit / every AS conf FROM (SELECT p, every, sum(n * score) AS hit, count(*) FILTER (WHERE score >= {boot.confidence}) AS support FROM graph JOIN {scores} USING (m) GROUP BY p, every) WHERE support >= {boot.support})""")
+        rounds.append(f"""s{k + 1} AS (SELECT m, greatest(max(seed)::DOUBLE, 1 - exp(sum(ln(greatest(1 - coalesce(conf, 0), 1e-9))))) AS score FROM graph LEFT JOIN p{k} USING (p) GROUP BY m)""")
+        scores = f"s{k + 1}"
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+every_ AS MATERIALIZED ({" UNION ALL ".join(kinds)}),
+o AS (SELECT *, max(CASE WHEN k < 4 THEN e ELSE 0 END) OVER (PARTITION BY rid ORDER BY s, k, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS q,
+  min(CASE WHEN k < 4 THEN s END) OVER (PARTITION BY rid ORDER BY s, k, e ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS nx FROM every_),
+edge AS MATERIALIZED (SELECT rid, s, e, m, CASE WHEN k < 4 THEN 1 ELSE 0 END AS seed, lower(w[-1]) AS w1, lower(w[-2]) AS w2, lower(f[1]) AS r
+  FROM (SELECT *, {words.format("before")} AS w, {words.format("after")} AS f FROM o WHERE coalesce(q, 0) <= s AND (k < 4 OR coalesce(nx >= e, true)))),
+pat AS MATERIALIZED (SELECT rid, s, e, m, seed, x.kind AS kind, x.kind || ' ' || x.p AS p, x.c AS c FROM (SELECT rid, s, e, m, seed, unnest(list_filter([
+    CASE WHEN regexp_matches(w1, '\p{{L}}') THEN {{'kind': 1, 'p': w1, 'c': '1 ' || w1}} END,
+    CASE WHEN regexp_matches(w2 || w1, '\p{{L}}') THEN {{'kind': 2, 'p': w2 || ' ' || w1, 'c': '2 ' || w2 || ' ' || w1}} END,
+    CASE WHEN regexp_matches(w1, '\p{{L}}') AND r IS NOT NULL THEN {{'kind': 3, 'p': w1 || ' ' || r, 'c': '3 ' || w1 || ' ' || r}} END,
+    CASE WHEN regexp_matches(w1, '\p{{L}}') THEN {{'kind': 4, 'p': w1 || ' ' || {shape}, 'c': '1 ' || w1}} END], lambda y: y IS NOT NULL)) AS x FROM edge)),
+g0 AS (SELECT kind, p, c, m, count(*) AS n, max(seed) AS seed FROM pat GROUP BY kind, p, c, m),
+own AS (SELECT kind, p, c, sum(n) AS own FROM g0 GROUP BY kind, p, c HAVING count(*) >= {boot.support}),
+ws AS (SELECT ws, unnest(range(1, len(ws) + 1)) AS i FROM (SELECT {words.format("lower(t)")} AS ws FROM d)),
+said AS (SELECT unnest(['1 ' || ws[i], CASE WHEN i > 1 THEN '2 ' || ws[i - 1] || ' ' || ws[i] END, CASE WHEN i > 2 THEN '3 ' || ws[i - 2] || ' ' || ws[i] END]) AS c FROM ws),
+total AS (SELECT c, count(*) AS total FROM said WHERE c IN (SELECT c FROM own) GROUP BY c),
+sized AS (SELECT p, 1 + CASE WHEN kind = 4 THEN own + {boot.other} * coalesce(total, 0) ELSE greatest(own, coalesce(total, 0)) END::DOUBLE AS every FROM own LEFT JOIN total USING (c)),
+graph AS MATERIALIZED (SELECT g0.p, m, n, seed, every FROM g0 JOIN sized USING (p)),
+s0 AS (SELECT m, max(seed)::DOUBLE AS score FROM graph GROUP BY m),
+{", ".join(rounds)},
+more AS (SELECT DISTINCT rid, s, e FROM pat JOIN p{boot.rounds - 1} USING (p) WHERE seed = 0 AND conf >= {boot.confidence}),
+spans AS (SELECT rid, k, kind, s, e FROM every_ WHERE k < 4 UNION ALL SELECT rid, 4, 'id', s, e FROM more),
+a AS (SELECT rid, {", ".join(f"count(*) FILTER (WHERE k = {k}) AS n_{kind}" for k, kind in enumerate(KINDS))},
+  string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, k) FILTER (WHERE k < 4) AS base, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, k) AS spans FROM spans GROUP BY rid)
+SELECT doc_id, {", ".join(f"coalesce(n_{kind}, 0)::BIGINT AS n_{kind}" for kind in KINDS)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN a USING (rid)
+"""
+
+
+OP10_SQL = _sql()

@@ -6,9 +6,9 @@ from textmill.llm.decontamination import op5_benchmark_decontamination
 from textmill.llm.html_extract import op3_html_extraction
 from textmill.llm.mixing import OP7_SQL, op7_mixing
 from textmill.llm.ngram_join import OP1_SQL, op1_ngram_jaccard_join
-from textmill.llm.pii import op10_pii
+from textmill.llm.pii import OP10_SQL, op10_pii
 from textmill.llm.quality import OP6_SQL, op6_quality_rules
-from textmill.llm.secrets import op8_secret_scans
+from textmill.llm.secrets import OP8_SQL, op8_secret_scans
 from textmill.llm.substring_dedup import OP4_SQL, op4_substring_dedup
 from textmill.llm.token_counts import op2_token_counts
 from textmill.llm.url_filter import OP9_SQL, op9_url_filters
@@ -30,5 +30,7 @@ SQL = {
     "op4_substring_dedup": OP4_SQL,
     "op6_quality_rules": OP6_SQL,
     "op7_mixing": OP7_SQL,
+    "op8_secret_scans": OP8_SQL,
     "op9_url_filters": OP9_SQL,
+    "op10_pii": OP10_SQL,
 }

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textmill.llm.common import table
-from textmill.llm.spans import apart, in_order, let, listed, matches, quoted, tagged
+from textmill.llm.spans import apart, found_sql, in_order, let, listed, matches, quoted, tagged
 
 ASSIGN = (
     r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])"""
@@ -110,3 +110,28 @@ def op8_secret_scans(spark, sf_dir: str) -> DataFrame:
         F.sha2(listed("base"), 256).alias("base_sha256"),
         listed("found").alias("spans"),
     )
+
+
+def _sql(window: int = WINDOW) -> str:
+    """The query in DuckDB's SQL: windows of a candidate by unnesting, their counts by grouping."""
+    allow = "^(?:" + "|".join(ALLOW) + ")$"
+    bound = "CASE " + " ".join(f"WHEN regexp_matches(z, '^(?:{pattern})$') THEN {bits}" for _, pattern, bits in THRESHOLDS) + " END"
+    mixed = "regexp_matches(m, '[_-]') AND regexp_matches(m, '[a-z]') AND regexp_matches(m, '[A-Z]') AND regexp_matches(m, '[0-9]')"
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+base AS ({found_sql(0, "assign", ASSIGN, 2, "length(v) >= 8")} UNION ALL {found_sql(1, "access", "AKIA[A-Z0-9]+", 0, "length(m) >= 16")} UNION ALL {found_sql(2, "hex", "[0-9a-f]{32,}", 0, "true")}),
+runs AS ({found_sql(3, "entropy", "[A-Za-z0-9+/_=-]{20,}", 0, "regexp_matches(m, '[0-9]') AND regexp_matches(m, '[A-Za-z]')")}),
+c AS (SELECT * FROM runs WHERE NOT regexp_matches(m, '{allow}') AND NOT EXISTS (SELECT 1 FROM base WHERE base.rid = runs.rid AND base.s < runs.e AND runs.s < base.e)),
+part AS (SELECT DISTINCT m, z FROM (SELECT m, unnest(regexp_split_to_array(m, '[_-]')) AS z FROM c UNION ALL SELECT m, m FROM c WHERE {mixed}) WHERE length(z) >= {window}),
+win AS (SELECT z, i, unnest(string_split(substr(z, i, {window}), '')) AS x FROM (SELECT DISTINCT z, unnest(range(1, length(z) - {window} + 2)) AS i FROM part)),
+bits AS (SELECT z, max(h) AS h FROM (SELECT z, i, log2({window}) - sum(n * log2(n)) / {window} AS h FROM (SELECT z, i, x, count(*) AS n FROM win GROUP BY z, i, x) GROUP BY z, i) GROUP BY z),
+key AS (SELECT DISTINCT m FROM part JOIN bits USING (z) WHERE h >= {bound}),
+every AS (SELECT rid, k, kind, s, e FROM base UNION ALL SELECT rid, k, kind, s, e FROM c WHERE m IN (SELECT m FROM key)),
+g AS (SELECT rid, count(*) FILTER (WHERE k = 0) AS n_assign, count(*) FILTER (WHERE k = 1) AS n_access, count(*) FILTER (WHERE k = 2) AS n_hex,
+  string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, k) FILTER (WHERE k < 3) AS base, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, k) AS spans FROM every GROUP BY rid)
+SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN g USING (rid)
+"""
+
+
+OP8_SQL = _sql()

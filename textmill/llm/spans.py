@@ -118,3 +118,17 @@ def replaced(text: str, spans: str) -> Column:
     body = f"concat(array_join(transform(u, (x, i) -> concat({_part('coalesce(get(w, i - 1), 0)', 'x.s')}, '[', upper(x.kind), ']')), ''), {_part('get(w, size(w) - 1)', 'length(_whole)')})"
     made = let("q", running("transform(o, x -> x.e)", MAX), let("u", begins, let("w", stops, let("t", f"regexp_extract_all(_whole, '(?s).{{1,{CHUNK}}}', 0)", body))))
     return F.expr(let("_whole", text, let("o", spans, f"CASE WHEN size(o) = 0 THEN _whole ELSE {made} END")))
+
+
+def found_sql(kind: int, name: str, pattern: str, group: int, valid: str, source: str = "d") -> str:
+    """DuckDB's SQL for the matches of a contract's pattern in a table of ``rid, t``: ``rid, k, kind, s, e, m`` and the pieces ``before`` and ``after`` a match.
+
+    Places are sums over the pieces and matches before: for tables of tests, whose texts have few matches.
+    """
+    pat = "'" + pattern.replace("'", "''") + "'"
+    value = f"regexp_extract_all(t, {pat}, {group})" if group else "ms"
+    return f"""SELECT rid, {kind} AS k, '{name}' AS kind, s, s + length(m) AS e, m, before, after FROM (
+    SELECT rid, ms[i] AS m, vs[i] AS v, ps[i] AS before, ps[i + 1] AS after,
+      (coalesce(list_sum(list_transform(ps[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0))::BIGINT AS s
+    FROM (SELECT *, unnest(range(1, len(ms) + 1)) AS i FROM (SELECT rid, t, ms, ps, {value} AS vs FROM (
+      SELECT rid, t, regexp_extract_all(t, {pat}) AS ms, regexp_split_to_array(t, {pat}) AS ps FROM {source} WHERE regexp_matches(t, {pat}))))) WHERE {valid}"""
