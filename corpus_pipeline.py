@@ -60,12 +60,13 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """
     keyed = docs.withColumn(KEY, F.xxhash64(F.col("doc_id"), F.coalesce("text", F.lit(""))))
     groups = settle(ngram_jaccard_join(keyed, id_col=KEY).select(F.col("doc_id").alias(KEY), "component_id", "n_shingles"))
-    # Only rows of a group of two or more are compared: the rest go through.
-    linked = groups.where(F.col("component_id") != F.col(KEY)).select("component_id").distinct()
-    members = groups.join(linked, "component_id", "left_semi").select(KEY, "component_id").distinct()
-    ids = keyed.select(KEY, "doc_id").join(members, KEY).distinct()
+    # Only rows of a group of two or more are compared: the rest go through. Groups may be
+    # large: their rows meet few group keys by broadcast, and the first is a partial minimum.
+    linked = settle(groups.where(F.col("component_id") != F.col(KEY)).select("component_id").distinct())
+    members = settle(groups.select(KEY, "component_id").join(_few(linked), "component_id", "left_semi").distinct())
+    ids = keyed.select(KEY, "doc_id").join(_few(members), KEY)
     first = ids.groupBy("component_id").agg(F.min_by(KEY, F.struct(F.col("doc_id").isNull(), "doc_id", KEY)).alias("first"))
-    lost = members.join(first, "component_id").where(F.col(KEY) != F.col("first")).select(KEY)
+    lost = members.join(_few(settle(first)), "component_id").where(F.col(KEY) != F.col("first")).select(KEY)
     repeated = groups.where("n_shingles > 0").groupBy(KEY).agg(F.count("*").alias("n")).where("n > 1").select(KEY)
     lost = settle(lost)
     repeated = settle(repeated.join(lost, KEY, "left_anti"))
@@ -77,7 +78,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def _few(keys: DataFrame) -> DataFrame:
-    """Keys of 8 bytes: few are broadcast, so that no text is shuffled for them; many are joined by a shuffle."""
+    """Rows of one or two keys of 8 bytes: few are broadcast, so that no text is shuffled for them; many are joined by a shuffle."""
     return F.broadcast(keys) if keys.count() <= MOST_BROADCAST else keys
 
 
