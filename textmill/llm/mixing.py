@@ -20,6 +20,8 @@ from textmill.llm.common import WORD, settle, table
 
 #: Buckets for each unit of a key's natural logarithm.
 STEPS = 2048
+#: Buckets in a coarse one.
+COARSE = 256
 #: The least weight; a document without a weight has it.
 LEAST = 0.05
 
@@ -87,8 +89,13 @@ def mix_sources(
     targets = settle(source_targets(base, weights, cap))
     rows = base.alias("b").join(targets.alias("t"), F.expr("b.source <=> t.source")).drop("source")
 
-    sums = rows.groupBy("sid", "bucket").agg(F.sum("size").alias("inside"))
-    sums = sums.withColumn("before", F.sum("inside").over(Window.partitionBy("sid").orderBy("bucket")) - F.col("inside")).drop("inside")
+    # Two levels, so that no task adds up more than the buckets of a coarse one, or the coarse ones of a source.
+    def earlier(column: str, order) -> Column:
+        return F.coalesce(F.sum(column).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+    sums = rows.groupBy("sid", F.floor(F.col("bucket") / COARSE).alias("coarse"), "bucket").agg(F.sum("size").alias("inside"))
+    coarse = sums.groupBy("sid", "coarse").agg(F.sum("inside").alias("all")).select("sid", "coarse", earlier("all", Window.partitionBy("sid").orderBy("coarse")).alias("start"))
+    sums = sums.join(coarse, ["sid", "coarse"]).select("sid", "bucket", (F.col("start") + earlier("inside", Window.partitionBy("sid", "coarse").orderBy("bucket"))).alias("before"))
     within = Window.partitionBy("sid", "bucket").orderBy("key", F.col("doc_id").asc_nulls_last(), "size").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.join(sums, ["sid", "bucket"]).withColumn("upto", F.col("before") + F.sum("size").over(within))
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
