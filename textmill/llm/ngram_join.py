@@ -282,6 +282,11 @@ def _walk(percent: int, two_sided: bool = False):
     return run
 
 
+def _few(rows: DataFrame) -> DataFrame:
+    """Rows of two numbers: few are broadcast, many are joined by a shuffle."""
+    return F.broadcast(rows) if rows.count() <= MOST_BROADCAST // 4 else rows
+
+
 def _rest_of_wide(full: DataFrame, areas: DataFrame, found: DataFrame, percent: int, block: int) -> DataFrame:
     """Links of wide neighbourhoods that the comparison with their first block has not settled.
 
@@ -290,9 +295,9 @@ def _rest_of_wide(full: DataFrame, areas: DataFrame, found: DataFrame, percent:
     """
     state = areas.join(found, areas.id == found.vertex, "left").select("area", "id", "blocks", "own", F.coalesce("label", "id").alias("label"))
     largest = state.groupBy("area", "label").agg(F.count("*").alias("size")).groupBy("area").agg(F.max_by("label", F.struct("size", "label")).alias("main"))
-    state = settle(state.join(largest, "area"))
+    state = settle(state.join(_few(settle(largest)), "area"))
     open_ = state.where("label <> main").groupBy("area").agg(F.ceil(F.count("*") / block).cast("int").alias("rests"))
-    state = state.join(open_, "area")
+    state = state.join(_few(settle(open_)), "area")
     asking = state.where("label <> main").withColumn("i", F.pmod(F.xxhash64("id", F.lit(11)), F.col("rests")).cast("int"))
     asking = asking.select("area", "id", F.lit(0).alias("side"), F.array("i").alias("i"), F.sequence(F.lit(0), F.col("blocks") - 1).alias("j"))
     asked = state.select("area", "id", F.lit(1).alias("side"), F.sequence(F.lit(0), F.col("rests") - 1).alias("i"), F.array("own").alias("j"))
@@ -328,16 +333,17 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, percent: int = 75, id_col: s
     # A block is bounded in sets and in members, so that large sets do not make large tasks.
     near = settle(near.join(full.select("id", "n").dropDuplicates(["id"]), "id"))
     size = F.greatest(F.count("*") / block, F.sum("n") / (BLOCK_MEMBERS * block))
-    wide = near.groupBy("area").agg(F.ceil(size).cast("int").alias("blocks"))
+    wide = settle(near.groupBy("area").agg(F.ceil(size).cast("int").alias("blocks")).where("blocks > 1"))
     own = F.when(F.col("blocks") == 1, 0).otherwise(F.pmod(F.xxhash64("id", F.lit(7)), F.col("blocks"))).cast("int")
-    areas = near.join(wide, "area").withColumn("own", own)
+    # Wide neighbourhoods are few, at most one for each ``block`` rows; a hot one is not gathered for their sake.
+    areas = near.join(_few(wide), "area", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("own", own)
     # Small neighbourhoods: several in a task, as many as have so many members. Wide ones: the first block against each block.
     tasks = max(2 * parts, (near.agg(F.sum("n")).first()[0] or 0) // TASK_MEMBERS)
     pack = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("area"), F.lit(tasks)))
     first = F.when(F.col("own") == 0, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("own"))
     dealt = full.join(areas.drop("n"), "id").withColumn("j", F.explode(first)).select("area", "id", "n", "keys", F.col("own").alias("side"), F.lit(0).alias("i"), "j", pack.alias("pack"), F.when(F.col("blocks") > 1, F.col("area")).alias("wide"))
     links = settle(dealt.groupBy("pack", "wide", "i", "j").applyInArrow(_walk(percent), "u long, v long"))
-    if not wide.where("blocks > 1").isEmpty():
+    if not wide.isEmpty():
         links = settle(links.union(_rest_of_wide(full, areas.where("blocks > 1").drop("n"), connected_components(links), percent, block)))
 
     found = connected_components(links.union(_of_shapes(classes, shapes, links, full, percent)))
