@@ -21,14 +21,17 @@ _HEADER = re.compile(rb"^([^:\r\n]+):[ \t]*(.*?)\r?$", re.M)
 _MAGIC = b"\x1f\x8b\x08"
 #: Bytes that are read, unpacked and handed on at a time; the longest header that is looked through.
 READ, UNPACK, BATCH, HEADER = 1 << 20, 1 << 14, 16 << 20, 1 << 20
+#: Bytes of a gzip member that wait for its checksum; a longer member is handed on as it comes.
+HOLD = 64 << 20
 
 
 def plain_chunks(raw: BinaryIO) -> Iterator[bytes]:
     """The content of a stream, unpacked if it is gzip: all members, in pieces.
 
-    A cut last member gives what it holds, a corrupt one what came before the fault;
-    reading resumes at the next member. Members are fed in small pieces, so that what
-    is left over behind one is never more than such a piece.
+    A cut last member gives what it holds. A corrupt one gives nothing: up to ``HOLD`` bytes
+    are held back until the member's end is checked. Reading resumes at the next member.
+    Members are fed in small pieces, so that what is left over behind one is never more
+    than such a piece.
     """
     data = raw.read(READ)
     if data[:2] != b"\x1f\x8b":
@@ -37,6 +40,8 @@ def plain_chunks(raw: BinaryIO) -> Iterator[bytes]:
             data = raw.read(READ)
         return
     member, lost, carry = zlib.decompressobj(31), False, b""
+    held: list[bytes] = []
+    size = 0
     while data:
         view, at = memoryview(data), 0
         while at < len(data):
@@ -56,20 +61,26 @@ def plain_chunks(raw: BinaryIO) -> Iterator[bytes]:
             try:
                 out = member.decompress(piece, READ)
                 while out:
-                    yield out
+                    held.append(out)
+                    size += len(out)
+                    if size > HOLD:
+                        yield from held
+                        held = []
                     out = member.decompress(member.unconsumed_tail, READ) if member.unconsumed_tail else b""
             except zlib.error:
                 # The next member begins behind the place where this piece began.
-                lost, at = True, at + 1
+                lost, at, held, size = True, at + 1, [], 0
                 continue
             at += len(piece) - len(member.unused_data)
             if member.eof:
-                member = zlib.decompressobj(31)
+                yield from held
+                member, held, size = zlib.decompressobj(31), [], 0
                 while at < len(data) and data[at] == 0:  # padding between members
                     at += 1
                 if data[at : at + 2] not in (b"\x1f\x8b", b"\x1f", b""):
                     lost = True
         data = raw.read(READ)
+    yield from held
 
 
 class _Buffer:
@@ -121,8 +132,13 @@ class _Buffer:
                 return
 
 
-def records(raw: BinaryIO | bytes, types: tuple[str, ...] | None = None) -> Iterator[tuple[int, str, str | None, dict[str, str], bytes]]:
-    """``rec_no, rec_type, uri, headers, payload`` of each record, of some types only if they are named.
+def records(raw: BinaryIO | bytes, types: tuple[str, ...] | None = None) -> Iterator[tuple[str, str | None, dict[str, str], bytes]]:
+    """``rec_type, uri, headers, payload`` of each record of an archive, of some types only if they are named."""
+    return (row[1:] for row in numbered_records(raw, types))
+
+
+def numbered_records(raw: BinaryIO | bytes, types: tuple[str, ...] | None = None) -> Iterator[tuple[int, str, str | None, dict[str, str], bytes]]:
+    """``rec_no, rec_type, uri, headers, payload``; numbers count the records of all types.
 
     Memory is bounded by a record and a piece of the file; payloads of other types are
     passed over. After a broken record reading resumes at the next version line.
@@ -158,7 +174,7 @@ def records(raw: BinaryIO | bytes, types: tuple[str, ...] | None = None) -> Iter
 
 def _frames(file: str, raw: BinaryIO | bytes, types: tuple[str, ...] | None) -> Iterator[pd.DataFrame]:
     rows, size = [], 0
-    for row in records(raw, types):
+    for row in numbered_records(raw, types):
         rows.append((file, *row))
         size += len(row[-1]) + 1000
         if size >= BATCH:
