@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from textmill.llm.centroid_clustering import OP12_SQL, op12_centroid_clustering
 from textmill.llm.decontamination import op5_benchmark_decontamination
 from textmill.llm.html_extract import op3_html_extraction
 from textmill.llm.mixing import OP7_SQL, op7_mixing
@@ -12,6 +13,7 @@ from textmill.llm.secrets import OP8_SQL, op8_secret_scans
 from textmill.llm.substring_dedup import OP4_SQL, op4_substring_dedup
 from textmill.llm.token_counts import op2_token_counts
 from textmill.llm.url_filter import OP9_SQL, op9_url_filters
+from textmill.llm.vector_codes import OP13_SQL, op13_vector_codes
 
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
@@ -24,6 +26,8 @@ QUERIES = {
     "op8_secret_scans": op8_secret_scans,
     "op9_url_filters": op9_url_filters,
     "op10_pii": op10_pii,
+    "op12_centroid_clustering": op12_centroid_clustering,
+    "op13_vector_codes": op13_vector_codes,
 }
 SQL = {
     "op1_ngram_jaccard_join": OP1_SQL,
@@ -33,4 +37,6 @@ SQL = {
     "op8_secret_scans": OP8_SQL,
     "op9_url_filters": OP9_SQL,
     "op10_pii": OP10_SQL,
+    "op12_centroid_clustering": OP12_SQL,
+    "op13_vector_codes": OP13_SQL,
 }
