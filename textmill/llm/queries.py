@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from textmill.llm.centroid_clustering import OP12_SQL, op12_centroid_clustering
 from textmill.llm.decontamination import op5_benchmark_decontamination
+from textmill.llm.fingerprints import op11_document_fingerprints
 from textmill.llm.html_extract import op3_html_extraction
 from textmill.llm.mixing import OP7_SQL, op7_mixing
 from textmill.llm.ngram_join import OP1_SQL, op1_ngram_jaccard_join
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_secret_scans": op8_secret_scans,
     "op9_url_filters": op9_url_filters,
     "op10_pii": op10_pii,
+    "op11_document_fingerprints": op11_document_fingerprints,
     "op12_centroid_clustering": op12_centroid_clustering,
     "op13_vector_codes": op13_vector_codes,
 }
