@@ -1,11 +1,10 @@
-"""Byte-pair encoding: counts on the cluster, merges on the table of distinct pre-tokens, encoding in Arrow batches."""
+"""Byte-pair encoding: counts of pre-tokens, tokenizers, encoding in Arrow batches, windows. Training is in ``bpe_train``."""
 
 from __future__ import annotations
 
 import heapq
 import io
 import pickle
-from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
@@ -158,90 +157,6 @@ def _replaced(parts: list[int], start: int, pair: tuple[int, int], new: int) ->
     return out
 
 
-def train(counts: DataFrame, vocab_size: int, specials: Iterable[str] = (END_OF_TEXT,), min_count: int = 1, most_words: int = 20_000_000) -> Tokenizer:
-    """Greedy merges until the vocabulary is full or no pair is left; ties go to the greatest pair.
-
-    The corpus is counted on the cluster; only distinct pre-tokens of two bytes or more
-    that occur ``min_count`` times come to the driver, partition by partition. More than
-    ``most_words`` of them are refused: raise ``min_count`` then. Merging is sequential
-    by nature: a heap of pair counts and an index from pairs to words keep a merge to the
-    words it touches.
-    """
-    counts = counts.where(F.octet_length("token") > 1)
-    counts = settle(counts.where(F.col("n") >= min_count) if min_count > 1 else counts)
-    if (held := counts.count()) > most_words:
-        raise ValueError(f"{held} distinct pre-tokens are more than most_words={most_words}; raise min_count")
-    words, weights = [], []
-    for row in counts.toLocalIterator():
-        words.append(row["token"].encode())
-        weights.append(row["n"])
-    specials = list(specials)
-    return Tokenizer(list(_merges(words, weights, vocab_size - 256 - len(specials))), specials)
-
-
-_FLIPPED = bytes(range(255, -1, -1))
-
-
-def _merges(words: list, weights: list[int], most: int) -> Iterator[tuple[bytes, bytes]]:
-    """The merges in order. A word is its bytes, then a list of symbols from its first merge on."""
-    symbol = [bytes([b]) for b in range(256)]
-    # Strings whose order is the reverse of the symbols': a symbol goes before all that begin it.
-    order = [s.translate(_FLIPPED).decode("latin-1") + "\u0100" for s in symbol]
-    total: dict[tuple[int, int], int] = defaultdict(int)
-    where: dict[tuple[int, int], set[int]] = defaultdict(set)
-    for k, (w, n) in enumerate(zip(words, weights, strict=True)):
-        for pair in zip(w, w[1:], strict=False):
-            total[pair] += n
-            where[pair].add(k)
-    heap = [(-n, order[a], order[b], (a, b)) for (a, b), n in total.items()]
-    heapq.heapify(heap)
-    while most > 0 and heap:
-        n, _, _, pair = heapq.heappop(heap)
-        if total.get(pair) != -n:
-            continue  # an entry that was overtaken
-        a, b = pair
-        yield symbol[a], symbol[b]
-        most -= 1
-        new = len(symbol)
-        symbol.append(symbol[a] + symbol[b])
-        order.append(symbol[new].translate(_FLIPPED).decode("latin-1") + "\u0100")
-        delta: dict[tuple[int, int], int] = defaultdict(int)
-        for k in where.pop(pair):
-            word, weight = words[k], weights[k]
-            if not isinstance(word, list):
-                word = words[k] = list(word)
-            at, begin = -1, 0
-            try:
-                while True:
-                    begin = word.index(a, begin)
-                    if begin + 1 < len(word) and word[begin + 1] == b:
-                        # Only the pairs around this place change.
-                        at = begin
-                        if at:
-                            left = word[at - 1]
-                            delta[left, a] -= weight
-                            delta[left, new] += weight
-                            where[left, new].add(k)
-                        if at + 2 < len(word):
-                            right = word[at + 2]
-                            delta[b, right] -= weight
-                            delta[new, right] += weight
-                            where[new, right].add(k)
-                        delta[pair] -= weight
-                        word[at : at + 2] = [new]
-                    begin += 1
-            except ValueError:
-                continue
-        for p, change in delta.items():
-            now = total[p] = total[p] + change
-            if now > 0:
-                if change:
-                    heapq.heappush(heap, (-now, order[p[0]], order[p[1]], p))
-            else:
-                del total[p]
-                where.pop(p, None)
-
-
 def save_tokenizer(spark: SparkSession, tokenizer: Tokenizer, path: str) -> None:
     """The vocabulary as ``token_id, bytes, special`` and the merges as ``rank, left, right``, in Parquet."""
     special = {s.encode() for s in tokenizer.specials}
@@ -348,17 +263,24 @@ def prefix(docs: DataFrame, characters: int, id_col: str = "doc_id", text_col: s
 def pack(rows: DataFrame, length: int, order: str = "doc_id", bucket: int = 1024) -> DataFrame:
     """Training windows over the sequence of all tokens in the order of ids: ``win, x, y``; y is x shifted by one.
 
-    A token's place is the number of tokens before it, as ``before_each`` counts. The
-    last window that can't be filled is left out. Ids are whole numbers.
+    A token's place is the number of tokens before it, as ``before_each`` counts. Each
+    document is cut at the bounds of windows, and its slices travel, a row for each window that it
+    reaches into. A window has one token more than its inputs, the last target, which is
+    the first input of the next window. The last window that can't be filled is left out. Ids are whole numbers.
     """
-    sized = rows.select(F.col(order).cast("long").alias("id"), "ids", F.size("ids").cast("long").alias("n"))
+    sized = rows.select(F.col(order).cast("long").alias("id"), "ids", F.size("ids").cast("long").alias("n")).where("n > 0")
     placed = before_each(settle(sized), bucket).withColumnRenamed("before", "start")
-    tokens = placed.select("start", F.posexplode("ids").alias("k", "token")).select((F.col("start") + F.col("k")).alias("place"), "token")
-    # A token is an input of its window and a target of the window of the token before it.
-    x = tokens.select(F.floor(F.col("place") / length).alias("win"), F.lit(0).alias("side"), "place", "token")
-    y = tokens.where("place > 0").select(F.floor((F.col("place") - 1) / length).alias("win"), F.lit(1).alias("side"), "place", "token")
-    both = x.union(y).groupBy("win").agg(*[F.array_sort(F.collect_list(F.when(F.col("side") == k, F.struct("place", "token")))).alias(name) for k, name in enumerate("xy")])
-    return both.where((F.size("x") == length) & (F.size("y") == length)).select("win", F.col("x.token").alias("x"), F.col("y.token").alias("y"))
+    first, last = F.greatest(F.floor((F.col("start") - 1) / length), F.lit(0)), F.floor((F.col("start") + F.col("n") - 1) / length)
+
+    def piece(win: Column) -> Column:
+        """What a document has of the tokens from the beginning of a window to the first of the next."""
+        begin = F.greatest(win * length, F.col("start"))
+        end = F.least((win + 1) * length, F.col("start") + F.col("n") - 1)
+        return F.struct(win.alias("win"), begin.alias("at"), F.slice("ids", (begin - F.col("start") + 1).cast("int"), (end - begin + 1).cast("int")).alias("part"))
+
+    pieces = placed.select(F.explode(F.transform(F.sequence(first, last), piece)).alias("p")).select("p.*")
+    whole = pieces.groupBy("win").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", "part"))), lambda p: p["part"])).alias("all"))
+    return whole.where(F.size("all") == length + 1).select("win", F.slice("all", 1, length).alias("x"), F.slice("all", 2, length).alias("y"))
 
 
 def random_windows(rows: DataFrame, length: int, count: int, seed: int = 0, order: str = "doc_id") -> DataFrame:
@@ -376,7 +298,16 @@ def random_windows(rows: DataFrame, length: int, count: int, seed: int = 0, orde
     draws = rows.sparkSession.range(count).select(F.col("id").alias("draw"), F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(places)).alias("start"))
     step = 4096
     near = draws.withColumn("cell", F.explode(F.sequence(F.floor(F.col("start") / step), F.floor((F.col("start") + length) / step))))
-    tokens = sized.select("before", F.posexplode("ids").alias("k", "token")).select((F.col("before") + F.col("k")).alias("place"), "token")
-    hit = tokens.withColumn("cell", F.floor(F.col("place") / step)).join(near, "cell").where("place >= start").where(F.col("place") <= F.col("start") + length)
-    built = hit.groupBy("draw", "start").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "token"))), lambda t: t["token"]).alias("all"))
+
+    def piece(cell: Column) -> Column:
+        begin = F.greatest(cell * step, F.col("before"))
+        end = F.least((cell + 1) * step, F.col("before") + F.col("n"))
+        return F.struct(cell.alias("cell"), begin.alias("at"), F.slice("ids", (begin - F.col("before") + 1).cast("int"), (end - begin).cast("int")).alias("part"))
+
+    cells = F.sequence(F.floor(F.col("before") / step), F.floor((F.col("before") + F.col("n") - 1) / step))
+    pieces = sized.where("n > 0").select(F.explode(F.transform(cells, piece)).alias("p")).select("p.*")
+    begin = F.greatest(F.col("at"), F.col("start"))
+    end = F.least(F.col("at") + F.size("part"), F.col("start") + length + 1)
+    hit = pieces.join(near, "cell").where(begin < end).select("draw", "start", begin.alias("at"), F.slice("part", (begin - F.col("at") + 1).cast("int"), (end - begin).cast("int")).alias("part"))
+    built = hit.groupBy("draw", "start").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", "part"))), lambda p: p["part"])).alias("all"))
     return built.where(F.size("all") == length + 1).select("draw", "start", F.slice("all", 1, length).alias("x"), F.slice("all", 2, length).alias("y"))

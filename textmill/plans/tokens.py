@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textmill.operators import bpe as B
+from textmill.operators.bpe_train import train
 from textmill.plans.text import WORDS
 from textmill.session import shared_folder, table
 
@@ -60,7 +61,7 @@ def tokenizer(spark: SparkSession, sf_dir: str, size: int = VOCABULARY) -> B.Tok
     try:
         return B.load_tokenizer(spark, path)
     except AnalysisException:  # not stored yet
-        made = B.train(B.pretoken_counts(table(spark, sf_dir, "documents")), size)
+        made = train(B.pretoken_counts(table(spark, sf_dir, "documents")), size)
         B.save_tokenizer(spark, made, path)
         return made
 

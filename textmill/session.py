@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import re
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -73,3 +74,22 @@ def settle(df: DataFrame) -> DataFrame:
     """Cut the lineage through a reliable checkpoint in the shared folder."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+class Rounds:
+    """The tables of a run of rounds in the shared folder: each is written, read by the next round, and deleted when there are two newer ones."""
+
+    def __init__(self, df: DataFrame):
+        self.spark = df.sparkSession
+        self.folder, self.count = f"{shared_folder(self.spark)}/rounds-{uuid.uuid4().hex}", 0
+
+    def store(self, rows: DataFrame) -> DataFrame:
+        path = f"{self.folder}/{self.count}"
+        rows.write.parquet(path)
+        self._delete(f"{self.folder}/{self.count - 2}")
+        self.count += 1
+        return self.spark.read.schema(rows.schema).parquet(path)
+
+    def _delete(self, path: str) -> None:
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
