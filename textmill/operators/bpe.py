@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textmill.functions.text import PRETOKEN, PRETOKEN_JVM
+from textmill.operators.sketch import frequent
 from textmill.session import settle
 
 END_OF_TEXT = "<|endoftext|>"
@@ -36,6 +37,11 @@ def pretoken_counts(docs: DataFrame, specials: Iterable[str] = (END_OF_TEXT,), t
     return pretokens(docs, specials, text_col).groupBy("token").agg(F.count("*").alias("n"))
 
 
+def frequent_pretokens(docs: DataFrame, least: int, specials: Iterable[str] = (END_OF_TEXT,), text_col: str = "text") -> DataFrame:
+    """``token, n``: as ``pretoken_counts``, of the tokens that occur ``least`` times or more; rarer ones are dropped by a sketch before the shuffle."""
+    return frequent(pretokens(docs, specials, text_col), "token", least)
+
+
 def symbols(token: Column) -> Column:
     """The bytes of a token as hexadecimal symbols."""
     code = F.hex(F.encode(token, "UTF-8"))

@@ -31,6 +31,19 @@ QUERIES["pretoken_counts"] = pretoken_counts
 SQL["pretoken_counts"] = f"SELECT token, n FROM ({_COUNTS})"
 
 
+#: Occurrences that a pre-token needs to be reported as frequent.
+FREQUENT = 5
+
+
+def frequent_pretokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact counts of frequent pre-tokens, without a shuffle of the rare ones (AG2 under a bound)."""
+    return B.frequent_pretokens(table(spark, sf_dir, "documents"), FREQUENT)
+
+
+QUERIES["frequent_pretokens"] = frequent_pretokens
+SQL["frequent_pretokens"] = f"SELECT token, n FROM ({_COUNTS}) WHERE n >= {FREQUENT}"
+
+
 def byte_pair_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weighted counts of adjacent bytes (TX13, AG3, WN2)."""
     return B.pair_counts(B.pretoken_counts(table(spark, sf_dir, "documents")))
