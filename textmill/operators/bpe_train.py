@@ -3,14 +3,14 @@
 The distinct pre-tokens with their counts are a table of blocks of symbol ids. A round
 decides all merges of pairs that occur ``least`` times or more:
 
-1. Pair counts are summed over all blocks. Where two symbols stand side by side that do so less
+1. Pair counts are known: blocks tell them once, and then how each round changes them. Where two symbols stand side by side that do so less
    than ``least`` times, words are cut. No merge of the round reaches across a cut: whatever
    pair would lie across it occurs at most as often as the two symbols do.
 2. The fragments of all words are counted. They are few, since they consist of frequent
    pairs only, and hold every occurrence of every pair that the round may choose. ``least`` is as low as
    the bound of distinct fragments allows.
 3. One task merges the fragments greedily down to ``least``: these are the merges of the corpus.
-4. Every block applies them by an index from pairs to words.
+4. Every block applies them by an index from pairs to words, and tells the changes of pair counts.
 
 The bound of a pair holds as long as a symbol of the round has one way to be made of those
 at its beginning. A merge that makes a string of bytes which was a symbol already ends the round.
@@ -32,7 +32,7 @@ from textmill.operators.bpe import END_OF_TEXT, Tokenizer
 from textmill.session import Rounds, settle
 
 #: Words of a block, distinct fragments of a round; the span of counts, from the greatest down, that a round tries first.
-BLOCK, FRAGMENTS, SPAN = 50_000, 100_000, 8
+BLOCK, FRAGMENTS, SPAN = 50_000, 200_000, 8
 
 Pair = tuple[int, int]
 
@@ -140,20 +140,36 @@ def greedy(words: Words, symbols: Symbols, least: int, most: int) -> Iterator[Pa
                 heapq.heappush(heap, (-now, order(p[0]), order(p[1]), p))
 
 
-_SCHEMA = pa.schema([("symbols", pa.list_(pa.int32())), ("lengths", pa.list_(pa.int32())), ("counts", pa.list_(pa.int64()))])
-_BLOCKS = "symbols array<int>, lengths array<int>, counts array<long>"
+_COLUMNS = {"symbols": "int", "lengths": "int", "counts": "bigint", "pairs": "bigint", "changes": "bigint"}
+_BLOCKS = ", ".join(f"{c} array<{t}>" for c, t in _COLUMNS.items())
+_SCHEMA = pa.schema([(c, pa.list_(pa.int32() if t == "int" else pa.int64())) for c, t in _COLUMNS.items()])
+_OWN = ["symbols", "lengths", "counts"]
 
 
-def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Symbols, lengths and counts of each block."""
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+    """The arrays of each row."""
     for batch in batches:
         for k in range(batch.num_rows):
-            yield tuple(batch.column(i).slice(k, 1).flatten().to_numpy(zero_copy_only=False) for i in range(3))
+            yield tuple(c.slice(k, 1).flatten().to_numpy(zero_copy_only=False) for c in batch.columns)
 
 
-def _block(words: list[list[int]], counts: list[int]) -> pa.RecordBatch:
-    columns = [np.array([s for w in words for s in w], np.int32), np.array([len(w) for w in words], np.int32), np.array(counts, np.int64)]
-    return pa.RecordBatch.from_arrays([pa.array([c], f.type) for c, f in zip(columns, _SCHEMA, strict=True)], schema=_SCHEMA)
+def _block(words: list[list[int]], counts: list[int], changes: dict[Pair, int] | None = None) -> pa.RecordBatch:
+    """A block as a row, with the changes of its pair counts: at first these are all that it has."""
+    symbols, lengths, counts = np.array([s for w in words for s in w], np.int32), np.array([len(w) for w in words], np.int32), np.array(counts, np.int64)
+    if changes is None:
+        pair, inside, word = _pairs(symbols, lengths)
+        pairs, n = _summed(pair[inside], counts[word[:-1][inside]])
+    else:
+        some = [(a << 32 | b, n) for (a, b), n in changes.items() if n]
+        pairs, n = np.array([p for p, _ in some], np.int64), np.array([n for _, n in some], np.int64)
+    return pa.RecordBatch.from_arrays([pa.array([c], f.type) for c, f in zip([symbols, lengths, counts, pairs, n], _SCHEMA, strict=True)], schema=_SCHEMA)
+
+
+def _summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    found, at = np.unique(keys, return_inverse=True)
+    total = np.zeros(len(found), np.int64)
+    np.add.at(total, at, n)
+    return found, total
 
 
 def _lists(symbols: np.ndarray, lengths: np.ndarray) -> list[list[int]]:
@@ -185,14 +201,12 @@ def _pairs(symbols: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.nda
     return symbols[:-1].astype(np.int64) << 32 | symbols[1:], word[:-1] == word[1:], word
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``pair, n`` of each block."""
-    for symbols, lengths, counts in _rows(batches):
-        pair, inside, word = _pairs(symbols, lengths)
-        found, at = np.unique(pair[inside], return_inverse=True)
-        n = np.zeros(len(found), np.int64)
-        np.add.at(n, at, counts[word[:-1][inside]])
-        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n)], names=["pair", "n"])
+def _told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``pair, n``: the changes of all blocks of a task."""
+    pairs, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for own, changes in _rows(batches):
+        pairs, n = _summed(np.concatenate([pairs, own]), np.concatenate([n, changes]))
+    yield pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(n)], names=["pair", "n"])
 
 
 def _fragments(frequent: np.ndarray | None):
@@ -232,11 +246,12 @@ def _applied(merges: list[tuple[Pair, int]]):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for symbols, lengths, counts in _rows(batches):
-            words = Words(_lists(symbols, lengths), counts.tolist())
+            words, changes = Words(_lists(symbols, lengths), counts.tolist()), defaultdict(int)
             for pair, new in merges:
-                words.merge(pair, new)
+                for p, n in words.merge(pair, new).items():
+                    changes[p] += n
             left = [(w, n) for w, n in zip(words.words, words.weights, strict=True) if len(w) > 1]
-            yield _block([w for w, _ in left], [n for _, n in left])
+            yield _block([w for w, _ in left], [n for _, n in left], changes)
 
     return run
 
@@ -251,10 +266,12 @@ def train(counts: DataFrame, vocab_size: int, specials: Iterable[str] = (END_OF_
     specials, merges = list(specials), []
     wanted = max(0, vocab_size - 256 - len(specials))
     words = counts.where((F.octet_length("token") > 1) & (F.col("n") >= min_count)).select(F.col("token").cast("binary").alias("token"), F.col("n").cast("long").alias("n"))
-    tables, span = Rounds(counts), SPAN
+    tables, counted, span = Rounds(counts), Rounds(counts), SPAN
     state = tables.store(words.mapInArrow(_blocks(block), _BLOCKS))
+    pairs = state.where("false").selectExpr("0L AS pair", "0L AS n")
     while len(merges) < wanted:
-        pairs = settle(state.mapInArrow(_counted, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")))
+        changes = state.select("pairs", "changes").mapInArrow(_told, "pair long, n long")
+        pairs = counted.store(pairs.unionByName(changes).groupBy("pair").agg(F.sum("n").alias("n")).where("n > 0"))
         top = pairs.agg(F.max("n")).first()[0]
         if top is None:
             break
@@ -263,10 +280,12 @@ def train(counts: DataFrame, vocab_size: int, specials: Iterable[str] = (END_OF_
         least, found, limit = _round(state, pairs, top, 1 if held <= fragments else max(1, top // span), fragments, symbols)
         steps = found.coalesce(1).mapInArrow(_merges(merges, least, limit or wanted - len(merges)), "step int, left int, right int").collect()  # merges
         chosen = [(r["left"], r["right"]) for r in sorted(steps)]
-        state = tables.store(state.mapInArrow(_applied([(p, symbols.merged(p)) for p in chosen]), _BLOCKS))
+        state = tables.store(state.select(_OWN).mapInArrow(_applied([(p, symbols.merged(p)) for p in chosen]), _BLOCKS))
         merges += chosen
         # Rounds reach as far down as fragments allow: four times as far each time that there is room.
         span = max(2, top // least) * (4 if found.count() <= fragments // 4 else 1)
+    tables.close()
+    counted.close()
     symbols = Symbols(merges)
     return Tokenizer([(symbols.bytes[a], symbols.bytes[b]) for a, b in merges], specials)
 
@@ -275,7 +294,7 @@ def _round(state: DataFrame, pairs: DataFrame, top: int, least: int, most: int,
     """The lowest count of a round, ``least`` or so much more that fragments and frequent pairs are ``most`` at most; the fragments, and a bound of merges."""
 
     def cut(frequent: np.ndarray | None) -> DataFrame:
-        return settle(state.mapInArrow(_fragments(frequent), "fragment binary, n long").groupBy("fragment").agg(F.sum("n").alias("n")))
+        return settle(state.select(_OWN).mapInArrow(_fragments(frequent), "fragment binary, n long").groupBy("fragment").agg(F.sum("n").alias("n")))
 
     while True:
         rows = pairs.where(F.col("n") >= least).select("pair").limit(most + 1).toArrow() if least > 1 else None  # a bounded broadcast

@@ -9,7 +9,9 @@ import uuid
 import zipfile
 from pathlib import Path
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def get_spark(app: str = "textmill", master: str | None = None, **conf: str) -> SparkSession:
@@ -43,16 +45,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
-def spread(df: DataFrame, least: int = 2 << 20) -> DataFrame:
-    """Rows over all cores, where a table of ``least`` bytes or more is read in fewer tasks than there are cores.
+def spread(df: DataFrame, least: int = 2 << 20, group: int = 128 << 20) -> DataFrame:
+    """Rows over all cores, where a table of ``least`` bytes or more lies in fewer files than there are cores.
 
-    A file of one row group is one task, whatever is done with its rows. Tables of many
-    files or splits are left as they are: nothing is shuffled at scale.
+    A row group is read by one task, however many splits its file is cut into, and files of up to ``group`` bytes
+    are mostly one row group. Tables of many or of larger files are left as they are:
+    nothing is shuffled at scale.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < least or df.rdd.getNumPartitions() >= cores:
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    if size < least or size > group * cores:
         return df
-    return df.repartition(cores)
+    files = len(df.inputFiles())
+    return df if files >= cores or size > group * files else df.repartition(cores)
+
+
+def stored(spark: SparkSession, sf_dir: str, name: str, tables: tuple[str, ...], load, make):
+    """What was made of some tables: made and stored once, then loaded, as long as the files of the tables are the same.
+
+    ``load`` gets a path in the shared folder and fails with an ``AnalysisException`` if nothing is there; ``make`` gets
+    it, stores there and returns what it made.
+    """
+    files = spark.read.format("binaryFile").load([f"{sf_dir}/{t}.parquet" for t in tables]).select("path", "length", "modificationTime")
+    state = files.agg(F.sum(F.xxhash64("path", "length", "modificationTime").cast("decimal(38,0)"))).first()[0]
+    path = f"{shared_folder(spark)}/{name}-{state}"
+    try:
+        return load(path)
+    except AnalysisException:  # not stored yet
+        return make(path)
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -90,6 +110,10 @@ class Rounds:
         self.count += 1
         return self.spark.read.schema(rows.schema).parquet(path)
 
+    def close(self) -> None:
+        """Delete all tables, when nothing reads them any more."""
+        self._delete(self.folder)
+
     def _delete(self, path: str) -> None:
         where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
