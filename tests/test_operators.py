@@ -442,3 +442,36 @@ def test_broken_records_are_skipped():
         data = [bytes(m) for m in members]
         data[broken] = data[broken][:-8] + b"\0" * 8
         assert [r[3][:1] for r in records(b"".join(data))] == [b for k, b in enumerate((b"a", b"b", b"c")) if k != broken]
+
+
+def test_spread(spark, tmp_path):
+    """A table of one row group is read by one task, and its rows are dealt over all cores then."""
+    from textmill.session import spread
+
+    path = str(tmp_path / "one")
+    spark.range(400_000).selectExpr("id", "sha2(cast(id AS string), 256) AS text").coalesce(1).write.parquet(path)
+    df = spark.read.parquet(path)
+    rows = spread(df).groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert len(rows) == spark.sparkContext.defaultParallelism and min(r["count"] for r in rows) > 50_000
+    assert spread(df, least=1 << 40) is df and spread(df, group=1 << 20) is df
+
+
+def test_empty_sets_have_no_signature(spark):
+    sets = spark.createDataFrame([(1, ["a b"]), (2, []), (3, None), (4, ["a b", "c"])], "doc_id long, grams array<string>")
+    assert sorted(r.doc_id for r in dedup.minhash(sets, 16).collect()) == [1, 4]
+
+
+def test_curation_with_an_adult_model(spark, sf, tmp_path):
+    """The step for adult content takes a stored model: documents that it knows go, whatever else is said of them."""
+    from textmill.operators import models
+    from textmill.plans import corpus
+
+    kept = {r.doc_id for r in corpus.curation(spark, sf).collect()}
+    docs_ = spark.read.parquet(f"{sf}/documents.parquet")
+    some = sorted(kept)[::3]
+    rows = docs_.select("doc_id", "text", F.col("doc_id").isin(some).cast("int").alias("label"))
+    models.save_model(spark, models.train_bag(rows, buckets=20_000, dim=16, epochs=5, rate=1.0, shards=1, passes=20), str(tmp_path / "adult"))
+    scored = corpus.stored_verdicts(spark, sf, str(tmp_path / "adult")).where("adult_label = '1' and adult_score > 0.8")
+    gone = {r.doc_id for r in scored.collect()}
+    left = {r.doc_id for r in corpus.curation(spark, sf, str(tmp_path / "adult")).collect()}
+    assert len(gone & set(some)) > len(some) / 2 and not left & gone

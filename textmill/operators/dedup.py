@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from hashlib import md5
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -53,30 +53,29 @@ def minhash(sets: DataFrame, hashes: int = 128) -> DataFrame:
     """``doc_id, sig``: the least hash of a document's n-grams for each of a family of hashes; empty sets have none.
 
     One digest of an n-gram gives two numbers a and b; the i-th hash is a + i*b
-    modulo a prime. A set is one row, so nothing is shuffled: Arrow batches of sets go to
-    numpy, which has all hashes of an n-gram in one operation.
+    modulo a prime. A set is one row, so nothing is shuffled: digests are made in the JVM, eight bytes
+    of each go to numpy in Arrow batches, which has all hashes of an n-gram in one operation.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = np.arange(hashes, dtype=np.uint64)[:, None]
         for batch in batches:
-            rows, gram = batch.column(1).flatten(), []
-            for k in range(0, len(rows), CHUNK):
-                gram.append(b"".join(md5(x).digest()[:8] for x in rows.slice(k, CHUNK).cast(pa.binary()).to_pylist()))
-            pairs = np.frombuffer(b"".join(gram), ">u4").astype(np.uint64).reshape(-1, 2)
-            ends = np.cumsum(batch.column(1).value_lengths().to_numpy())
-            sigs = np.empty((len(ends), hashes), np.int64)
-            for k, end in enumerate(ends):
-                begin = ends[k - 1] if k else 0
+            # Sets without members are left out here: a filter in the plan would make the n-grams twice.
+            has = pc.greater(pc.binary_length(batch.column(1)), 0)
+            ids, blobs = batch.column(0).filter(has), batch.column(1).filter(has).to_pylist()
+            sigs = np.empty((len(blobs), hashes), np.int64)
+            for k, blob in enumerate(blobs):
+                pairs = np.frombuffer(blob, ">u4").astype(np.uint64).reshape(-1, 2)
                 least = np.full(hashes, PRIME, np.uint64)
-                for at in range(begin, end, CHUNK):
-                    a, b = pairs[at : min(end, at + CHUNK)].T
+                for at in range(0, len(pairs), CHUNK):
+                    a, b = pairs[at : at + CHUNK].T
                     least = np.minimum(least, ((a + step * b) % np.uint64(PRIME)).min(1))
                 sigs[k] = least
-            sig = pa.ListArray.from_arrays(pa.array(np.arange(len(ends) + 1, dtype=np.int32) * hashes), pa.array(sigs.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), sig], names=["doc_id", "sig"])
+            sig = pa.ListArray.from_arrays(pa.array(np.arange(len(blobs) + 1, dtype=np.int32) * hashes), pa.array(sigs.ravel()))
+            yield pa.RecordBatch.from_arrays([ids, sig], names=["doc_id", "sig"])
 
-    return sets.where("size(grams) > 0").select(F.col("doc_id").cast("long"), "grams").mapInArrow(run, "doc_id long, sig array<long>")
+    digests = F.unhex(F.array_join(F.transform("grams", lambda g: F.substring(F.md5(g), 1, 16)), ""))
+    return sets.select(F.col("doc_id").cast("long"), digests.alias("digests")).mapInArrow(run, "doc_id long, sig array<long>")
 
 
 def lsh_buckets(signatures: DataFrame, bands: int = 16) -> DataFrame:

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from textmill.functions import text as T
 from textmill.operators import classify as C
+from textmill.operators import models as M
 from textmill.plans.text import ALL_RULES, MEASURES, WORDS
-from textmill.session import table
+from textmill.session import stored, table
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -96,3 +97,37 @@ def quality_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["quality_filter"] = quality_filter
+
+
+#: Labelled rows that a language model learns from, with the least hashes of their ids.
+LANG_ROWS = 4000
+#: Rows of a shard: as many shards as they fill.
+SHARD_ROWS = 4000
+
+
+def bag_model(spark: SparkSession, sf_dir: str, name: str) -> M.BagModel:
+    """The stored model for ``lang``, ``toxic`` or ``quality``; it is trained and stored once for the files of the tables."""
+    docs = table(spark, sf_dir, "documents")
+
+    def make(path: str) -> M.BagModel:
+        if name == "lang":
+            rows = docs.where("lang is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(LANG_ROWS).select("doc_id", "text", F.col("lang").alias("label"))
+        else:
+            rows = docs.select("doc_id", "text").join(_labels(spark, sf_dir, name), "doc_id")
+        # Few rows are one shard and passed over more often, so that any model takes some 20,000 steps.
+        n = max(1, rows.count())
+        made = M.train_bag(rows, dim=M.DIM if name == "quality" else 16, rate=1.0, shards=min(M.SHARDS, -(-n // SHARD_ROWS)), passes=max(1, SHARD_ROWS // n))
+        M.save_model(spark, made, path)
+        return made
+
+    return stored(spark, sf_dir, f"model-{name}", ("documents", "labels"), lambda path: M.load_model(spark, path), make)
+
+
+def bag_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language, toxicity and quality of each document by stored models, in one pass over the texts (CP11, TX2, FL1, FL4, FL5)."""
+    scored = M.score_all(table(spark, sf_dir, "documents"), {name: bag_model(spark, sf_dir, name) for name in ("lang", "toxic", "quality")})
+    rules = {"is_english": "lang_label = 'en' AND lang_score >= 0.65", "toxic_passed": "NOT (toxic_label = '1' AND toxic_score > 0.8)", "quality_passed": "NOT (quality_label = '0' AND quality_score > 0.7)"}
+    return scored.withColumns({k: F.expr(v) for k, v in rules.items()})
+
+
+QUERIES["bag_verdicts"] = bag_verdicts

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from textmill.operators import classify as C
 from textmill.operators import dedup as D
-from textmill.plans.classify import _LANG, _QUALITY, _TOXIC, _bayes_sql, _labels
+from textmill.operators import models as M
+from textmill.plans.classify import _LANG, _QUALITY, _TOXIC, _bayes_sql, _labels, bag_model
 from textmill.plans.text import ALL_RULES, MEASURES, measured
 from textmill.session import settle, table
 from textmill.streaming.curation import activity
@@ -69,9 +70,19 @@ SQL["curation_funnel"] = (
 )
 
 
-def curation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The curated corpus: filters, then lines that occur once, then near duplicates, by document id throughout (CP1-CP3)."""
-    kept = verdicts(spark, sf_dir).where(F.expr(list(_cumulative().values())[-1])).select("doc_id")
+def stored_verdicts(spark: SparkSession, sf_dir: str, adult: str | None = None) -> DataFrame:
+    """As ``verdicts``, by stored models that score all texts in one pass; ``adult`` is the folder of one for adult content, 1 for what it is."""
+    models = {name: bag_model(spark, sf_dir, name) for name in ("lang", "toxic", "quality")}
+    if adult is not None:
+        models["adult"] = M.load_model(spark, adult)
+    rules = measured(spark, sf_dir).select("doc_id", "source", F.expr(ALL_RULES).alias("heuristics"))
+    rows = rules.join(M.score_all(table(spark, sf_dir, "documents"), models), "doc_id")
+    return rows if adult is not None else rows.withColumns({"adult_label": F.lit(None).cast("string"), "adult_score": F.lit(None).cast("double")})
+
+
+def curation(spark: SparkSession, sf_dir: str, adult: str | None = None) -> DataFrame:
+    """The curated corpus: filters by stored models, then lines that occur once, then near duplicates, by document id throughout (CP1-CP3)."""
+    kept = stored_verdicts(spark, sf_dir, adult).where(F.expr(list(_cumulative().values())[-1])).select("doc_id")
     docs = table(spark, sf_dir, "documents").join(kept, "doc_id", "left_semi").select("doc_id", "source", "text")
     lines = D.exact_line_dedup(docs).where("text <> ''").join(docs.select("doc_id", "source"), "doc_id")
     unique = D.minhash_dedup(settle(lines.select("doc_id", "source", "text")))

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textmill.operators import bpe as B
 from textmill.operators.bpe_train import train
 from textmill.plans.text import WORDS
-from textmill.session import shared_folder, table
+from textmill.session import stored, table
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -68,16 +67,14 @@ VOCABULARY = 10_000
 
 def tokenizer(spark: SparkSession, sf_dir: str, size: int = VOCABULARY) -> B.Tokenizer:
     """The tokenizer of a corpus: trained and stored once a session, then loaded, as long as the files of the table are the same."""
-    files = spark.read.format("binaryFile").load(f"{sf_dir}/documents.parquet").select("path", "length", "modificationTime")
-    state = files.agg(F.sum(F.xxhash64("path", "length", "modificationTime").cast("decimal(38,0)"))).first()[0]
-    path = f"{shared_folder(spark)}/tokenizer-{size}-{state}"
-    try:
-        return B.load_tokenizer(spark, path)
-    except AnalysisException:  # not stored yet
+
+    def make(path: str) -> B.Tokenizer:
         made = train(B.pretoken_counts(table(spark, sf_dir, "documents")), size)
         B.save_tokenizer(spark, made, path)
         return made
 
+    return stored(spark, sf_dir, f"tokenizer-{size}", ("documents",), lambda path: B.load_tokenizer(spark, path), make)
+
 
 def bpe_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The merges of a trained vocabulary (CP5, AG4, JN10)."""
