@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textmill.llm.common import settle, shared_folder
@@ -39,9 +39,19 @@ MOST_BROADCAST = 200_000
 KEY, FOUND = "_pipeline_key", "_pipeline_found"
 
 
+def _digest(*columns: str) -> Column:
+    """128 bits of some columns, in which null differs from empty."""
+    return F.md5(F.to_json(F.struct(*[F.col(c).cast("string").alias(f"c{k}") for k, c in enumerate(columns)])))
+
+
 def _keyed(docs: DataFrame, *more: str) -> DataFrame:
     """A key that is never null and tells apart whatever the operators can tell apart: rows of one key are treated alike."""
-    return docs.withColumn(KEY, F.concat_ws("/", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.xxhash64("text", *more).cast("string")))
+    return docs.withColumn(KEY, _digest("doc_id", "text", *more))
+
+
+def _number() -> Column:
+    """A whole number for a row, by which the join of n-grams knows it; rows alike in id and text have the same."""
+    return F.xxhash64(F.col("doc_id"), F.coalesce("text", F.lit("")))
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,10 +65,11 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """Keep one document of each group of linked ones: the one with the least id, one without an id only if none has one.
 
     Rows are known by a hash of id and text, so that rows with a null or repeated id are
-    judged too; rows alike in both are one document. Documents without a word are linked
-    with nothing and stay.
+    judged too; rows alike in both are one document. Different rows may have the same hash, which
+    is 64 bits as the join takes them: before anything goes, the rows that would are compared by 128 bits,
+    and all rows of such a hash stay. Documents without a word are linked with nothing and stay.
     """
-    keyed = docs.withColumn(KEY, F.xxhash64(F.col("doc_id"), F.coalesce("text", F.lit(""))))
+    keyed = docs.withColumn(KEY, _number())
     groups = settle(ngram_jaccard_join(keyed, id_col=KEY).select(F.col("doc_id").alias(KEY), "component_id", "n_shingles"))
     # Only rows of a group of two or more are compared: the rest go through. Groups may be
     # large: their rows meet few group keys by broadcast, and the first is a partial minimum.
@@ -66,15 +77,17 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     members = settle(groups.select(KEY, "component_id").join(_few(linked), "component_id", "left_semi").distinct())
     ids = keyed.select(KEY, "doc_id").join(_few(members), KEY)
     first = ids.groupBy("component_id").agg(F.min_by(KEY, F.struct(F.col("doc_id").isNull(), "doc_id", KEY)).alias("first"))
-    lost = members.join(_few(settle(first)), "component_id").where(F.col(KEY) != F.col("first")).select(KEY)
+    lost = settle(members.join(_few(settle(first)), "component_id").where(F.col(KEY) != F.col("first")).select(KEY))
     repeated = groups.where("n_shingles > 0").groupBy(KEY).agg(F.count("*").alias("n")).where("n > 1").select(KEY)
-    lost = settle(lost)
     repeated = settle(repeated.join(lost, KEY, "left_anti"))
-    stay = keyed.join(_few(lost.unionByName(repeated)), KEY, "left_anti")
-    if repeated.isEmpty():
+    gone = lost.select(KEY, F.lit(False).alias(FOUND)).unionByName(repeated.select(KEY, F.lit(True).alias(FOUND)))
+    digests = keyed.select(KEY, _digest("doc_id", "text").alias("digest")).join(_few(gone), KEY)
+    gone = settle(digests.groupBy(KEY, FOUND).agg(F.min("digest").alias("a"), F.max("digest").alias("b")).where("a = b").select(KEY, FOUND))
+    stay = keyed.join(_few(gone), KEY, "left_anti")
+    once = gone.where(FOUND).select(KEY)
+    if once.isEmpty():
         return stay.select(*docs.columns)
-    once = keyed.join(_few(repeated), KEY, "left_semi").dropDuplicates([KEY])
-    return stay.unionByName(once).select(*docs.columns)
+    return stay.unionByName(keyed.join(_few(once), KEY, "left_semi").dropDuplicates([KEY])).select(*docs.columns)
 
 
 def _few(keys: DataFrame) -> DataFrame:

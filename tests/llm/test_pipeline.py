@@ -2,12 +2,14 @@
 
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 from test_llm_queries import ODD, base_measures, base_personal, brute_components, edit, shingles
 
 import corpus_pipeline
 from textmill.llm.decontamination import normal_words
+from textmill.llm.queries import SQL
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -71,6 +73,11 @@ def test_stages(spark, folder, tmp_path):
         if name == "mixing":
             assert docs.columns == [*COLUMNS, "copies"]
             assert set(got) <= set(want) and all(r.copies >= 1 and r.text == want[i] for i, r in got.items())
+            # The copies are those that SQL tells of what the stage before kept.
+            con = duckdb.connect()
+            con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/{k - 1}/*.parquet')")
+            told = {i: n for i, n in con.execute(f"SELECT doc_id, copies FROM ({SQL['op7_mixing']})").fetchall() if n}
+            assert {i: r.copies for i, r in got.items()} == told
             total = sum(len(t.split()) for t in want.values())
             assert abs(sum(r.copies * len(r.text.split()) for r in got.values()) - total) <= 3 * 90
         else:
@@ -92,6 +99,18 @@ def test_near_duplicates_without_ids(spark, folder):
     assert sum(not r.text for r in kept.collect()) == 4
 
 
+def test_rows_of_one_hash(spark, folder, monkeypatch):
+    """Different rows that share a 64-bit hash all stay; rows that are alike are still one."""
+    texts = [" ".join(f"{x}{i}" for i in range(60)) for x in "abcd"]
+    rows = [(1, texts[0]), (2, texts[0]), (3, texts[1]), (4, texts[2]), (4, texts[2]), (5, texts[3]), (6, texts[3] + " end")]
+    docs = spark.createDataFrame([(*r, "en", "s", 0) for r in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(2)
+    # The rows 2 and 3 share a hash: one is a copy of row 1, the other is not.
+    monkeypatch.setattr(corpus_pipeline, "_number", lambda: F.when(F.col("doc_id").isin(2, 3), F.lit(77)).otherwise(F.col("doc_id") * 1000))
+    got = sorted((r.doc_id, r.text) for r in corpus_pipeline.near_duplicate_stage(spark, docs, folder[0]).collect())
+    assert (3, texts[1]) in got and {(4, texts[2]), (5, texts[3])} <= set(got)
+    assert len(got) == len(set(got)) and (6, texts[3] + " end") not in got
+
+
 def test_decontamination_without_ids(spark, folder):
     path, _, items = folder
     rows = [(None, "x " + items[0][1]), (1, items[1][1] + " y"), (1, "clean text of its own"), (None, "clean too"), (2, None)]

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from textmill.llm.common import parts_of, settle, table
 
 #: Words that may differ, per word of an item; characters of items in one broadcast.
-RATE, BLOCK = 0.2, 16_000_000
+RATE, BLOCK = 0.2, 2_000_000
 _WORDS = re.compile(r"[^\W_]+")
 
 
@@ -134,9 +134,6 @@ class Matcher:
         return myers(back, m, words[::-1], anchored=True)[1]
 
 
-_FOUND = "doc_id long, item_id long, distance long, first_word long, n_words long"
-
-
 def benchmark_matches(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
     """Benchmark items in texts: ``doc_id, item_id, distance, first_word, n_words``, the best passage of each pair.
 
@@ -147,14 +144,19 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame, rate: float = RATE,
     a null id are matched and keep it; repeated rows match each. Items with a null
     or repeated id are items of their own. Texts are read whole.
     """
-    spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    return _matches(docs, benchmark, rate, block)
+
+
+def _matches(docs: DataFrame, benchmark: DataFrame, rate: float, block: int) -> DataFrame:
+    """The matches of ``docs`` with ``id, text``; an id may be of any type."""
+    schema = f"doc_id {docs.schema['id'].dataType.simpleString()}, item_id long, distance long, first_word long, n_words long"
     out = None
     for items in _blocks(benchmark, block):
-        sent = spark.sparkContext.broadcast(items)
-        found = docs.mapInArrow(_finder(sent, rate), _FOUND)
+        sent = docs.sparkSession.sparkContext.broadcast(items)
+        found = docs.mapInArrow(_finder(sent, rate), schema)
         out = found if out is None else out.unionByName(found)
-    return docs.where("false").selectExpr("id AS doc_id", "id AS item_id", "id AS distance", "id AS first_word", "id AS n_words") if out is None else out
+    return docs.sparkSession.createDataFrame([], schema) if out is None else out
 
 
 def _blocks(benchmark: DataFrame, block: int) -> Iterator[list[tuple[int, str]]]:
@@ -170,12 +172,22 @@ def _blocks(benchmark: DataFrame, block: int) -> Iterator[list[tuple[int, str]]]
         yield items
 
 
+#: The matcher of the last block that a worker process had: the tasks that follow one another there share it.
+_HELD: dict[tuple, Matcher] = {}
+
+
 def _finder(sent, rate: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(sent.value, rate)
+        items = sent.value
+        key = (rate, len(items), hash(tuple(items)))
+        if key not in _HELD:
+            _HELD.clear()
+            _HELD[key] = Matcher(items, rate)
+        matcher = _HELD[key]
         for batch in parts_of(batches, "text"):
-            rows = [(i, *x) for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for x in matcher.find(text)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(5)], names=["doc_id", "item_id", "distance", "first_word", "n_words"])
+            found = [(k, *x) for k, text in enumerate(batch.column(1).to_pylist()) for x in matcher.find(text)]
+            ids = batch.column(0).take(pa.array([r[0] for r in found], pa.int64()))
+            yield pa.RecordBatch.from_arrays([ids, *(pa.array([r[k] for r in found], pa.int64()) for k in range(1, 5))], names=["doc_id", "item_id", "distance", "first_word", "n_words"])
 
     return run
 
@@ -183,12 +195,13 @@ def _finder(sent, rate: float):
 def decontaminate(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, text_col: str = "text") -> DataFrame:
     """The documents in which no benchmark item was found, with all their columns.
 
-    A document is known by a hash of its text, so that every row is judged by its own
+    A document is known by 128 bits of its text, so that every row is judged by its own
     text, whether its id is null or repeated.
     """
     key = "_decontamination_key"
-    keyed = docs.withColumn(key, F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    hit = settle(benchmark_matches(keyed, benchmark, rate, key, text_col).select(F.col("doc_id").alias(key)).distinct())
+    keyed = docs.withColumn(key, F.md5(F.coalesce(F.col(text_col), F.lit(""))))
+    found = _matches(keyed.select(F.col(key).alias("id"), F.col(text_col).alias("text")), benchmark, rate, BLOCK)
+    hit = settle(found.select(F.col("doc_id").alias(key)).distinct())
     return keyed.join(hit, key, "left_anti").select(*docs.columns)
 
 
