@@ -367,14 +367,96 @@ def test_archives_are_linear():
     assert peak < 30 << 20
 
 
+def test_archive_in_ranges(spark, tmp_path):
+    """A file is read by many tasks: each record once, in order; what is skipped is what was planted."""
+    from pyspark.sql import Observation
+
+    rng = random.Random(5)
+    inner = gzip.compress(b"no record " * 50)  # a member's mark within a record
+    bodies = [bytes(rng.randrange(256) for _ in range(rng.choice([0, 10, 3000]))) + (inner if k % 7 == 0 else b"") + b"%d" % k for k in range(200)]
+    packed = [gzip.compress(_record("conversion" if k % 3 else "response", x)) for k, x in enumerate(bodies)]
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(packed))
+    (tmp_path / "b.warc.gz").write_bytes(b"".join(packed[:50]))
+    (tmp_path / "c.warc").write_bytes(b"".join(_record("conversion", x) for x in bodies[:9]))
+    for size in (777, 20_000, 1 << 28):
+        seen = Observation()
+        got = sorted(warc.read_warc(spark, str(tmp_path / "*"), size=size, lost=seen).collect(), key=lambda r: (r.file, r.rec_no))
+        assert [bytes(r.payload) for r in got] == bodies + bodies[:50] + bodies[:9]
+        assert seen.get == {"records": 259, "lost": 0}
+        assert len({(r.file, r.rec_no) for r in got}) == 259
+    assert warc.read_warc(spark, str(tmp_path / "*"), size=777).rdd.getNumPartitions() > 100
+    assert warc.read_warc(spark, str(tmp_path / "a.warc.gz"), ("response",), size=5000).count() == 67
+
+    broken = [bytearray(x) for x in packed[:40]]
+    for k in (4, 17, 30):
+        broken[k][len(broken[k]) // 2] ^= 0xFF
+    (tmp_path / "d.wet.gz").write_bytes(b"".join(map(bytes, broken)) + gzip.compress(b"WARC/1.0\r\nWARC-Type: conversion\r\nContent-Length: x\r\n\r\n") + gzip.compress(_record("conversion", b"good")) + gzip.compress(_record("conversion", b"bad \xff")))
+    for size in (600, 1 << 28):
+        seen, bad = Observation(), Observation()
+        got = sorted(warc.read_warc(spark, str(tmp_path / "d.wet.gz"), size=size, lost=seen).collect(), key=lambda r: r.rec_no)
+        assert [bytes(r.payload) for r in got] == [x for k, x in enumerate(bodies[:40]) if k not in (4, 17, 30)] + [b"good", b"bad \xff"]
+        assert seen.get == {"records": 39, "lost": 4}
+        assert warc.wet_documents(spark, str(tmp_path / "d.wet.gz"), "strict", bad=bad).where("text = 'good'").count() == 1
+        assert bad.get["undecodable"] >= 1
+
+
+def test_committed_files(spark, tmp_path):
+    """All files of a write appear or none: a task that fails and runs again leaves no trace, an error leaves the folder as it was."""
+    from textmill.sources.sink import write_files
+
+    def names():
+        return sorted(str(f.relative_to(tmp_path / "out")) for f in (tmp_path / "out").rglob("*") if f.is_file() and f.name != "_SUCCESS" and "_temporary" not in str(f))
+
+    rows = spark.createDataFrame([(f"f{k % 7}", k, str(k)) for k in range(100)], "name string, k int, content string")
+    write_files(rows.repartition(5, "name").sortWithinPartitions("name", "k"), str(tmp_path / "out"))
+    assert names() == [f"f{k}" for k in range(7)]
+    assert (tmp_path / "out" / "f3").read_text() == "".join(str(k) for k in range(100) if k % 7 == 3)
+    # Fewer files, one of them in a folder: nothing of the first write is left.
+    write_files(rows.where("k < 2").withColumn("name", F.concat(F.lit("x/"), "name")).coalesce(1), str(tmp_path / "out"))
+    assert names() == ["x/f0", "x/f1"]
+    failing = rows.repartition(5, "name").sortWithinPartitions("name", "k").withColumn("content", F.when(F.col("k") == 99, F.raise_error(F.lit("killed"))).otherwise(F.col("content")))
+    for bad, match in ((failing, "killed"), (rows.coalesce(1), "lie together"), (rows.limit(1).withColumn("name", F.lit("../up")), "no name"), (rows.sortWithinPartitions("name").repartition(3), "together|same name")):
+        with pytest.raises(Exception, match=match):
+            write_files(bad, str(tmp_path / "out"))
+        assert names() == ["x/f0", "x/f1"]
+    # What tasks wrote after their job was given up is never seen, and the next write deletes it.
+    write_files(rows.coalesce(1).sortWithinPartitions("name", "k"), str(tmp_path / "out"))
+    assert names() == [f"f{k}" for k in range(7)] and not list((tmp_path / "out").glob("_temporary*"))
+
+
+def test_attempts_leave_no_files(tmp_path):
+    """An attempt that is run twice writes twice; only what is committed gets a name."""
+    import pyarrow as pa
+
+    from textmill.sources.sink import _Writer
+
+    writer = _Writer(str(tmp_path / "out"), "run")
+    batch = pa.RecordBatch.from_arrays([pa.array(["a", "a", "b"]), pa.array([b"1", b"2", None], pa.binary())], names=["name", "content"])
+    writer.write(iter([batch]))  # an attempt whose executor was lost
+    writer.commit([writer.write(iter([batch])), None, writer.write(iter([]))])
+    assert {f.name: f.read_bytes() for f in (tmp_path / "out").iterdir() if f.name != "_SUCCESS"} == {"a": b"12", "b": b""}
+
+
+def test_one_output_for_each_input(spark, tmp_path):
+    for name in ("one", "two"):
+        (tmp_path / f"{name}.wet").write_bytes(b"".join(_record("conversion", f" {name} {k}\n".encode()) for k in range(30)))
+    files.write_by_file(warc.wet_documents(spark, str(tmp_path / "*.wet")).where("rec_no % 2 = 0"), str(tmp_path / "out"), (".wet", ".txt"))
+    got = {f.name: f.read_text() for f in (tmp_path / "out").iterdir() if f.suffix == ".txt"}
+    assert got == {f"{n}.txt": "".join(f"{n} {k}\n\n" for k in range(0, 30, 2)) for n in ("one", "two")}
+
+
 def test_token_sink(spark, tmp_path):
     rows = spark.createDataFrame([(k, [k, 65535]) for k in range(50)] + [(99, [])], "doc_id long, ids array<int>").repartitionByRange(3, "doc_id")
     told = files.write_token_file(rows, str(tmp_path / "t")).collect()
     assert sum(r.n_tokens for r in told) == 100 and len(told) == 3
-    back = files.read_token_files(spark, str(tmp_path / "t")).orderBy("file", "start").collect()
+    back = files.read_token_files(spark, str(tmp_path / "t" / "tokens-*")).orderBy("file", "start").collect()
     assert [x for r in back for x in r.ids] == [x for k in range(50) for x in (k, 65535)]
     with pytest.raises(Exception, match="out of range"):
-        files.write_token_file(spark.createDataFrame([(1, [65536])], "doc_id long, ids array<int>"), str(tmp_path / "u"))
+        files.write_token_file(spark.createDataFrame([(1, [65536])], "doc_id long, ids array<int>"), str(tmp_path / "t"))
+    # The failed write left all as it was; one with fewer partitions leaves no old file.
+    assert files.read_token_files(spark, str(tmp_path / "t" / "tokens-*")).agg(F.sum(F.size("ids"))).first()[0] == 100
+    assert files.write_token_file(rows.coalesce(1), str(tmp_path / "t")).count() == 1
+    assert files.read_token_files(spark, str(tmp_path / "t" / "tokens-*")).agg(F.sum(F.size("ids"))).first()[0] == 100
 
 
 def test_files(spark, tmp_path):
@@ -403,6 +485,10 @@ def test_token_files(spark, tmp_path):
     for name in ("a.npy", "b.bin"):
         rows = files.read_token_files(spark, str(tmp_path / name), chunk=30_000).orderBy("start").collect()
         assert [x for r in rows for x in r.ids] == ids.tolist() and [r.start for r in rows] == [0, 30_000, 60_000]
+        many = files.read_token_files(spark, str(tmp_path / name), chunk=9_000, size=10_001)
+        assert many.select(F.spark_partition_id()).distinct().count() >= 14
+        rows = many.orderBy("start").collect()
+        assert [x for r in rows for x in r.ids] == ids.tolist() and all(ids[r.start] == r.ids[0] for r in rows)
 
 
 def test_streams(spark, tmp_path):

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textmill.functions.text import strip
 from textmill.operators.bpe import END_OF_TEXT
+from textmill.sources.ranges import RANGE, file_ranges, opened
+from textmill.sources.sink import write_files
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -30,22 +33,37 @@ def read_runs(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("parameters long, compute_budget double, final_loss double").option("multiLine", True).json(path)
 
 
-def read_token_files(spark: SparkSession, path: str, chunk: int = 1 << 16) -> DataFrame:
-    """``file, start, ids``: flat files of unsigned 16-bit little-endian ids, raw or as one-dimensional ``.npy``, in chunks."""
-    import io
+def read_token_files(spark: SparkSession, path: str, chunk: int = 1 << 16, size: int = RANGE) -> DataFrame:
+    """``file, start, ids``: flat files of unsigned 16-bit little-endian ids, raw or as one-dimensional ``.npy``, in chunks.
 
+    A file is read by a task for each ``size`` bytes, whatever its size, and a task holds a chunk of it;
+    ``start`` is the place of a chunk's first id in its file.
+    """
     import numpy as np
-    import pandas as pd
 
     def run(batches):
         for batch in batches:
-            for file, content in zip(batch["path"], batch["content"], strict=True):
-                data = bytes(content)
-                ids = np.load(io.BytesIO(data)) if data[:6] == b"\x93NUMPY" else np.frombuffer(data, "<u2", len(data) // 2)
-                for k in range(0, len(ids), chunk):
-                    yield pd.DataFrame({"file": [file], "start": [k], "ids": [ids[k : k + chunk].astype("int32")]})
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "file string, start long, ids array<int>")
+            for file, begin, end in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                with opened(file) as raw:
+                    head, kind = 0, np.dtype("<u2")
+                    if raw.read(6) == b"\x93NUMPY":
+                        raw.seek(0)
+                        version = np.lib.format.read_magic(raw)
+                        shape, _, kind = (np.lib.format.read_array_header_1_0 if version == (1, 0) else np.lib.format.read_array_header_2_0)(raw)
+                        if len(shape) != 1 or kind.kind not in "iu":
+                            raise ValueError(f"{file} is no one-dimensional array of whole numbers")
+                        head = raw.tell()
+                    # The ids that begin in the range, in chunks that begin at multiples of the chunk.
+                    total = (raw.size() - head) // kind.itemsize
+                    first, last = (min(total, max(0, -(-(x - head) // kind.itemsize))) for x in (begin, end))
+                    raw.seek(head + first * kind.itemsize)
+                    while first < last:
+                        n = min(chunk - first % chunk, last - first)
+                        ids = np.frombuffer(raw.read(n * kind.itemsize), kind).astype(np.int32)
+                        yield pa.RecordBatch.from_arrays([pa.array([file]), pa.array([first], pa.int64()), pa.array([ids], pa.list_(pa.int32()))], names=["file", "start", "ids"])
+                        first += n
+
+    return file_ranges(spark, path, size).mapInArrow(run, "file string, start long, ids array<int>")
 
 
 def base_name(path: Column) -> Column:
@@ -83,33 +101,35 @@ def write_tokens(rows: DataFrame, path: str, bits: int = 16) -> None:
 def write_token_file(rows: DataFrame, path: str) -> DataFrame:
     """Ids as flat unsigned 16-bit little-endian files, a file for each partition in its order of rows: ``file, n_tokens``.
 
-    Files are written under a name of their own and moved when they are whole, so a task
-    that runs again leaves one file. An id that does not fit stops the write. ``path`` is a
-    folder in any store that Arrow knows; ``read_token_files`` reads it.
+    Files appear together when all are whole, and the folder holds nothing of an earlier
+    write then (see ``write_files``). An id that does not fit stops the write, and the folder stays as it was.
+    ``read_token_files`` reads it.
     """
-    import uuid
-
     import numpy as np
-    import pyarrow as pa
-    from pyarrow import fs
-
-    where = path if "://" in path else f"file://{path}"
 
     def run(batches):
         from pyspark import TaskContext
 
-        store, folder = fs.FileSystem.from_uri(where)
-        store.create_dir(folder, recursive=True)
-        name, part, total = f"{folder}/tokens-{TaskContext.get().partitionId():05d}.bin", f"{folder}/.{uuid.uuid4().hex}", 0
-        with store.open_output_stream(part) as out:
-            for batch in batches:
-                ids = batch.column(0).flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-                if len(ids) and (ids.min() < 0 or ids.max() > 0xFFFF):
-                    raise ValueError(f"token id out of range: {ids.max() if ids.max() > 0xFFFF else ids.min()}")
-                out.write(ids.astype("<u2").tobytes())
-                total += len(ids)
-        store.move(part, name)
-        yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([total], pa.int64())], names=["file", "n_tokens"])
-
-    done = rows.select("ids").mapInArrow(run, "file string, n_tokens long").collect()  # a row for each file
-    return rows.sparkSession.createDataFrame(done, "file string, n_tokens long")
+        name = f"tokens-{TaskContext.get().partitionId():05d}.bin"
+        yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([b""], pa.binary())], names=["name", "content"])
+        for batch in batches:
+            ids = batch.column(0).flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            if len(ids) and (ids.min() < 0 or ids.max() > 0xFFFF):
+                raise ValueError(f"token id out of range: {ids.max() if ids.max() > 0xFFFF else ids.min()}")
+            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([ids.astype("<u2").tobytes()], pa.binary())], names=["name", "content"])
+
+    write_files(rows.select("ids").mapInArrow(run, "name string, content binary"), path)
+    done = rows.sparkSession.read.format("binaryFile").option("pathGlobFilter", "tokens-*.bin").load(path)
+    return done.select(F.col("path").alias("file"), (F.col("length") / 2).cast("long").alias("n_tokens"))
+
+
+def write_by_file(rows: DataFrame, path: str, suffix: tuple[str, str] = ("", ""), separator: str = "\n", order: str = "rec_no", text_col: str = "text") -> None:
+    """One output for each input file: the texts of a ``file`` in their order, each stripped and followed by ``separator`` twice.
+
+    An output has the base name of its input, with its ``suffix`` changed from the first to the second. A file is written by
+    one task, as its reader had it; outputs appear together (see ``write_files``).
+    """
+    name = with_suffix(base_name(F.col("file")), *suffix) if suffix[0] else base_name(F.col("file"))
+    content = F.concat(strip(F.col(text_col)), F.lit(separator * 2)).cast("binary")
+    parts = rows.select(name.alias("name"), F.col(order).alias("_order"), content.alias("content"))
+    write_files(parts.repartition("name").sortWithinPartitions("name", "_order").select("name", "content"), path)

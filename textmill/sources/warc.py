@@ -9,10 +9,11 @@ from collections.abc import Iterator
 from typing import BinaryIO
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from textmill.functions.text import decode_bytes, decode_page
+from textmill.sources.ranges import RANGE, Part, file_ranges, opened
 
 SCHEMA = "file string, rec_no long, rec_type string, uri string, headers map<string,string>, payload binary"
 _VERSION = re.compile(rb"^WARC/\d", re.M)
@@ -25,7 +26,43 @@ READ, UNPACK, BATCH, HEADER = 1 << 20, 1 << 14, 16 << 20, 1 << 20
 HOLD = 64 << 20
 
 
-def plain_chunks(raw: BinaryIO) -> Iterator[bytes]:
+class Lost:
+    """What a reader could not read: records and members of an archive that were passed over."""
+
+    def __init__(self):
+        self.n = 0
+
+
+def member_at(raw: BinaryIO, begin: int, size: int) -> int:
+    """Where the first gzip member with a record begins, at ``begin`` or later; ``size`` if there is none.
+
+    The mark of a member may also stand in compressed data: what follows must unpack to the head of a record.
+    """
+    if begin <= 0:
+        return 0
+    at, carry = begin, b""
+    raw.seek(begin)
+    while at < size:
+        data = raw.read(READ)
+        if not data:
+            return size
+        block, base, found = carry + data, at - len(carry), -1
+        while (found := block.find(_MAGIC, found + 1)) >= 0:
+            back = raw.tell()
+            raw.seek(base + found)
+            try:
+                head = zlib.decompressobj(31).decompress(raw.read(UNPACK), 64)
+            except zlib.error:
+                head = b""
+            raw.seek(back)
+            if head.lstrip(b"\r\n").startswith(b"WARC/"):
+                return base + found
+        at += len(data)
+        carry = block[-2:]
+    return size
+
+
+def plain_chunks(raw: BinaryIO, lost: Lost | None = None) -> Iterator[bytes]:
     """The content of a stream, unpacked if it is gzip: all members, in pieces.
 
     A cut last member gives what it holds. A corrupt one gives nothing: up to ``HOLD`` bytes
@@ -39,16 +76,17 @@ def plain_chunks(raw: BinaryIO) -> Iterator[bytes]:
             yield data
             data = raw.read(READ)
         return
-    member, lost, carry = zlib.decompressobj(31), False, b""
+    lost = lost or Lost()
+    member, astray, carry = zlib.decompressobj(31), False, b""
     held: list[bytes] = []
     size = 0
     while data:
         view, at = memoryview(data), 0
         while at < len(data):
-            if lost:
+            if astray:
                 found = (carry + data[at : at + 2]).find(_MAGIC) if carry else -1
                 if found >= 0:  # the mark of a member lies across two reads
-                    member, lost, head = zlib.decompressobj(31), False, carry[found:]
+                    member, astray, head = zlib.decompressobj(31), False, carry[found:]
                     member.decompress(head)
                     carry = b""
                     continue
@@ -56,7 +94,7 @@ def plain_chunks(raw: BinaryIO) -> Iterator[bytes]:
                 if found < 0:
                     carry = data[max(at, len(data) - 2) :]
                     break
-                member, lost, at = zlib.decompressobj(31), False, found
+                member, astray, at = zlib.decompressobj(31), False, found
             piece = view[at : at + UNPACK]
             try:
                 out = member.decompress(piece, READ)
@@ -69,7 +107,8 @@ def plain_chunks(raw: BinaryIO) -> Iterator[bytes]:
                     out = member.decompress(member.unconsumed_tail, READ) if member.unconsumed_tail else b""
             except zlib.error:
                 # The next member begins behind the place where this piece began.
-                lost, at, held, size = True, at + 1, [], 0
+                astray, at, held, size = True, at + 1, [], 0
+                lost.n += 1
                 continue
             at += len(piece) - len(member.unused_data)
             if member.eof:
@@ -78,7 +117,7 @@ def plain_chunks(raw: BinaryIO) -> Iterator[bytes]:
                 while at < len(data) and data[at] == 0:  # padding between members
                     at += 1
                 if data[at : at + 2] not in (b"\x1f\x8b", b"\x1f", b""):
-                    lost = True
+                    astray = True
         data = raw.read(READ)
     yield from held
 
@@ -137,28 +176,32 @@ def records(raw: BinaryIO | bytes, types: tuple[str, ...] | None = None) -> Iter
     return (row[1:] for row in numbered_records(raw, types))
 
 
-def numbered_records(raw: BinaryIO | bytes, types: tuple[str, ...] | None = None) -> Iterator[tuple[int, str, str | None, dict[str, str], bytes]]:
+def numbered_records(raw: BinaryIO | bytes, types: tuple[str, ...] | None = None, lost: Lost | None = None) -> Iterator[tuple[int, str, str | None, dict[str, str], bytes]]:
     """``rec_no, rec_type, uri, headers, payload``; numbers count the records of all types.
 
     Memory is bounded by a record and a piece of the file; payloads of other types are
     passed over. After a broken record reading resumes at the next version line.
     """
-    b = _Buffer(plain_chunks(io.BytesIO(raw) if isinstance(raw, bytes) else raw))
+    lost = lost or Lost()
+    b = _Buffer(plain_chunks(io.BytesIO(raw) if isinstance(raw, bytes) else raw, lost))
     number = 0
     while mark := b.find(b"WARC/", 0):
         b.at += mark[0]
         end = b.find(_BLANK, 0, HEADER)
         if not end:
             b.at += 5
+            lost.n += 1
             continue
         head = bytes(b.data[b.at : b.at + end[0]])
         if later := _VERSION.search(head, 5):
             b.at += later.start()  # this header was cut off
+            lost.n += 1
             continue
         headers = {k.decode("latin-1").strip().lower(): v.decode("utf-8", "replace").strip() for k, v in _HEADER.findall(head)}
         length = headers.get("content-length", "")
         b.at += end[1]
         if not re.fullmatch("[0-9]+", length):
+            lost.n += 1
             later = b.find(_VERSION, 0)
             if not later:
                 return
@@ -172,51 +215,73 @@ def numbered_records(raw: BinaryIO | bytes, types: tuple[str, ...] | None = None
         number += 1
 
 
-def _frames(file: str, raw: BinaryIO | bytes, types: tuple[str, ...] | None) -> Iterator[pd.DataFrame]:
+#: Numbers of records count on from this times the number of a range within its file.
+NUMBERS = 1 << 40
+
+
+def _frames(file: str, raw: BinaryIO | bytes, types: tuple[str, ...] | None, first: int = 0) -> Iterator[pd.DataFrame]:
+    """The records of a stream, and at its end a row without a type whose number is what was lost, if anything was."""
+    columns, lost = ["file", "rec_no", "rec_type", "uri", "headers", "payload"], Lost()
     rows, size = [], 0
-    for row in numbered_records(raw, types):
-        rows.append((file, *row))
+    for number, *row in numbered_records(raw, types, lost):
+        rows.append((file, first + number, *row))
         size += len(row[-1]) + 1000
         if size >= BATCH:
-            yield pd.DataFrame(rows, columns=["file", "rec_no", "rec_type", "uri", "headers", "payload"])
+            yield pd.DataFrame(rows, columns=columns)
             rows, size = [], 0
+    if lost.n:
+        rows.append((file, lost.n, None, None, None, None))
     if rows:
-        yield pd.DataFrame(rows, columns=["file", "rec_no", "rec_type", "uri", "headers", "payload"])
+        yield pd.DataFrame(rows, columns=columns)
 
 
-def read_warc(spark: SparkSession, path: str, types: tuple[str, ...] | None = None, stream: bool = True) -> DataFrame:
-    """Records of all files that a path or glob names, a task for one or more files.
+def read_warc(spark: SparkSession, path: str, types: tuple[str, ...] | None = None, stream: bool = True, size: int = RANGE, lost: Observation | None = None) -> DataFrame:
+    """Records of all files that a path or glob names, a task for each ``size`` bytes of a packed file.
 
     Spark lists the files. With ``stream`` the workers open them by themselves, in
-    any store that Arrow knows, and read them record by record, whatever their size. Without it
-    Spark's own reader hands over each file as a whole, from any store that Spark
-    knows, up to 2 GB. With ``types`` other records never leave the reader.
+    any store that Arrow knows, and read them record by record. A range begins with the first
+    gzip member that begins in it and ends with its last one, so each member is read by one
+    task; files that are not named ``.gz`` are one range, since a record's text may look like another
+    record. Without ``stream`` Spark's own reader hands over each file as a whole, from any store that Spark
+    knows, up to 2 GB. With ``types`` other records never leave the reader. Numbers of records grow
+    within a file. ``lost`` observes ``records``, the number of records, and ``lost``, that of broken records and members that were passed over,
+    by an action that reads the rows once: a sort samples them before, and counts them twice.
     """
 
     def streamed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyarrow import fs
-
         for batch in batches:
-            for file in batch["path"]:
-                store, at = fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", file))
-                with store.open_input_stream(at, compression=None, buffer_size=READ) as raw:
-                    yield from _frames(file, raw, types)
+            for file, begin, end in zip(batch["path"], batch["begin"], batch["end"], strict=True):
+                with opened(file) as raw:
+                    length = raw.size()
+                    if begin == 0 and end >= length:
+                        yield from _frames(file, Part(raw, 0, length), types)
+                        continue
+                    first, last = member_at(raw, begin, length), member_at(raw, end, length) if end < length else length
+                    if first < min(last, end):
+                        yield from _frames(file, Part(raw, first, last), types, begin // size * NUMBERS)
 
     def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for file, content in zip(batch["path"], batch["content"], strict=True):
                 yield from _frames(file, bytes(content), types)
 
-    files = spark.read.format("binaryFile").load(path)
-    if not stream:
-        return files.select("path", "content").mapInPandas(whole, SCHEMA)
-    # The reader packs small files into one task; archives are dealt one by one.
-    return files.select("path").repartition(max(1, len(files.inputFiles()))).mapInPandas(streamed, SCHEMA)
+    if stream:
+        rows = file_ranges(spark, path, size, r"(?<!\.gz)$").mapInPandas(streamed, SCHEMA)
+    else:
+        rows = spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(whole, SCHEMA)
+    if lost is not None:
+        rows = rows.observe(lost, F.count("rec_type").alias("records"), F.coalesce(F.sum(F.when(F.col("rec_type").isNull(), F.col("rec_no"))), F.lit(0)).alias("lost"))
+    return rows.where("rec_type is not null")
+
 
+def wet_documents(spark: SparkSession, path: str, errors: str = "replace", lost: Observation | None = None, bad: Observation | None = None) -> DataFrame:
+    """Texts of ``conversion`` records: bad bytes are replaced, or with ``strict`` the record is dropped.
 
-def wet_documents(spark: SparkSession, path: str, errors: str = "replace") -> DataFrame:
-    """Texts of ``conversion`` records: bad bytes are replaced, or with ``strict`` the record is dropped."""
-    rows = read_warc(spark, path, ("conversion",)).select("file", "rec_no", "uri", decode_bytes(F.col("payload"), errors).alias("text"))
+    ``lost`` is as for ``read_warc``; ``bad`` observes ``undecodable``, the number of records that were dropped for their bytes.
+    """
+    rows = read_warc(spark, path, ("conversion",), lost=lost).select("file", "rec_no", "uri", decode_bytes(F.col("payload"), errors).alias("text"))
+    if bad is not None:
+        rows = rows.observe(bad, F.count_if(F.col("text").isNull()).alias("undecodable"))
     return rows.where("text is not null")
 
 
