@@ -132,13 +132,13 @@ SQL["causal_attention"] = f"""WITH r AS (SELECT vec_id // 16 AS seq, vec_id % 16
 
 
 def lr_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Learning rates of 200 steps (NN13)."""
-    return spark.range(200).select(F.col("id").alias("step"), F.round(V.learning_rate(F.col("id"), 1e-3, 1e-4, 20, 150), 12).alias("rate"))
+    """The learning rate of each vector, if it is the step of its id (NN13)."""
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("step"), F.round(V.learning_rate(F.col("vec_id"), 1e-3, 1e-4, 20, 150), 12).alias("rate"))
 
 
 QUERIES["lr_schedule"] = lr_schedule
 SQL["lr_schedule"] = """SELECT step, round(CASE WHEN step < 20 THEN 0.001::DOUBLE * step / 20 WHEN step <= 150 THEN 0.0001::DOUBLE + 0.5::DOUBLE * (0.001::DOUBLE - 0.0001::DOUBLE) * (1 + cos((step - 20) / 130.0::DOUBLE * pi())) ELSE 0.0001::DOUBLE END, 12) AS rate
-  FROM (SELECT unnest(range(0, 200)) AS step)"""
+  FROM (SELECT vec_id AS step FROM embeddings)"""
 
 
 def adamw_step(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -180,13 +180,15 @@ SQL["timing_stats"] = "SELECT event_type, round(avg(value), 6) AS mean, round(st
 
 
 def parameter_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parameters of model configurations with and without embeddings (AG21)."""
-    shape = spark.range(1, 13).select(F.col("id").alias("layers"), (F.col("id") * 64).alias("d"))
-    return shape.select("layers", (12 * F.col("layers") * F.col("d") * F.col("d")).alias("without"), (12 * F.col("layers") * F.col("d") * F.col("d") + 2 * 10000 * F.col("d")).alias("with_embeddings"))
+    """Parameters of models as wide as the vectors and with a layer for each label up to one, with a token for each vector (AG21)."""
+    rows = table(spark, sf_dir, "embeddings").agg(F.max("label").alias("most"), F.max(F.size("embedding")).cast("long").alias("d"), F.count("*").alias("tokens"))
+    shape = rows.select(F.explode(F.sequence(F.lit(1).cast("long"), F.col("most").cast("long") + 1)).alias("layers"), "d", "tokens")
+    own = 12 * F.col("layers") * F.col("d") * F.col("d")
+    return shape.select("layers", own.alias("without"), (own + 2 * F.col("tokens") * F.col("d")).alias("with_embeddings"))
 
 
 QUERIES["parameter_count"] = parameter_count
-SQL["parameter_count"] = "SELECT layers, 12 * layers * d * d AS without, 12 * layers * d * d + 2 * 10000 * d AS with_embeddings FROM (SELECT l AS layers, l * 64 AS d FROM (SELECT unnest(range(1, 13)) AS l))"
+SQL["parameter_count"] = "SELECT layers, 12 * layers * d * d AS without, 12 * layers * d * d + 2 * tokens * d AS with_embeddings FROM (SELECT unnest(range(1, max(label) + 2))::BIGINT AS layers, max(len(embedding))::BIGINT AS d, count(*) AS tokens FROM embeddings)"
 
 
 def online_softmax(spark: SparkSession, sf_dir: str) -> DataFrame:
