@@ -306,6 +306,22 @@ def test_broken_pages_are_linear(piece):
     assert grows(lambda n: html_extract.main_text(model, piece * (n // len(piece))), 100_000, 800_000) < 24
 
 
+def test_what_is_not_shown():
+    def texts(page):
+        return [b.text for b in html_extract.leaf_blocks(page)]
+
+    assert texts("<p>a</p><div hidden><p>x</p>y</div><p hidden=''>z<p>b") == ["a", "b"]
+    assert texts("<p style='color:red; DISPLAY : none'>x</p><p style=display:none>y</p><p style='color:red'>a</p><span style=\"visibility:hidden\">z</span>b") == ["a", "b"]
+    # The word elsewhere hides nothing, nor does a page that scripts will show.
+    assert texts("<body style='display:none'><p class='hidden'>a</p><p data-x=' hidden '>b</p><p aria-hidden=true>c</p><input hidden>d") == ["a", "b", "c", "d"]
+    assert texts("<div hidden>x<div>y</div>z</div>a") == ["a"]
+    article = "<article>" + "".join(f"<p>Sentence number {k} of the article, which goes on for quite a while, as sentences do.</p>" for k in range(6)) + "<p hidden>Hidden tracking text here, of the length of a paragraph as others are.</p></article>"
+    got = html_extract.main_text(html_extract.default_model(), f"<html><body>{article}</body></html>")
+    assert "number 5" in got and "tracking" not in got
+    assert html_extract.main_text(html_extract.default_model(), "  A page of plain\n\ntext &amp; no tags: 1 < 2. ") == "A page of plain text & no tags: 1 < 2."
+    assert html_extract.main_text(html_extract.default_model(), " \n") == ""
+
+
 def test_scanner():
     def texts(page):
         return [b.text for b in html_extract.leaf_blocks(page)]
@@ -663,6 +679,16 @@ def test_bootstrapped_identifiers(spark):
     assert got == {i: (["12-3456-789"] if i == 4 else []) for i in range(len(rows))}
 
 
+def test_many_contexts(spark):
+    """Contexts beyond the bound of the broadcast have the same totals; they are counted in part before anything is shuffled."""
+    docs = spark.createDataFrame([(i, " ".join(["the", f"w{i % 7}", "the", "id"] * 20)) for i in range(300)], "doc_id long, text string").repartition(3)
+    words = pii.context_totals(docs, "text", spark.sql("SELECT explode(array(xxhash64(1, 'the'), xxhash64(1, 'w3'), xxhash64(2, 'the', 'id'), xxhash64(1, 'none'))) AS context"))
+    shuffled = pii.context_totals(docs, "text", spark.sql("SELECT explode(array(xxhash64(1, 'the'), xxhash64(1, 'w3'), xxhash64(2, 'the', 'id'), xxhash64(1, 'none'))) AS context"), most_broadcast=0)
+    assert sorted(map(tuple, words.collect())) == sorted(map(tuple, shuffled.collect())) and sorted(r.total for r in words.collect()) == [43 * 20, 300 * 20, 300 * 40]
+    plan = shuffled._jdf.queryExecution().sparkPlan().toString()
+    assert plan.index("Join") < plan.index("partial_count(1)")  # the join stands above the aggregation
+
+
 def test_context_words_count_in_all_documents(spark):
     cards = ["4111111111111111", "5500000000000004", "6011000000000004"]
     rows = [f"invoice {c} paid" for c in cards] + ["invoice 12-3456-789 open"]

@@ -32,6 +32,11 @@ _LETTERS = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
 _STOP = re.compile(r"[\s/>]")
 _SPECIAL = re.compile("[>\"']")
 _ATTRIBUTE = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_QUOTED = re.compile("\"[^\"]*\"|'[^']*'")
+_HIDDEN = re.compile(r"(?:^|\s)hidden(?=[\s=/]|$)", re.I)
+_STYLE = re.compile(r"""\bstyle\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+_TAG = re.compile("<[A-Za-z/!?]")
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 #: Elements that end a leaf block. All other elements are part of the text around them.
 BLOCKS = frozenset(
@@ -102,17 +107,22 @@ class _Ends:
 
 
 class _Open:
-    """The open elements, with the places of each tag among them."""
+    """The open elements, with the places of each tag among them and of those that are not shown."""
 
     def __init__(self):
         self.stack: list[Node] = []
         self.where: dict[str, list[int]] = {}
+        self.unseen: list[int] = []
 
-    def push(self, node: Node) -> None:
+    def push(self, node: Node, unseen: bool = False) -> None:
+        if unseen:
+            self.unseen.append(len(self.stack))
         self.where.setdefault(node.tag, []).append(len(self.stack))
         self.stack.append(node)
 
     def cut(self, at: int) -> None:
+        while self.unseen and self.unseen[-1] >= at:
+            self.unseen.pop()
         while len(self.stack) > at:
             self.where[self.stack.pop().tag].pop()
 
@@ -135,7 +145,8 @@ def leaf_blocks(page: str | None) -> list[Block]:
 
 
 def scan(page: str | None, known=None) -> Iterator[Block]:
-    """The leaf blocks of a page in order, with decoded references and single spaces; the head is no part of the page.
+    """The leaf blocks of a page in order, with decoded references and single spaces; the head and what is not shown
+    are no part of the page.
 
     One pass over the page: every search goes on from where the last one ended, and
     what is known to be missing is not looked for again, so that no markup, however
@@ -150,7 +161,7 @@ def scan(page: str | None, known=None) -> Iterator[Block]:
 
     def add(raw: str) -> None:
         nonlocal node, linked
-        if raw and not opened.has("head"):
+        if raw and not opened.unseen and not opened.has("head"):
             text = html.unescape(raw)
             if bare := len(text.strip()):
                 if node is None and opened.stack:
@@ -224,12 +235,21 @@ def scan(page: str | None, known=None) -> Iterator[Block]:
         own = own if known is None else tuple(x for x in own if x in known)
         top = opened.stack[-1] if opened.stack else None
         # An element that tells nothing new is its parent over again.
-        opened.push(top if top is not None and top.tag == tag and top.features().issuperset(own) else Node(tag, top, own))
+        same = top is not None and top.tag == tag and top.features().issuperset(own)
+        opened.push(top if same else Node(tag, top, own), tag not in ("html", "body") and _unseen(rest))
     add(page[at:])
     if block := flush():
         yield block
 
 
+def _unseen(attributes: str) -> bool:
+    """Whether an element is not shown: it is ``hidden``, or its own style says so. Whole pages are shown, since scripts do it."""
+    low = attributes.lower()
+    if "style" in low and any(_UNSEEN.search(a or b or c) for a, b, c in _STYLE.findall(attributes)):
+        return True
+    return "hidden" in low and _HIDDEN.search(_QUOTED.sub('""', attributes)) is not None
+
+
 @lru_cache(maxsize=None)
 def _end_tag(name: str) -> re.Pattern:
     return re.compile(rf"</{name}\s*>", re.I)
@@ -363,6 +383,9 @@ def default_model(pages: int = 400, seed: int = 1) -> ChainField:
 
 
 def main_text(model: ChainField, page: str | None) -> str:
+    """The main text of a page; all of one that has no markup at all."""
+    if page and not _TAG.search(page):
+        return " ".join(html.unescape(page).split())
     texts, labels = model.label(page)
     return "\n".join(x for x, y in zip(texts, labels, strict=True) if y)
 

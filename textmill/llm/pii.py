@@ -110,8 +110,12 @@ def context_totals(docs: DataFrame, text_col: str, contexts: DataFrame, most_bro
     keys = [f"xxhash64({WORD}, x)", f"xxhash64({PAIR}, get(z, i - 1), x)", f"xxhash64({AROUND}, get(z, i - 2), x)"]
     every = let("z", words, f"flatten(transform(z, (x, i) -> array({', '.join(keys)})))")
     spoken = docs.select(F.col(text_col).alias("_text")).select(F.explode(F.expr(every)).alias("context"))
-    few = contexts.count() <= most_broadcast
-    return spoken.join(F.broadcast(contexts) if few else contexts, "context", "left_semi").groupBy("context").agg(F.count("*").alias("total"))
+    counted = F.count("*").alias("total")
+    if contexts.count() <= most_broadcast:
+        return spoken.join(F.broadcast(contexts), "context", "left_semi").groupBy("context").agg(counted)
+    # Counted before they are joined: a word that stands everywhere is a row a task, not one for each place.
+    # (A semi join would be pushed below the aggregation.)
+    return spoken.groupBy("context").agg(counted).join(contexts.distinct(), "context")
 
 
 def score_patterns(graph: DataFrame, totals: DataFrame, boot: Bootstrap) -> DataFrame:
