@@ -10,7 +10,6 @@ costs its tasks and no round is computed again; the table before the last is del
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -18,7 +17,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textmill.llm.common import pack, shared_folder, unpack
+from textmill.llm.common import pack, unpack
+from textmill.session import Rounds
+
+__all__ = ["NEAR", "Rounds", "blocks", "changes", "floored", "mapped", "packed", "scaled", "squared", "summed", "unpacked", "whole"]
 
 #: Vectors of a block; the largest whole number of a component, so that sums of squares fit 64 bits.
 BLOCK, LARGEST = 4096, 1 << 27
@@ -71,26 +73,6 @@ def unpacked(blob: bytes) -> np.ndarray:
     return unpack(blob[1:], np.dtype(f"i{blob[0]}")).astype(np.int64)
 
 
-class Rounds:
-    """The tables of one run: each is written, read by the next round, and deleted when there are two newer ones."""
-
-    def __init__(self, df: DataFrame):
-        self.spark = df.sparkSession
-        self.folder, self.count = f"{shared_folder(self.spark)}/rounds-{uuid.uuid4().hex}", 0
-
-    def store(self, rows: DataFrame) -> DataFrame:
-        path = f"{self.folder}/{self.count}"
-        rows.write.parquet(path)
-        self._delete(f"{self.folder}/{self.count - 2}")
-        self.count += 1
-        return self.spark.read.schema(rows.schema).parquet(path)
-
-    def _delete(self, path: str) -> None:
-        jvm = self.spark._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def summed(state: DataFrame, column: str, cells: int) -> np.ndarray:
     """The sum over all blocks of a packed array of ``cells`` numbers: partial sums in each task, then in decimals, which are exact."""
     if cells > MOST_NUMBERS:
