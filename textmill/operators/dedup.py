@@ -10,6 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textmill.functions.hashing import murmur3_family
 from textmill.functions.text import ngrams, normalize
 from textmill.operators.components import connected_components
 from textmill.session import settle
@@ -78,6 +79,23 @@ def minhash(sets: DataFrame, hashes: int = 128) -> DataFrame:
     return sets.select(F.col("doc_id").cast("long"), digests.alias("digests")).mapInArrow(run, "doc_id long, sig array<long>")
 
 
+def murmur_minhash(sets: DataFrame, hashes: int = 128) -> DataFrame:
+    """As ``minhash``, with seeded 32-bit Murmur3 for the family: the i-th hash of an n-gram has the seed i."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                grams = batch.column(1).slice(k, 1).flatten()
+                if not len(grams):
+                    continue
+                least = np.full(hashes, 0xFFFFFFFF, np.uint32)
+                for at in range(0, len(grams), CHUNK):
+                    least = np.minimum(least, murmur3_family(grams.slice(at, CHUNK), hashes).min(1))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 1), pa.array([least.astype(np.int64)], pa.list_(pa.int64()))], names=["doc_id", "sig"])
+
+    return sets.select(F.col("doc_id").cast("long"), "grams").mapInArrow(run, "doc_id long, sig array<long>")
+
+
 def lsh_buckets(signatures: DataFrame, bands: int = 16) -> DataFrame:
     """``doc_id, band, key``: a digest of each band of a signature; rows that fill no band are left out."""
     rows = F.expr(f"transform(sequence(0, {bands - 1}), i -> struct(i AS band, md5(array_join(slice(sig, i * (size(sig) div {bands}) + 1, size(sig) div {bands}), ',')) AS key))")
@@ -128,15 +146,15 @@ def bucket_links(buckets: DataFrame, sets: DataFrame, threshold: float = 0.8) ->
     return links.unionByName(jaccard_pairs(pairs, sets, threshold).select("u", "v"))
 
 
-def minhash_components(docs: DataFrame, hashes: int = 128, bands: int = 16, n: int = 5, threshold: float = 0.8) -> DataFrame:
-    """``doc_id, component``: the least id that is reached by verified links, for each document.
+def minhash_components(docs: DataFrame, hashes: int = 128, bands: int = 16, n: int = 5, threshold: float = 0.8, family=minhash) -> DataFrame:
+    """``doc_id, component``: the least id that is reached by verified links, for each document; ``family`` is ``minhash`` or ``murmur_minhash``.
 
     Documents with equal sets are linked first and only one of them goes on, so a
     large group of copies costs no pairs.
     """
     members = settle(classes_of(docs, n))
     sets = members.where("grams is not null").select("doc_id", "grams")
-    found = connected_components(bucket_links(lsh_buckets(minhash(sets, hashes), bands), sets, threshold))
+    found = connected_components(bucket_links(lsh_buckets(family(sets, hashes), bands), sets, threshold))
     return members.join(found, members["class"] == found.vertex, "left").select("doc_id", F.coalesce("label", "class").alias("component"))
 
 
