@@ -8,6 +8,7 @@ import pickle
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -198,11 +199,24 @@ def cut_texts(text: Column, specials: Iterable[str]) -> Column:
     return F.flatten(F.transform(parts, lambda x, i: F.concat(F.regexp_extract_all(x, F.lit(PRETOKEN_JVM), F.lit(0)), F.when(F.get(marks, i).isNotNull(), F.array(F.get(marks, i))).otherwise(none))))
 
 
+def _encoded(tokens: pa.ListArray, coder: Tokenizer) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all rows of pre-tokens and where each row ends: distinct pre-tokens are encoded once and put in place by vectors."""
+    coded = tokens.flatten().dictionary_encode()
+    each = [coder.encode_cut([t]) for t in coded.dictionary.to_pylist()]
+    size = np.array([len(x) for x in each], np.int64)
+    pool, start = np.array([i for x in each for i in x], np.int64), np.cumsum(size) - size
+    at = coded.indices.to_numpy()
+    n = size[at]
+    ends = np.concatenate([[0], np.cumsum(n)])
+    ids = pool[np.repeat(start[at] - ends[:-1], n) + np.arange(ends[-1])]
+    return ids, ends[np.cumsum(tokens.value_lengths().to_numpy(zero_copy_only=False))]
+
+
 def encode(docs: DataFrame, tokenizer: Tokenizer, id_col: str = "doc_id", text_col: str = "text", end: bool = False) -> DataFrame:
     """``doc_id, ids``: token ids of each text; special tokens are one id each; ``end`` appends the end-of-text id.
 
     Texts are cut into pre-tokens in the JVM and encoded in Arrow batches: no shuffle,
-    and a worker encodes a pre-token that it remembers once.
+    and a worker encodes a distinct pre-token of some rows, or one that it remembers, once.
     """
     spark = docs.sparkSession
     tail = [tokenizer.ids[END_OF_TEXT.encode()]] if end else []
@@ -213,8 +227,11 @@ def encode(docs: DataFrame, tokenizer: Tokenizer, id_col: str = "doc_id", text_c
         for batch in batches:
             for k in range(0, batch.num_rows, ROWS):
                 part = batch.slice(k, ROWS)
-                ids = [coder.encode_cut(tokens or ()) + tail for tokens in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
+                ids, ends = _encoded(part.column(1), coder)
+                if tail:
+                    ids, ends = np.insert(ids, ends, tail[0]), ends + 1 + np.arange(len(ends))
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(ids, pa.int32()))
+                yield pa.RecordBatch.from_arrays([part.column(0), lists], names=["doc_id", "ids"])
 
     kind = docs.select(F.col(id_col)).schema[0].dataType.simpleString()
     return docs.select(F.col(id_col).alias("doc_id"), cut_texts(F.coalesce(F.col(text_col), F.lit("")), tokenizer.specials).alias("tokens")).mapInArrow(run, f"doc_id {kind}, ids array<int>")
