@@ -90,7 +90,10 @@ def logistic_regression(labelled: DataFrame, text_col: str = "text", buckets: in
         VectorAssembler(inputCols=["_one", "_two"], outputCol="features"),
         LogisticRegression(maxIter=iterations, regParam=0.01, featuresCol="features", labelCol="label"),
     ]
-    return Pipeline(stages=stages).fit(labelled)
+    model = Pipeline(stages=stages).fit(labelled)
+    # The summary of the training holds the session, which can't be sent to tasks once anything in it was observed.
+    model.stages[-1]._java_obj.setSummary(labelled.sparkSession._jvm.scala.Option.empty())
+    return model
 
 
 def trainset(positive: DataFrame, negative: DataFrame, most: int = 5000, seed: int = 0) -> DataFrame:
