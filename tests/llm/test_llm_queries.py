@@ -372,6 +372,23 @@ def test_substrings_against_brute_force(spark, seed):
     assert {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in got} == brute_substrings(rows, 50)
 
 
+def test_substrings_in_another_order_each_time(spark):
+    """A table that a shuffle deals out reads its rows in no fixed order."""
+    rng = random.Random(5)
+    passage = " ".join(rng.choices("abcdefgh", k=80))
+    rows = [(i, f"{' '.join(rng.choices('abcdefgh', k=30))} {passage if i % 2 else ''} {' '.join(rng.choices('abcdefgh', k=30))}") for i in range(40)]
+
+    def dealt(batches):
+        for b in batches:
+            order = list(range(b.num_rows))
+            random.SystemRandom().shuffle(order)
+            yield b.take(order)
+
+    df = spark.createDataFrame(rows, "doc_id long, text string").mapInArrow(dealt, "doc_id long, text string")
+    got = substring_dedup.substring_dedup(df).collect()
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in got} == brute_substrings(rows, 50)
+
+
 def test_difference_cover():
     seen = {(a - b) % substring_dedup.PERIOD for a in substring_dedup.COVER for b in substring_dedup.COVER}
     assert seen == set(range(substring_dedup.PERIOD))

@@ -13,9 +13,10 @@ in both, so two equal passages of ``window`` words share an anchor within the fi
 3. The words that these windows cover go.
 
 A passage that many documents share costs an entry a batch, not a pair of
-documents. The text goes along as compressed batches and is hashed again where it
-is needed. Batches are named by task, number and content; the input must be a
-table or another source that reads the same rows in the same order each time.
+documents. The input is read once: compressed batches of it, named by task and
+number, are stored in the shared folder, and the text is hashed again where it is
+needed. So the source may read its rows in another order each time, as a table does
+that is dealt over the cores by a shuffle.
 """
 
 from __future__ import annotations
@@ -25,12 +26,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textmill.llm.common import Words, buckets_for, pack, slices, table, unpack
+from textmill.llm.common import Words, buckets_for, pack, settle, slices, table, unpack
 
 #: A perfect difference set: each residue but 0 modulo 31 is one difference of two of its members.
 PERIOD, COVER = 31, (1, 5, 11, 24, 25, 27)
@@ -56,7 +56,7 @@ class _Batch:
         self.id = ids.fill_null(0).to_numpy()
 
     @classmethod
-    def load(cls, texts: bytes, ids: bytes, window: int) -> _Batch:
+    def load(cls, texts: bytes, window: int) -> _Batch:
         with pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(texts)) as reader:
             part = reader.read_all().combine_chunks()
         return cls(part.column("text").combine_chunks(), part.column("id").combine_chunks(), window)
@@ -79,28 +79,20 @@ class _Batch:
         return place, got[place]
 
 
-def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, pa.RecordBatch]]:
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
     task, count = TaskContext.get().partitionId(), 0
     for whole in batches:
         for part in slices(whole, "text", SLICE):
             part = pa.RecordBatch.from_arrays([part.column("id"), part.column("text").cast(pa.large_string())], names=["id", "text"])
-            mark = xxhash.xxh3_64()
-            for row in zip(part.column("id").to_pylist(), part.column("text").to_pylist(), strict=True):
-                mark.update(repr(row[0]).encode() + (row[1] or "").encode())
-            yield f"{task}-{count}-{mark.hexdigest()}", part
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, part.schema) as writer:
+                writer.write_batch(part)
+            yield _out([(f"{task}-{count}", -1, None, None, zstandard.ZstdCompressor(level=1).compress(sink.getvalue()), None)])
             count += 1
 
 
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for name, part in _named(batches):
-        sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, part.schema) as writer:
-            writer.write_batch(part)
-        yield _out([(name, -1, None, None, zstandard.ZstdCompressor(level=1).compress(sink.getvalue()), None)])
-
-
 def _split(keys: np.ndarray, buckets: int) -> Iterator[tuple[int, int, int]]:
     """Bucket and range of sorted keys."""
     edge = np.searchsorted(((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32), np.arange(buckets + 1, dtype=np.uint64))
@@ -120,8 +112,8 @@ def _many(keys: np.ndarray, docs: np.ndarray) -> np.ndarray:
 
 def _send_anchors(window: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for name, part in _named(batches):
-            batch = _Batch(part.column("text"), part.column("id"), window)
+        for name, texts in ((x.as_py(), y.as_py()) for b in batches for x, y in zip(b.column("batch"), b.column("texts"), strict=True)):
+            batch = _Batch.load(texts, window)
             place, key = batch.anchors()
             order = np.argsort(key, kind="stable")
             place, key = place[order].astype(np.uint32), key[order]
@@ -154,10 +146,8 @@ def _share_anchors(sent: pa.Table) -> pa.Table:
 
 def _load(got: pa.Table, window: int) -> tuple[str, _Batch, list[dict]]:
     rows = got.to_pylist()
-    text = [r for r in rows if r["texts"] is not None]
-    if len(text) != 1:
-        raise RuntimeError("the documents were not read in the same order again; write them to a table first")
-    return rows[0]["batch"], _Batch.load(text[0]["texts"], b"", window), [r for r in rows if r["texts"] is None]
+    (text,) = (r["texts"] for r in rows if r["texts"] is not None)
+    return rows[0]["batch"], _Batch.load(text, window), [r for r in rows if r["texts"] is None]
 
 
 def _send_windows(window: int, buckets: int):
@@ -244,8 +234,8 @@ def substring_dedup(docs: DataFrame, window: int = 50, id_col: str = "doc_id", t
         raise ValueError(f"a window has {PERIOD} words at least")
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     buckets = buckets_for(docs)
-    texts = docs.mapInArrow(_texts, _ROW)
-    anchors = docs.mapInArrow(_send_anchors(window, buckets), _ROW).groupBy("bucket").applyInArrow(_share_anchors, _ROW)
+    texts = settle(docs.mapInArrow(_texts, _ROW))
+    anchors = texts.mapInArrow(_send_anchors(window, buckets), _ROW).groupBy("bucket").applyInArrow(_share_anchors, _ROW)
     windows = texts.unionByName(anchors).groupBy("batch").applyInArrow(_send_windows(window, buckets), _ROW)
     late = windows.groupBy("bucket").applyInArrow(_judge_windows, _ROW)
     return texts.unionByName(late).groupBy("batch").applyInArrow(_remove(window, digest), "doc_id long, n_words long, n_removed long, kept string")
