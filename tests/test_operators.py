@@ -3,13 +3,16 @@
 import gzip
 import math
 import random
+from pathlib import Path
 
 import pytest
+from oracle import check
 from pyspark.sql import functions as F
 
 from textmill.functions.text import PRETOKEN
 from textmill.operators import bpe, bpe_train, classify, dedup, scaling
 from textmill.operators.components import connected_components
+from textmill.plans.registry import QUERIES, SQL
 from textmill.sources import files, warc
 from textmill.streaming import curation
 
@@ -280,6 +283,36 @@ def test_naive_bayes(spark):
     assert classify.naive_bayes(labels.where("false"), df).where("label is not null").count() == 0
 
 
+def stored_bytes(spark):
+    """What lies in the shared folder."""
+    return sum(f.stat().st_size for f in Path(spark.sparkContext.getCheckpointDir().removeprefix("file:")).rglob("part-*"))
+
+
+def test_naive_bayes_stores_features_not_occurrences(spark):
+    text = " ".join(f"word{i}" for i in range(200))
+    df, labels = docs(spark, *[text] * 300), spark.createDataFrame([(0, "x"), (1, "y")], "doc_id long, label string")
+    before = stored_bytes(spark)
+    assert classify.naive_bayes(labels, df, classify.whole_words).count() == 300
+    assert stored_bytes(spark) - before < 300_000
+
+
+def test_naive_bayes_rare_features_and_repeated_ids(spark, tmp_path):
+    """What is not broadcast counts all the same; rows that share an id are one document."""
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.choices("abcdefghijklmnop", k=rng.randrange(12)))) for i in [*range(30), 3, 4, 4, None]]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, "xyz"[i % 3]) for i in range(0, 30, 2)], "doc_id long, label string")
+    for frame in (df, df.dropDuplicates(["doc_id"]).cache()):
+        want, few = ({r.doc_id: (r.label, round(r.score, 9)) for r in classify.naive_bayes(labels, frame, classify.whole_words, most_held=n).collect()} for n in (400_000, 12))
+        assert want == few
+    spark.createDataFrame(rows[:-1], "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "d"))
+    spark.createDataFrame([(i, i % 3 % 2) for i in range(0, 30, 2)], "doc_id long, quality int").coalesce(1).write.parquet(str(tmp_path / "l"))
+    (tables := tmp_path / "t").mkdir()
+    for name, part in (("documents", "d"), ("labels", "l")):
+        next((tmp_path / part).glob("part-*.parquet")).rename(tables / f"{name}.parquet")
+    check(spark, str(tables), QUERIES["quality_nb"], SQL["quality_nb"])
+
+
 def test_naive_bayes_leaves_the_document_out(spark):
     """The score of a labelled document is what a model trained on all others says."""
     texts = ["aa bb aa", "aa cc", "dd ee dd", "dd cc cc", "aa dd", "zz"]
