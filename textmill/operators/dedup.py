@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textmill.functions.hashing import murmur3_family
@@ -102,9 +102,19 @@ def lsh_buckets(signatures: DataFrame, bands: int = 16) -> DataFrame:
     return signatures.select("doc_id", F.explode(rows).alias("b")).select("doc_id", F.col("b.band").alias("band"), F.col("b.key").alias("key"))
 
 
+def lsh_keys(signatures: DataFrame, bands: int = 16) -> DataFrame:
+    """``doc_id, keys``: a 64-bit hash for each band of a signature. Enough where the members of a bucket are compared themselves, and a quarter of ``lsh_buckets``."""
+    keys = F.expr(f"transform(sequence(0, {bands - 1}), i -> xxhash64(i, slice(sig, i * (size(sig) div {bands}) + 1, size(sig) div {bands})))")
+    return signatures.select("doc_id", keys.alias("keys"))
+
+
+def _mark() -> Column:
+    return F.sha2(F.concat_ws("\n", F.size("grams"), "grams"), 256)
+
+
 def classes_of(docs: DataFrame, n: int = 5) -> DataFrame:
     """``doc_id, class, grams``: documents with equal n-gram sets are one class, named by the least id; it carries the set."""
-    sets = settle(gram_sets(docs, n).withColumn("mark", F.sha2(F.concat_ws("\n", F.size("grams"), "grams"), 256)))
+    sets = settle(gram_sets(docs, n).withColumn("mark", _mark()))
     named = sets.groupBy("mark").agg(F.min("doc_id").alias("class"))
     return sets.join(named, "mark").select("doc_id", "class", F.when(F.col("doc_id") == F.col("class"), F.col("grams")).alias("grams"))
 
@@ -120,41 +130,63 @@ def jaccard_pairs(pairs: DataFrame, sets: DataFrame, threshold: float = 0.8) ->
 
     The sets are compared as 64-bit hashes of their members: a third of the bytes of the strings.
     """
-    numbers = sets.select("doc_id", F.transform("grams", lambda g: F.xxhash64(g)).alias("members"))
-    both = pairs.join(numbers.select(F.col("doc_id").alias("u"), F.col("members").alias("a")), "u").join(numbers.select(F.col("doc_id").alias("v"), F.col("members").alias("b")), "v")
+    return _alike(pairs, _members(sets), threshold)
+
+
+def _members(sets: DataFrame) -> DataFrame:
+    return sets.select("doc_id", F.transform("grams", lambda g: F.xxhash64(g)).alias("members"))
+
+
+def _alike(pairs: DataFrame, members: DataFrame, threshold: float) -> DataFrame:
+    both = pairs.join(members.select(F.col("doc_id").alias("u"), F.col("members").alias("a")), "u").join(members.select(F.col("doc_id").alias("v"), F.col("members").alias("b")), "v")
     common = F.size(F.array_intersect("a", "b"))
     every = F.size("a") + F.size("b") - common
     return both.select("u", "v", F.when(every == 0, F.lit(1.0)).otherwise(common / every).alias("jaccard")).where(F.col("jaccard") > threshold)
 
 
-def bucket_links(buckets: DataFrame, sets: DataFrame, threshold: float = 0.8) -> DataFrame:
+def bucket_links(buckets: DataFrame, sets: DataFrame, threshold: float = 0.8, most_ids: int = 200_000) -> DataFrame:
     """``u, v``: verified links that connect what all verified pairs of the buckets connect, without telling all pairs.
 
     First every member of a bucket is compared with its least one, which settles groups
     of near copies. Then only members outside the largest component of their bucket are
-    compared with the members of other components in it.
+    compared with the members of other components in it. Only sets of documents that
+    share a bucket are made and stored, as 64-bit hashes; up to ``most_ids`` of their ids are
+    broadcast, so that no text travels for the others.
     """
     many = buckets.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("doc_id").alias("u")).where("n > 1")
     held = settle(buckets.join(many, ["band", "key"]).select("band", "key", "u", F.col("doc_id").alias("v")))
-    links = settle(jaccard_pairs(held.where("u <> v").select("u", "v").distinct(), sets, threshold).select("u", "v"))
+    needed = settle(held.select(F.col("v").alias("doc_id")).distinct())
+    needed = F.broadcast(needed) if needed.count() <= most_ids else needed
+    members = settle(_members(sets.join(needed, "doc_id", "left_semi")))
+    links = settle(_alike(held.where("u <> v").select("u", "v").distinct(), members, threshold).select("u", "v"))
     found = connected_components(links)
     state = held.join(found, held.v == found.vertex, "left").select("band", "key", "v", F.coalesce("label", "v").alias("label"))
     main = state.groupBy("band", "key", "label").agg(F.count("*").alias("n")).groupBy("band", "key").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
     state = settle(state.join(main, ["band", "key"]))
     apart = state.where("label <> main").select("band", "key", F.col("v").alias("x"), F.col("label").alias("other"))
     pairs = apart.join(state, ["band", "key"]).where("label <> other").select(F.least("x", "v").alias("u"), F.greatest("x", "v").alias("v")).distinct()
-    return links.unionByName(jaccard_pairs(pairs, sets, threshold).select("u", "v"))
+    return links.unionByName(_alike(pairs, members, threshold).select("u", "v"))
 
 
 def minhash_components(docs: DataFrame, hashes: int = 128, bands: int = 16, n: int = 5, threshold: float = 0.8, family=minhash) -> DataFrame:
     """``doc_id, component``: the least id that is reached by verified links, for each document; ``family`` is ``minhash`` or ``murmur_minhash``.
 
     Documents with equal sets are linked first and only one of them goes on, so a
-    large group of copies costs no pairs.
+    large group of copies costs no pairs. Sets are made anew from the texts where they are
+    needed, and only digests, keys of bands and ids are stored; where rows share an id,
+    the sets are stored with them.
     """
-    members = settle(classes_of(docs, n))
-    sets = members.where("grams is not null").select("doc_id", "grams")
-    found = connected_components(bucket_links(lsh_buckets(family(sets, hashes), bands), sets, threshold))
+    if docs.groupBy("doc_id").count().where("count > 1").isEmpty():
+        sets = gram_sets(docs, n)
+        marks = settle(sets.select("doc_id", F.unhex(_mark()).alias("mark")))
+        members = settle(marks.join(marks.groupBy("mark").agg(F.min("doc_id").alias("class")), "mark").select("doc_id", "class"))
+        keys = lsh_keys(family(sets, hashes), bands).join(members.where("doc_id = class"), "doc_id", "left_semi")
+    else:
+        members = settle(classes_of(docs, n))
+        sets = members.where("grams is not null").select("doc_id", "grams")
+        keys = lsh_keys(family(sets, hashes), bands)
+    buckets = settle(keys).select("doc_id", F.posexplode("keys").alias("band", "key"))
+    found = connected_components(bucket_links(buckets, sets, threshold))
     return members.join(found, members["class"] == found.vertex, "left").select("doc_id", F.coalesce("label", "class").alias("component"))
 
 
