@@ -77,6 +77,19 @@ def test_bucket_links(spark):
     assert len(set(label.values())) > 4
 
 
+def test_minhash_stores_no_sets(spark):
+    """What is stored does not grow with the texts; a repeated or null id goes the way that stores them, with the same components."""
+    rng = random.Random(7)
+    texts = [" ".join(str(rng.randrange(10**6)) for _ in range(400)) for _ in range(60)]
+    df = docs(spark, *texts, texts[0], texts[1] + " more", "", None, "...")
+    before = stored_bytes(spark)
+    got = {r.doc_id: r.component for r in dedup.minhash_components(df).collect()}
+    assert stored_bytes(spark) - before < 300_000
+    assert got == {i: i for i in range(60)} | {60: 0, 61: 1, 62: 62, 63: 62, 64: 62}
+    again = df.unionByName(df.where("doc_id = 5")).unionByName(spark.createDataFrame([(None, "alone here")], df.schema))
+    assert {r.doc_id: r.component for r in dedup.minhash_components(again).collect() if r.doc_id is not None} == got
+
+
 def test_minhash_recall(spark, sf):
     """Of all pairs of documents with different sets and an exact similarity over 0.8, nine in ten or more are found."""
     sets = dedup.classes_of(spark.read.parquet(f"{sf.replace('0.001', '0.01')}/documents.parquet")).where("size(grams) > 0").select("doc_id", "grams").cache()

@@ -50,8 +50,15 @@ def gram_sets(docs: DataFrame, n: int = 5) -> DataFrame:
     return docs.select("doc_id", F.sort_array(ngrams(normalize(F.coalesce("text", F.lit(""))), n)).alias("grams"))
 
 
+_SIGNATURE = "doc_id long, sig array<long>"
+
+
+def _marked(sets: DataFrame) -> list[str]:
+    return [c for c in sets.columns if c == "mark"]
+
+
 def minhash(sets: DataFrame, hashes: int = 128) -> DataFrame:
-    """``doc_id, sig``: the least hash of a document's n-grams for each of a family of hashes; empty sets have none.
+    """``doc_id, sig``: the least hash of a document's n-grams for each of a family of hashes; empty sets have none. A column ``mark`` (binary) goes along.
 
     One digest of an n-gram gives two numbers a and b; the i-th hash is a + i*b
     modulo a prime. A set is one row, so nothing is shuffled: digests are made in the JVM, eight bytes
@@ -73,10 +80,11 @@ def minhash(sets: DataFrame, hashes: int = 128) -> DataFrame:
                     least = np.minimum(least, ((a + step * b) % np.uint64(PRIME)).min(1))
                 sigs[k] = least
             sig = pa.ListArray.from_arrays(pa.array(np.arange(len(blobs) + 1, dtype=np.int32) * hashes), pa.array(sigs.ravel()))
-            yield pa.RecordBatch.from_arrays([ids, sig], names=["doc_id", "sig"])
+            yield pa.RecordBatch.from_arrays([ids, sig, *(batch.column(c).filter(has) for c in mark)], names=["doc_id", "sig", *mark])
 
+    mark = _marked(sets)
     digests = F.unhex(F.array_join(F.transform("grams", lambda g: F.substring(F.md5(g), 1, 16)), ""))
-    return sets.select(F.col("doc_id").cast("long"), digests.alias("digests")).mapInArrow(run, "doc_id long, sig array<long>")
+    return sets.select(F.col("doc_id").cast("long"), digests.alias("digests"), *mark).mapInArrow(run, ", ".join([_SIGNATURE, *(f"{c} binary" for c in mark)]))
 
 
 def murmur_minhash(sets: DataFrame, hashes: int = 128) -> DataFrame:
@@ -91,9 +99,11 @@ def murmur_minhash(sets: DataFrame, hashes: int = 128) -> DataFrame:
                 least = np.full(hashes, 0xFFFFFFFF, np.uint32)
                 for at in range(0, len(grams), CHUNK):
                     least = np.minimum(least, murmur3_family(grams.slice(at, CHUNK), hashes).min(1))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 1), pa.array([least.astype(np.int64)], pa.list_(pa.int64()))], names=["doc_id", "sig"])
+                sig = pa.array([least.astype(np.int64)], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 1), sig, *(batch.column(c).slice(k, 1) for c in mark)], names=["doc_id", "sig", *mark])
 
-    return sets.select(F.col("doc_id").cast("long"), "grams").mapInArrow(run, "doc_id long, sig array<long>")
+    mark = _marked(sets)
+    return sets.select(F.col("doc_id").cast("long"), "grams", *mark).mapInArrow(run, ", ".join([_SIGNATURE, *(f"{c} binary" for c in mark)]))
 
 
 def lsh_buckets(signatures: DataFrame, bands: int = 16) -> DataFrame:
@@ -105,7 +115,7 @@ def lsh_buckets(signatures: DataFrame, bands: int = 16) -> DataFrame:
 def lsh_keys(signatures: DataFrame, bands: int = 16) -> DataFrame:
     """``doc_id, keys``: a 64-bit hash for each band of a signature. Enough where the members of a bucket are compared themselves, and a quarter of ``lsh_buckets``."""
     keys = F.expr(f"transform(sequence(0, {bands - 1}), i -> xxhash64(i, slice(sig, i * (size(sig) div {bands}) + 1, size(sig) div {bands})))")
-    return signatures.select("doc_id", keys.alias("keys"))
+    return signatures.select("doc_id", *_marked(signatures), keys.alias("keys"))
 
 
 def _mark() -> Column:
@@ -176,16 +186,18 @@ def minhash_components(docs: DataFrame, hashes: int = 128, bands: int = 16, n: i
     needed, and only digests, keys of bands and ids are stored; where rows share an id,
     the sets are stored with them.
     """
-    if docs.groupBy("doc_id").count().where("count > 1").isEmpty():
+    if docs.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL").isEmpty():
         sets = gram_sets(docs, n)
-        marks = settle(sets.select("doc_id", F.unhex(_mark()).alias("mark")))
+        made = settle(lsh_keys(family(sets.withColumn("mark", F.unhex(_mark())), hashes), bands))
+        # A document without a signature has no n-grams: all these are one class.
+        marks = docs.select("doc_id").join(made.select("doc_id", "mark"), "doc_id", "left").withColumn("mark", F.coalesce("mark", F.expr("X''")))
         members = settle(marks.join(marks.groupBy("mark").agg(F.min("doc_id").alias("class")), "mark").select("doc_id", "class"))
-        keys = lsh_keys(family(sets, hashes), bands).join(members.where("doc_id = class"), "doc_id", "left_semi")
+        buckets = made.join(members.where("doc_id = class"), "doc_id", "left_semi")
     else:
         members = settle(classes_of(docs, n))
         sets = members.where("grams is not null").select("doc_id", "grams")
-        keys = lsh_keys(family(sets, hashes), bands)
-    buckets = settle(keys).select("doc_id", F.posexplode("keys").alias("band", "key"))
+        buckets = settle(lsh_keys(family(sets, hashes), bands))
+    buckets = buckets.select("doc_id", F.posexplode("keys").alias("band", "key"))
     found = connected_components(bucket_links(buckets, sets, threshold))
     return members.join(found, members["class"] == found.vertex, "left").select("doc_id", F.coalesce("label", "class").alias("component"))
 
